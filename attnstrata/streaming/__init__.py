@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The study works on finished tables: it defines no watermark, no event-time
+window and no state store, so there is no streaming operator to provide. The
+two sequential detectors (CUSUM, EWMA) are batch jobs in
+``attnstrata.operators.series``.
+"""
