@@ -11,7 +11,7 @@ from attnstrata.functions import bins as binning
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.functions import ids
 from attnstrata.operators.composite import fit_composite
-from attnstrata.operators.positions import null_safe_join
+from attnstrata.operators.positions import key_join
 
 
 def marginal_gain(base: DataFrame, augmented: DataFrame, key: str = "bin_id") -> DataFrame:
@@ -222,7 +222,7 @@ def agreement(
     columns = [key] if label is None else [key, label]
     first = original.select(*columns).distinct().withColumn("_o", F.lit(1))
     second = regenerated.select(*columns).distinct().withColumn("_r", F.lit(1))
-    both = null_safe_join(first, second, columns, "left").agg(
+    both = key_join(first, second, columns, "left").agg(
         F.count("_o").alias("n_original_events"), F.count("_r").alias("n_overlap")
     )
     pct = F.when(

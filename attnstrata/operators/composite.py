@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from attnstrata.functions import bins as binning
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.operators.moments import fit_logistic
-from attnstrata.operators.positions import null_safe_join
+from attnstrata.operators.positions import key_join
 from attnstrata.operators.statistics import (
     auroc,
     bootstrap_auroc_ci,
@@ -71,17 +71,17 @@ def fit_and_score(
     linear = F.col("intercept") + F.aggregate(
         F.zip_with("coefficients", "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
     )
-    scored = null_safe_join(split.filter("held_out"), models, keys).select(
+    scored = key_join(split.filter("held_out"), models, keys).select(
         *keys, id_col, "y", (1 / (1 + F.exp(-linear))).alias("score")
     )
-    out = null_safe_join(models, sizes, keys)
-    out = null_safe_join(
+    out = key_join(models, sizes, keys)
+    out = key_join(
         out, auroc(scored, keys, "y", "score").select(*keys, "auroc"), keys, "left"
     )
     interval = bootstrap_auroc_ci(
         scored, keys, "y", "score", id_col=id_col, replicates=replicates, seed=seed
     ).drop("n_replicates")
-    return null_safe_join(out, interval, keys, "left").select(
+    return key_join(out, interval, keys, "left").select(
         *keys,
         F.array(*[F.lit(f) for f in features]).alias("feature_names"),
         "coefficients",

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from attnstrata.functions import bins as binning
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.operators.moments import fit_logistic, unpack, weighted_moments
-from attnstrata.operators.positions import null_safe_join
+from attnstrata.operators.positions import key_join
 from attnstrata.operators.series import cusum, first_alarm, long_line_series
 from attnstrata.operators.statistics import bootstrap_weights, islands, pointwise_band
 
@@ -132,7 +132,7 @@ def fpca_scores(
         ),
     )
     return (
-        null_safe_join(df, fit.select(*keys, "mean", "components"), keys)
+        key_join(df, fit.select(*keys, "mean", "components"), keys)
         .withColumn("_centred", centred)
         .withColumn("scores", scores)
         .drop("_centred", "mean", "components")
@@ -165,7 +165,7 @@ def fit_functional_logistic(
     if bins is not None:
         df = binning.require_bins(df, keys[0], bins)
     enough = df.groupBy(*keys).count().filter(F.col("count") >= min_rows).drop("count")
-    df = null_safe_join(df, enough, keys, "left_semi")
+    df = key_join(df, enough, keys, "left_semi")
     indexed, draws = bootstrap_weights(
         df.select(
             *keys,
@@ -186,7 +186,7 @@ def fit_functional_logistic(
         F.transform("_d", lambda p: p["weight"].cast("int")).alias("cnts"),
     )
     rows = (
-        null_safe_join(indexed, drawn, [*keys, "_i"], "left")
+        key_join(indexed, drawn, [*keys, "_i"], "left")
         .select(*keys, "_i", "x", "y", "reps", "cnts")
         .repartition(*keys, F.pmod(F.xxhash64("_i"), F.lit(salts)))
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -234,7 +234,7 @@ def fit_functional_logistic(
     band = pointwise_band(
         long.filter(F.col("model") > 0), [*keys, "layer"], "beta", "beta_"
     )
-    beta = null_safe_join(point, band, [*keys, "layer"])
+    beta = key_join(point, band, [*keys, "layer"])
     runs = islands(
         beta, keys, "layer", (F.col("beta_ci_lower") > 0) | (F.col("beta_ci_upper") < 0)
     ).groupBy(*keys).agg(
@@ -252,7 +252,7 @@ def fit_functional_logistic(
     shares = bases.filter(F.col("model") == 0).select(
         *keys, "n_fpcs", F.col("shares").alias("fpc_variance_explained")
     )
-    fits = null_safe_join(null_safe_join(shares, whole, keys), runs, keys, "left").withColumn(
+    fits = key_join(key_join(shares, whole, keys), runs, keys, "left").withColumn(
         "discriminative_depth_intervals",
         F.coalesce(
             "discriminative_depth_intervals", F.array().cast("array<struct<lo:int,hi:int>>")

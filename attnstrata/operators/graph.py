@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attnstrata.operators.positions import null_safe_join
+from attnstrata.operators.positions import key_join
+from attnstrata.session import materialize
 
 
 def topk_edges(attn: DataFrame, keys: Sequence[str], k: Column | int) -> DataFrame:
@@ -35,7 +36,7 @@ def symmetric_weights(edges: DataFrame, attn: DataFrame, keys: Sequence[str]) ->
         *keys, F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("_back")
     )
     return (
-        null_safe_join(edges, reverse, [*keys, "src", "dst"], "left")
+        key_join(edges, reverse, [*keys, "src", "dst"], "left")
         .withColumn("w", (F.col("w") + F.coalesce("_back", F.lit(0.0))) * 0.5)
         .drop("_back")
     )
@@ -81,7 +82,7 @@ def degrees(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def graph_summary(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per graph: nodes, edges and isolated nodes; graphs without edges included."""
-    joined = null_safe_join(nodes, degrees(edges, keys), [*keys, "node"], "left")
+    joined = key_join(nodes, degrees(edges, keys), [*keys, "node"], "left")
     return joined.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_nodes"),
         F.count_if(F.col("degree").isNull()).alias("n_isolated"),
@@ -93,7 +94,7 @@ def triangles(edges: DataFrame, keys: Sequence[str], value: str = "w") -> DataFr
     """Each triangle once, as nodes (a, b, c) with its edge values ab, ac and bc."""
     degree = degrees(edges, keys)
     for end in ("lo", "hi"):
-        edges = null_safe_join(
+        edges = key_join(
             edges,
             degree.withColumnsRenamed({"node": end, "degree": f"_d_{end}"}),
             [*keys, end],
@@ -109,13 +110,13 @@ def triangles(edges: DataFrame, keys: Sequence[str], value: str = "w") -> DataFr
     other = directed.select(
         *keys, "a", F.col("b").alias("c"), F.col("d_b").alias("d_c"), F.col("ab").alias("ac")
     )
-    wedge = null_safe_join(directed, other, [*keys, "a"]).filter(
+    wedge = key_join(directed, other, [*keys, "a"]).filter(
         F.struct("d_b", "b") < F.struct("d_c", "c")
     )
     closing = directed.select(
         *keys, F.col("a").alias("b"), F.col("b").alias("c"), F.col("ab").alias("bc")
     )
-    return null_safe_join(wedge, closing, [*keys, "b", "c"]).select(
+    return key_join(wedge, closing, [*keys, "b", "c"]).select(
         *keys, "a", "b", "c", "ab", "ac", "bc"
     )
 
@@ -138,7 +139,7 @@ def forman_edges(
         .agg(F.sum("_r").alias("_s"))
     )
     for end in ("lo", "hi"):
-        rooted = null_safe_join(
+        rooted = key_join(
             rooted, at_node.withColumnsRenamed({"node": end, "_s": f"_s_{end}"}), [*keys, end]
         )
     around = F.col("_s_lo") + F.col("_s_hi") - 2 * F.col("_r")
@@ -167,7 +168,7 @@ def forman_edges(
         .groupBy(*keys, F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))
         .agg(F.count(F.lit(1)).alias("_t"), F.sum("s.in_face").alias("_inside"))
     )
-    joined = null_safe_join(rooted, faces, [*keys, "lo", "hi"], "left")
+    joined = key_join(rooted, faces, [*keys, "lo", "hi"], "left")
     t = F.coalesce("_t", F.lit(0))
     outside = around - F.coalesce("_inside", F.lit(0.0))
     curvature = F.col("w") * (
@@ -185,7 +186,7 @@ def forman_curvature(
     mean = forman_edges(edges, keys, method).groupBy(*keys).agg(
         F.avg("curvature").alias("_mean")
     )
-    summary = null_safe_join(graph_summary(edges, nodes, keys), mean, keys, "left")
+    summary = key_join(graph_summary(edges, nodes, keys), mean, keys, "left")
     defined = (F.col("n_isolated") == 0) & (F.col("n_edges") > 0)
     return summary.withColumn(
         "forman_ricci", F.when(defined, F.col("_mean")).otherwise(F.lit(float("nan")))
@@ -195,6 +196,12 @@ def forman_curvature(
 def attention_graph_curvature(
     attn: DataFrame, keys: Sequence[str], k: Column | int, method: str = "augmented"
 ) -> DataFrame:
-    """From attention weights to one curvature value per key."""
+    """From attention weights to one curvature value per key.
+
+    The sparse graphs are written to the shared scratch folder first: curvature reads
+    their edges several times, and attention is far larger than what is kept of it.
+    """
     edges, nodes = attention_graph(attn, keys, k)
-    return forman_curvature(edges, nodes, keys, method)
+    return forman_curvature(
+        materialize(edges, "edges"), materialize(nodes, "nodes"), keys, method
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.functions import ids
-from attnstrata.operators.positions import hash_segment, null_safe_join, with_position
+from attnstrata.operators.positions import hash_segment, key_join, require_keys, with_position
 
 
 def cell_counts(
@@ -123,7 +123,7 @@ def sample_in_cells(
     """``n_take`` fails and ``n_take`` controls per cell, without replacement."""
     cell = [*keys, stratum]
     wanted = allocation.filter(F.col("n_take") > 0).select(*cell, "n_take")
-    ordered = null_safe_join(events, wanted, cell).withColumn(
+    ordered = key_join(events, wanted, cell).withColumn(
         "_order", ids.order_key(seed, F.col(id_col))
     )
     return with_position(
@@ -155,11 +155,12 @@ def cem_match(
     supply them. ``strata`` lists every cell with its pools, pairs, allocation and
     the bin's status.
     """
+    events = require_keys(events, [*keys, stratum, label])
     cells = cell_counts(events, keys, stratum, label)
     taken = allocate(cells, target, keys, stratum)
     status = achievable_pairs(cells, target, keys)
-    strata = null_safe_join(
-        null_safe_join(cells, taken.select(*keys, stratum, "n_take"), [*keys, stratum], "left"),
+    strata = key_join(
+        key_join(cells, taken.select(*keys, stratum, "n_take"), [*keys, stratum], "left"),
         status,
         keys,
     ).withColumn("n_take", F.coalesce("n_take", F.lit(0)))
@@ -268,7 +269,7 @@ def cem_match_tiered(
     )
     chosen = report.filter(F.col("status") != "needs_review").select(*keys, "pool_size")
     usable = (
-        null_safe_join(pooled, chosen, keys)
+        key_join(pooled, chosen, keys)
         .filter(F.col("pool_position") < F.col("pool_size"))
         .drop("pool_position", "pool_size")
     )

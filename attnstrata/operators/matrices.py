@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attnstrata.functions import fixed_values as fixed
-from attnstrata.operators.positions import null_safe_join
+from attnstrata.operators.positions import key_join
 
 _TINY = 1e-300
 _HELD_MATRICES = 256
@@ -104,9 +104,12 @@ def weighted_context(
         *keys, F.expr(f"src div {block}").alias("_block"), "src", "dst", F.col("w").cast("double")
     )
     wanted = blocked.select(*keys, "_block").distinct()
-    spread = null_safe_join(
+    right_keys = [f"_r{i}" for i in range(len(names) + 1)]
+    spread = key_join(
         wanted, values.select(*keys, "token", F.col(v).cast("array<double>").alias("_v")), keys
-    ).select(*keys, "_block", "token", "_v")
+    ).select(
+        *[F.col(k).alias(r) for k, r in zip([*names, "_block"], right_keys)], "token", "_v"
+    )
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left[left["dst"].isin(right["token"])] if len(right) else left.iloc[:0]
@@ -122,10 +125,8 @@ def weighted_context(
             {**{k: [first[k]] * len(src) for k in names}, "src": src, "context": list(out)}
         )
 
-    by = [*names, "_block"]
-    return (
-        blocked.groupBy(*by).cogroup(spread.groupBy(*by)).applyInPandas(multiply, schema)
-    )
+    left, right = blocked.groupBy(*names, "_block"), spread.groupBy(*right_keys)
+    return left.cogroup(right).applyInPandas(multiply, schema)
 
 
 def edges_to_dense(edges: DataFrame, keys: Sequence[str], value: str = "dist") -> DataFrame:
@@ -229,7 +230,7 @@ def spectral_entropy(sigma: Column) -> Column:
 
 def spectral_features(matrices: DataFrame, keys: Sequence[str], k: int = 8) -> DataFrame:
     """stable_rank, grassmannian (distance to the first k axes) and spectral_entropy."""
-    joined = null_safe_join(decompose(matrices, keys, k), frobenius_sq(matrices, keys), keys)
+    joined = key_join(decompose(matrices, keys, k), frobenius_sq(matrices, keys), keys)
     return joined.select(
         *keys,
         stable_rank(F.col("frobenius_sq"), F.col("sigma")).alias("stable_rank"),
@@ -262,7 +263,7 @@ def atomic_features(
         wide = wide.withColumn(fixed.RICCI_FEATURE, F.lit(float("nan")))
     else:
         ricci = curvature.select(*keys, F.col("forman_ricci").alias(fixed.RICCI_FEATURE))
-        wide = null_safe_join(wide, ricci, keys, "left")
+        wide = key_join(wide, ricci, keys, "left")
     return wide.select(*keys, *fixed.FEATURES)
 
 

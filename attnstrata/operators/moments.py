@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attnstrata.operators.matrices import array_sum
-from attnstrata.operators.positions import null_safe_join
+from attnstrata.operators.positions import key_join
 
 _CHUNK_CELLS = 4_000_000
 _HELD_SUMS = 4_096
@@ -220,7 +220,7 @@ def fit_logistic(
 
         sums = newton_sums(rows, keys, active, n_models)
         if restricted:
-            sums = null_safe_join(sums, bases, [*keys, "model"])
+            sums = key_join(sums, bases, [*keys, "model"])
         for row in sums.mapInPandas(solve, schema).collect():
             s = (*[row[k] for k in names], row["model"])
             step, value = np.asarray(row["step"]), row["objective"]

@@ -14,13 +14,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def null_safe_join(
+def require_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fail on a null group key, which an equi-join would silently lose."""
+    def checked(k: str) -> Column:
+        return F.when(
+            F.col(k).isNull(), F.raise_error(F.lit(f"group key {k} is null"))
+        ).otherwise(F.col(k))
+
+    return df.withColumns({k: checked(k) for k in keys})
+
+
+def key_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Equi-join on keys that may be null; keeps the left side's key columns."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+    """Equi-join of two tables derived from each other, on columns of the same names."""
+    return left.join(right, list(keys), how)
 
 
 def hash_segment(order: str, digits: int = 2) -> Column:
@@ -50,7 +58,7 @@ def with_position(
             name, row_number.over(Window.partitionBy(*keys).orderBy(*order)) - 1
         )
     else:
-        cut = df.withColumn("_segment", segment)
+        cut = require_keys(df, keys).withColumn("_segment", segment)
         before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(
             Window.unboundedPreceding, -1
         )
@@ -60,7 +68,7 @@ def with_position(
             .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
             .drop("_rows")
         )
-        placed = null_safe_join(cut, starts, [*keys, "_segment"])
+        placed = key_join(cut, starts, [*keys, "_segment"])
         if limit is not None:
             placed = placed.filter(F.col("_start") < limit)
         inside = Window.partitionBy(*keys, "_segment").orderBy(*order)

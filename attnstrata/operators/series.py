@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attnstrata.functions import fixed_values as fixed
-from attnstrata.operators.positions import null_safe_join, with_position
+from attnstrata.operators.positions import key_join, require_keys, with_position
 
 BLOCK = 65_536
 
@@ -93,7 +93,7 @@ def long_line_series(
 def _placed(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, segment, block: int
 ) -> DataFrame:
-    placed = with_position(df, keys, order, segment=segment, name="idx")
+    placed = with_position(require_keys(df, keys), keys, order, segment=segment, name="idx")
     return placed.withColumn("_block", F.expr(f"idx div {block}")).withColumn(
         "_x", F.col(x).cast("double")
     )
@@ -141,7 +141,7 @@ def cusum(
     total = F.col("_base") + F.col("_c")
     low = F.least(F.col("_low0"), F.col("_base") + F.min("_c").over(inside))
     high = F.greatest(F.col("_high0"), F.col("_base") + F.max("_c").over(inside))
-    out = null_safe_join(local, carried, [*keys, "_block"])
+    out = key_join(local, carried, [*keys, "_block"])
     return (
         out.withColumn("positive_cusum", total - low)
         .withColumn("negative_cusum", high - total)
@@ -234,7 +234,7 @@ def ewma(
         .select(*keys, F.posexplode("_starts").alias("_at", "_start"), "_ends")
         .select(*keys, F.get("_ends", F.col("_at"))["_block"].alias("_block"), "_start")
     )
-    linked = null_safe_join(blocks, starts, [*keys, "_block"])
+    linked = key_join(blocks, starts, [*keys, "_block"])
     smoothed = linked.withColumn("_ewma", _smooth_udf(smoothing)("_start", "_values"))
     rows = smoothed.select(
         *keys, F.explode(F.arrays_zip("_points", "_ewma")).alias("r")

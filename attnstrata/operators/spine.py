@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attnstrata.functions import fixed_values as fixed
-from attnstrata.operators.positions import null_safe_join
+from attnstrata.operators.positions import key_join
 from attnstrata.operators.statistics import event_features, without_nan
 
 
@@ -92,8 +92,8 @@ def spine_curve(
     """
     by = [*keys, layer]
     shared = [k for k in by if k in atomic.columns]
-    joined = null_safe_join(edge_aggregates(edges, by), spectral_gap(edges, by), by)
-    joined = null_safe_join(joined, mean_curvature(atomic, shared), shared, "left")
+    joined = key_join(edge_aggregates(edges, by), spectral_gap(edges, by), by)
+    joined = key_join(joined, mean_curvature(atomic, shared), shared, "left")
     return joined.select(
         *by, "mean_grassmannian", "spectral_gap", "mean_forman_ricci", "modularity"
     )

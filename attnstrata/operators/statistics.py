@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attnstrata.functions import ids
-from attnstrata.operators.positions import hash_segment, null_safe_join, with_position
+from attnstrata.operators.positions import hash_segment, key_join, require_keys, with_position
 
 
 def without_nan(x: Column | str) -> Column:
@@ -23,7 +23,7 @@ def _cut_by_value(counted: DataFrame, keys: Sequence[str], value: str, segments:
     spans = counted.groupBy(*keys).agg(F.min("_z").alias("_z0"), F.max("_z").alias("_z1"))
     width = F.col("_z1") - F.col("_z0")
     return (
-        null_safe_join(counted, spans, keys)
+        key_join(counted, spans, keys)
         .withColumn(
             "_segment",
             F.when(width > 0, F.floor((F.col("_z") - F.col("_z0")) / width * segments)).otherwise(0),
@@ -47,7 +47,8 @@ def group_percentiles(
     neighbours of each wanted rank are kept. Null and NaN values are left out.
     """
     counted = (
-        df.select(*keys, without_nan(value).alias("_v"))
+        require_keys(df, keys)
+        .select(*keys, without_nan(value).alias("_v"))
         .filter(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -67,7 +68,7 @@ def group_percentiles(
         .drop("_rows")
     )
     first = F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    ranked = null_safe_join(cut, starts, [*keys, "_segment"]).withColumn("_first", first)
+    ranked = key_join(cut, starts, [*keys, "_segment"]).withColumn("_first", first)
 
     def at(rank: Column) -> Column:
         here = (F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n"))
@@ -116,7 +117,7 @@ def summarize(
     wanted = (0.1, 0.5, 0.9)
     moments = [F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")]
     if large_groups:
-        joined = null_safe_join(
+        joined = key_join(
             long.groupBy(*by).agg(*moments), group_percentiles(long, by, "x", wanted), by, "left"
         )
     else:
@@ -160,6 +161,7 @@ def impute_median(
 
     Medians come from an aggregate joined back; no group is gathered in one task.
     """
+    df = require_keys(df, keys)
     long = df.select(
         *keys,
         F.explode(
@@ -176,7 +178,7 @@ def impute_median(
         .groupBy(*keys)
         .agg(*[F.max(F.when(F.col("c") == c, F.col("q0"))).alias(f"_med_{c}") for c in columns])
     )
-    out = null_safe_join(df, medians, keys, "left")
+    out = key_join(df, medians, keys, "left")
     if add_indicator:
         out = out.withColumns({f"{c}_imputed": without_nan(c).isNull() for c in columns})
     return out.withColumns(
@@ -194,10 +196,11 @@ def stratified_split(
     seed: Column | str = "split",
 ) -> DataFrame:
     """Mark ``ceil(fraction * n)`` rows of each (group, label) as ``held_out``."""
+    df = require_keys(df, [*keys, label])
     cells = df.groupBy(*keys, label).agg(
         F.ceil(F.lit(fraction) * F.count(F.lit(1))).alias("_n_out")
     )
-    ordered = null_safe_join(df, cells, [*keys, label]).withColumn(
+    ordered = key_join(df, cells, [*keys, label]).withColumn(
         "_order", ids.order_key(seed, F.col(id_col))
     )
     return (
@@ -216,7 +219,7 @@ def stratified_split(
 def rows_per_group_at_least(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Keep the groups with enough rows for a stable fit."""
     enough = df.groupBy(*keys).count().filter(F.col("count") >= n).drop("count")
-    return null_safe_join(df, enough, keys, "left_semi")
+    return key_join(df, enough, keys, "left_semi")
 
 
 def auroc(
@@ -236,7 +239,7 @@ def auroc(
     """
     n = F.lit(1) if weight is None else F.col(weight)
     positive = F.col(label).cast("int") == 1
-    counted = df.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
+    counted = require_keys(df, keys).groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
         F.sum(F.when(positive, n).otherwise(0)).alias("_pos"),
         F.sum(F.when(positive, 0).otherwise(n)).alias("_neg"),
     )
@@ -288,7 +291,7 @@ def bootstrap_weights(
         ordered, keys, ["_order", id_col], segment=hash_segment("_order"), name="_i"
     ).drop("_order")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    drawing = null_safe_join(indexed.select(*keys, "_i"), sizes, keys).withColumn(
+    drawing = key_join(indexed.select(*keys, "_i"), sizes, keys).withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
     name = F.concat_ws(
@@ -339,7 +342,7 @@ def bootstrap_auroc_ci(
     indexed, draws = bootstrap_weights(
         df, keys, id_col=id_col, replicates=replicates, seed=seed
     )
-    drawn = null_safe_join(draws, indexed.select(*keys, "_i", label, score), [*keys, "_i"])
+    drawn = key_join(draws, indexed.select(*keys, "_i", label, score), [*keys, "_i"])
     scores = auroc(drawn, [*keys, "replicate"], label, score, weight="weight")
     return percentile_pick(scores, keys, "auroc", "auroc")
 
