@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +19,7 @@ from attnstrata.operators.statistics import (
     rows_per_group_at_least,
     stratified_split,
 )
+from attnstrata.session import materialize
 
 
 def fit_and_score(
@@ -34,7 +34,12 @@ def fit_and_score(
     replicates: int,
     seed: str,
 ) -> DataFrame:
-    """Impute, split, fit, and score the held-out rows of every group."""
+    """Impute, split, fit, and score the held-out rows of every group.
+
+    The split rows and the held-out scores are written to the shared scratch folder:
+    every Newton pass and every replicate reads them, and a lost executor costs a
+    re-read instead of the whole lineage.
+    """
     spark = df.sparkSession
     prepared = impute_median(df.select(*keys, id_col, label, *features), keys, features)
     split = stratified_split(
@@ -46,7 +51,7 @@ def fit_and_score(
         F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
         "held_out",
     )
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
+    split = materialize(split, "split")
     sizes = split.groupBy(*keys).agg(
         F.count_if(~F.col("held_out")).alias("n_events_train"),
         F.count_if("held_out").alias("n_events_held_out"),
@@ -74,6 +79,7 @@ def fit_and_score(
     scored = key_join(split.filter("held_out"), models, keys).select(
         *keys, id_col, "y", (1 / (1 + F.exp(-linear))).alias("score")
     )
+    scored = materialize(scored, "scored")
     out = key_join(models, sizes, keys)
     out = key_join(
         out, auroc(scored, keys, "y", "score").select(*keys, "auroc"), keys, "left"

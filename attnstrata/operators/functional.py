@@ -6,7 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +16,7 @@ from attnstrata.operators.moments import fit_logistic, unpack, weighted_moments
 from attnstrata.operators.positions import key_join
 from attnstrata.operators.series import cusum, first_alarm, long_line_series
 from attnstrata.operators.statistics import bootstrap_weights, islands, pointwise_band
+from attnstrata.session import materialize
 
 _FLAT = 1e-13
 
@@ -185,16 +185,19 @@ def fit_functional_logistic(
         F.transform("_d", lambda p: p["m"]).alias("reps"),
         F.transform("_d", lambda p: p["weight"].cast("int")).alias("cnts"),
     )
-    rows = (
+    rows = materialize(
         key_join(indexed, drawn, [*keys, "_i"], "left")
         .select(*keys, "_i", "x", "y", "reps", "cnts")
-        .repartition(*keys, F.pmod(F.xxhash64("_i"), F.lit(salts)))
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .repartition(*keys, F.pmod(F.xxhash64("_i"), F.lit(salts))),
+        "replicates",
     )
     n_models = replicates + 1
-    bases = _decompose_moments(
-        weighted_moments(rows, keys, n_models), keys, threshold=threshold, max_fpcs=32
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    bases = materialize(
+        _decompose_moments(
+            weighted_moments(rows, keys, n_models), keys, threshold=threshold, max_fpcs=32
+        ),
+        "bases",
+    )
     usable = bases.filter(
         (F.col("n_fpcs") > 0)
         & (F.col("n_positive") > 0)

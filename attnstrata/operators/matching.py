@@ -186,7 +186,7 @@ def tier_pools(
 ) -> DataFrame:
     """The rows the largest tier may use, each with its place in its bin's order."""
     largest = int(target * 2 * max(factors))
-    ordered = pool.withColumn("_order", ids.order_key("pool", F.col(id_col)))
+    ordered = require_keys(pool, keys).withColumn("_order", ids.order_key("pool", F.col(id_col)))
     return with_position(
         ordered,
         list(keys),

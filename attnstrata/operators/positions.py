@@ -45,7 +45,7 @@ def with_position(
     limit: Column | int | None = None,
     name: str = "position",
 ) -> DataFrame:
-    """Zero-based position of each row within its group.
+    """Zero-based position of each row within its group (keys must not be null).
 
     With ``segment``, positions are counted per (group, segment) and shifted by the
     rows of all earlier segments, so a group holding a third of the table is spread
@@ -58,7 +58,7 @@ def with_position(
             name, row_number.over(Window.partitionBy(*keys).orderBy(*order)) - 1
         )
     else:
-        cut = require_keys(df, keys).withColumn("_segment", segment)
+        cut = df.withColumn("_segment", segment)
         before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(
             Window.unboundedPreceding, -1
         )

@@ -44,11 +44,11 @@ def group_percentiles(
 
     The built-in exact percentile keeps all distinct values of a group in one task.
     Here values are counted first, ranks are found per value range, and only the two
-    neighbours of each wanted rank are kept. Null and NaN values are left out.
+    neighbours of each wanted rank are kept. Null and NaN values are left out; keys must
+    not be null.
     """
     counted = (
-        require_keys(df, keys)
-        .select(*keys, without_nan(value).alias("_v"))
+        df.select(*keys, without_nan(value).alias("_v"))
         .filter(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -237,9 +237,10 @@ def auroc(
     score ranges and the ranges are linked by their totals, so a group is never
     sorted in one task. Groups with a single class get a null.
     """
+    df = require_keys(df, [k for k in keys if k != "replicate"])
     n = F.lit(1) if weight is None else F.col(weight)
     positive = F.col(label).cast("int") == 1
-    counted = require_keys(df, keys).groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
+    counted = df.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
         F.sum(F.when(positive, n).otherwise(0)).alias("_pos"),
         F.sum(F.when(positive, 0).otherwise(n)).alias("_neg"),
     )
@@ -286,6 +287,7 @@ def bootstrap_weights(
     makes draw number i of every replicate, so draws are produced where the rows are
     and are counted before they are shuffled.
     """
+    df = require_keys(df, keys)
     ordered = df.withColumn("_order", ids.order_key(order_seed, F.col(id_col)))
     indexed = with_position(
         ordered, keys, ["_order", id_col], segment=hash_segment("_order"), name="_i"

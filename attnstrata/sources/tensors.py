@@ -64,8 +64,8 @@ def require_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str) -> None:
-    """One directory per id prefix. Rows are spread by id and position columns within
-    a prefix, so a frequent prefix is written by several tasks.
+    """One directory per id prefix. Rows are spread by event within a prefix; the tensor
+    shape bounds one event, and a frequent prefix is written by several tasks.
     """
     prefixed = downcast(df, _double_columns(df)).withColumn(
         "id_prefix", id_prefix(F.col("event_id"))

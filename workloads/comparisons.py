@@ -216,17 +216,19 @@ def a18(spark, sf):
 
 
 def _regenerated(spark, sf):
-    """The same documents rebuilt, every tenth with another first letter case."""
+    """The same documents rebuilt, every tenth with one more character."""
     d = v.doc_events(spark, sf)
     changed = d.withColumn(
-        "document", F.when(F.col("doc_id") % 10 == 3, F.upper("document")).otherwise(F.col("document"))
+        "document", F.when(F.col("doc_id") % 10 == 3, F.concat("document", F.lit("!"))).otherwise(
+            F.col("document")
+        )
     )
     return ids.with_event_id(changed.drop("event_id"))
 
 
 SQL_REGENERATED = v.SQL_DOC_EVENTS + f""",
 regen AS (
-  SELECT doc_id, bin_id, sha256('{v.SHA}' || CASE WHEN doc_id % 10 = 3 THEN upper(document) ELSE document END
+  SELECT doc_id, bin_id, sha256('{v.SHA}' || CASE WHEN doc_id % 10 = 3 THEN document || '!' ELSE document END
     || question || gold_answer) AS event_id FROM doc_events)"""
 
 
@@ -257,7 +259,9 @@ def a19(spark, sf):
 )
 def a20(spark, sf):
     tampered = v.doc_events(spark, sf).withColumn(
-        "document", F.when(F.col("doc_id") % 10 == 3, F.upper("document")).otherwise(F.col("document"))
+        "document", F.when(F.col("doc_id") % 10 == 3, F.concat("document", F.lit("!"))).otherwise(
+            F.col("document")
+        )
     )
     return ids.bad_id_count(tampered)
 
