@@ -36,12 +36,13 @@ def fit_and_score(
 ) -> DataFrame:
     """Impute, split, fit, and score the held-out rows of every group.
 
-    The split rows and the held-out scores are written to the shared scratch folder:
-    every Newton pass and every replicate reads them, and a lost executor costs a
-    re-read instead of the whole lineage.
+    The feature matrix, the split rows and the held-out scores are written to the shared
+    scratch folder: every Newton pass and every replicate reads them, and a lost executor
+    costs a re-read instead of the whole lineage.
     """
     spark = df.sparkSession
-    prepared = impute_median(df.select(*keys, id_col, label, *features), keys, features)
+    matrix = materialize(df.select(*keys, id_col, label, *features), "features")
+    prepared = impute_median(matrix, keys, features)
     split = stratified_split(
         prepared, keys, label, id_col=id_col, fraction=holdout, seed=seed
     ).select(

@@ -45,6 +45,14 @@ def _blocks(sentences: DataFrame, block_facts: int) -> tuple[DataFrame, int]:
     return pools, n_blocks
 
 
+def _spread(events: DataFrame, key: str) -> DataFrame:
+    """Spread rows over all cores before each grows into a document of many sentences.
+
+    A split of short plan rows would otherwise become one task with gigabytes of text.
+    """
+    return events.repartition(events.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _with_pool(events: DataFrame, pools: DataFrame, n_blocks: int) -> DataFrame:
     if n_blocks == 1:
         return events.withColumn("pool", pools.select("pool").scalar())
@@ -156,7 +164,7 @@ def lexical_pairs(
 
 
 def take_distractors(
-    pairs: DataFrame, *, keys: list[str], candidate: str, n: Column | int, seed: str = "distractor"
+    pairs: DataFrame, *, keys: list[str], candidate: str, n: int, seed: str = "distractor"
 ) -> DataFrame:
     """The first ``n`` candidates of each group in seeded order."""
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, candidate]])
@@ -211,7 +219,7 @@ def assemble_documents(
             ),
         )
     )
-    picked = _with_pool(base, pools, n_blocks).withColumn(
+    picked = _with_pool(_spread(base, "plan_id"), pools, n_blocks).withColumn(
         "_picks",
         F.slice(
             F.array_sort(
@@ -367,7 +375,7 @@ def inject_distractors(
         )
 
     picked = (
-        _with_pool(base, pools, n_blocks)
+        _with_pool(_spread(base, "event_id"), pools, n_blocks)
         .withColumn(
             "_picks",
             F.slice(

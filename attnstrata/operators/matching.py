@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.functions import ids
-from attnstrata.operators.positions import hash_segment, key_join, require_keys, with_position
+from attnstrata.operators.positions import (
+    hash_segment,
+    key_join,
+    place,
+    require_keys,
+    segment_counts,
+    segment_starts,
+    with_position,
+)
+from attnstrata.session import materialize
 
 
 def cell_counts(
@@ -110,6 +119,33 @@ def allocate(
     ).drop("_total", "_target", "_floor")
 
 
+def _in_sampling_order(
+    events: DataFrame, seed: Column | str, id_col: str, digits: int
+) -> DataFrame:
+    ordered = events.withColumn("_order", ids.order_key(seed, F.col(id_col)))
+    return ordered.withColumn("_segment", hash_segment("_order", digits))
+
+
+def _take(
+    ordered: DataFrame,
+    counts: DataFrame,
+    allocation: DataFrame,
+    cell: Sequence[str],
+    label: str,
+    id_col: str,
+) -> DataFrame:
+    wanted = allocation.filter(F.col("n_take") > 0).select(*cell, "n_take")
+    group = [*cell, label]
+    starts = key_join(segment_starts(counts, group), wanted, cell).filter(
+        F.col("_start") < F.col("n_take")
+    )
+    return (
+        place(ordered, starts, group, ["_order", id_col], "_position")
+        .filter(F.col("_position") < F.col("n_take"))
+        .drop("_order", "_position", "n_take")
+    )
+
+
 def sample_in_cells(
     events: DataFrame,
     allocation: DataFrame,
@@ -119,21 +155,18 @@ def sample_in_cells(
     stratum: str = "cem_stratum_id",
     label: str = "is_fail",
     id_col: str = "event_id",
+    segment_digits: int = 2,
 ) -> DataFrame:
-    """``n_take`` fails and ``n_take`` controls per cell, without replacement."""
+    """``n_take`` fails and ``n_take`` controls per cell, without replacement.
+
+    Only hash ranges that can hold a taken row survive the join with the small table
+    of range starts, so the sort sees little more than the sample. A cell has 16 to the
+    ``segment_digits`` ranges: take 3 or 4 digits for cells of many billion rows.
+    """
     cell = [*keys, stratum]
-    wanted = allocation.filter(F.col("n_take") > 0).select(*cell, "n_take")
-    ordered = key_join(events, wanted, cell).withColumn(
-        "_order", ids.order_key(seed, F.col(id_col))
-    )
-    return with_position(
-        ordered,
-        [*cell, label],
-        ["_order", id_col],
-        segment=hash_segment("_order"),
-        limit=F.col("n_take"),
-        name="_position",
-    ).drop("_order", "_position", "n_take")
+    ordered = _in_sampling_order(events, seed, id_col, segment_digits)
+    counts = segment_counts(ordered, [*cell, label])
+    return _take(ordered, counts, allocation, cell, label, id_col)
 
 
 def bin_seed(keys: Sequence[str] = ("bin_id",)) -> Column:
@@ -150,30 +183,42 @@ def cem_match(
     label: str = "is_fail",
     id_col: str = "event_id",
     seed: Column | str | None = None,
+    segment_digits: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
     """(balanced rows, strata): ``target`` fails and controls for each bin able to
     supply them. ``strata`` lists every cell with its pools, pairs, allocation and
     the bin's status.
     """
-    events = require_keys(events, [*keys, stratum, label])
-    cells = cell_counts(events, keys, stratum, label)
+    cell = [*keys, stratum]
+    ordered = _in_sampling_order(
+        require_keys(events, [*cell, label]),
+        bin_seed(keys) if seed is None else seed,
+        id_col,
+        segment_digits,
+    )
+    counts = segment_counts(ordered, [*cell, label])
+    cells = _cells_from_counts(counts, cell, label)
     taken = allocate(cells, target, keys, stratum)
     status = achievable_pairs(cells, target, keys)
     strata = key_join(
-        key_join(cells, taken.select(*keys, stratum, "n_take"), [*keys, stratum], "left"),
-        status,
-        keys,
+        key_join(cells, taken.select(*cell, "n_take"), cell, "left"), status, keys
     ).withColumn("n_take", F.coalesce("n_take", F.lit(0)))
-    matched = sample_in_cells(
-        events,
-        taken,
-        seed=bin_seed(keys) if seed is None else seed,
-        keys=keys,
-        stratum=stratum,
-        label=label,
-        id_col=id_col,
+    return _take(ordered, counts, taken, cell, label, id_col), strata
+
+
+def _cells_from_counts(counts: DataFrame, cell: Sequence[str], label: str) -> DataFrame:
+    """Pool sizes per cell from the counts per sampling range: one pass over the events
+    serves both.
+    """
+    rows = F.col("_rows")
+    return (
+        counts.groupBy(*cell)
+        .agg(
+            F.sum(F.when(F.col(label), rows).otherwise(0)).alias("n_fail_pool"),
+            F.sum(F.when(F.col(label), 0).otherwise(rows)).alias("n_ctrl_pool"),
+        )
+        .withColumn("n_matched_pairs", F.least("n_fail_pool", "n_ctrl_pool"))
     )
-    return matched, strata
 
 
 def tier_pools(
@@ -191,7 +236,7 @@ def tier_pools(
         ordered,
         list(keys),
         ["_order", id_col],
-        segment=hash_segment("_order", 4),
+        segment=hash_segment("_order", 3),
         limit=largest,
         name="pool_position",
     ).drop("_order")
@@ -262,8 +307,14 @@ def cem_match_tiered(
     id_col: str = "event_id",
     factors: Sequence[float] = fixed.TIER_FACTORS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(balanced rows, strata, per-bin report), growing the pool where needed."""
-    pooled = tier_pools(pool, target, keys=keys, id_col=id_col, factors=factors)
+    """(balanced rows, strata, per-bin report), growing the pool where needed.
+
+    The pooled rows, a fixed multiple of the target per bin however large the source,
+    are written once to the shared scratch folder.
+    """
+    pooled = materialize(
+        tier_pools(pool, target, keys=keys, id_col=id_col, factors=factors), "pool"
+    )
     report = tier_report(
         pooled, target, keys=keys, stratum=stratum, label=label, factors=factors
     )

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attnstrata.session import broadcast_if_small, materialize
+
 
 def require_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fail on a null group key, which an equi-join would silently lose."""
@@ -32,8 +34,51 @@ def key_join(
 
 
 def hash_segment(order: str, digits: int = 2) -> Column:
-    """Segment for rows ordered by a hex hash: its first digits."""
-    return F.substring(F.col(order), 1, digits)
+    """Segment for rows ordered by a hex hash: its first digits (never null, so that
+    no null check evaluates the hash a second time).
+    """
+    return F.coalesce(F.substring(F.col(order), 1, digits), F.lit(""))
+
+
+def segment_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per (group, ``_segment``): the small table all positions are built from.
+
+    Counted in one pass and stored, so the rows are scanned twice in all: once here
+    and once when they are placed.
+    """
+    counts = df.groupBy(*keys, "_segment").agg(F.count(F.lit(1)).alias("_rows"))
+    return materialize(counts, "segments")
+
+
+def segment_starts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """First position of every segment; one window row per segment."""
+    before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    return counts.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop(
+        "_rows"
+    )
+
+
+def place(
+    df: DataFrame,
+    starts: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    name: str = "position",
+) -> DataFrame:
+    """Positions of the rows whose segment is in ``starts``. Further columns of
+    ``starts`` stay on the rows.
+
+    While ``starts`` is small by count it is broadcast: rows of other segments are then
+    dropped where they are read, and only the rest is shuffled, once.
+    """
+    inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
+    return (
+        key_join(df, broadcast_if_small(starts), [*keys, "_segment"])
+        .withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
+        .drop("_segment", "_start")
+    )
 
 
 def with_position(
@@ -42,7 +87,7 @@ def with_position(
     order: Sequence[Column | str],
     *,
     segment: Column | None = None,
-    limit: Column | int | None = None,
+    limit: int | None = None,
     name: str = "position",
 ) -> DataFrame:
     """Zero-based position of each row within its group (keys must not be null).
@@ -52,27 +97,13 @@ def with_position(
     over as many tasks as it has segments. With ``limit``, only rows at positions
     below it are returned; whole segments beyond it are dropped before the sort.
     """
-    row_number = F.row_number()
     if segment is None:
-        out = df.withColumn(
-            name, row_number.over(Window.partitionBy(*keys).orderBy(*order)) - 1
-        )
+        by = Window.partitionBy(*keys).orderBy(*order)
+        out = df.withColumn(name, F.row_number().over(by) - 1)
     else:
         cut = df.withColumn("_segment", segment)
-        before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        starts = (
-            cut.groupBy(*keys, "_segment")
-            .agg(F.count(F.lit(1)).alias("_rows"))
-            .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-            .drop("_rows")
-        )
-        placed = key_join(cut, starts, [*keys, "_segment"])
+        starts = segment_starts(segment_counts(cut, keys), keys)
         if limit is not None:
-            placed = placed.filter(F.col("_start") < limit)
-        inside = Window.partitionBy(*keys, "_segment").orderBy(*order)
-        out = placed.withColumn(
-            name, F.col("_start") + row_number.over(inside) - 1
-        ).drop("_segment", "_start")
+            starts = starts.filter(F.col("_start") < limit)
+        out = place(cut, starts, keys, order, name)
     return out if limit is None else out.filter(F.col(name) < limit)

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attnstrata.functions import ids
-from attnstrata.operators.positions import hash_segment, key_join, require_keys, with_position
+from attnstrata.operators.positions import (
+    hash_segment,
+    key_join,
+    place,
+    require_keys,
+    segment_counts,
+    segment_starts,
+    with_position,
+)
 
 
 def without_nan(x: Column | str) -> Column:
@@ -194,23 +202,19 @@ def stratified_split(
     id_col: str,
     fraction: float = 0.2,
     seed: Column | str = "split",
+    segment_digits: int = 2,
 ) -> DataFrame:
     """Mark ``ceil(fraction * n)`` rows of each (group, label) as ``held_out``."""
-    df = require_keys(df, [*keys, label])
-    cells = df.groupBy(*keys, label).agg(
-        F.ceil(F.lit(fraction) * F.count(F.lit(1))).alias("_n_out")
-    )
-    ordered = key_join(df, cells, [*keys, label]).withColumn(
-        "_order", ids.order_key(seed, F.col(id_col))
+    group = [*keys, label]
+    ordered = require_keys(df, group).withColumn("_order", ids.order_key(seed, F.col(id_col)))
+    ordered = ordered.withColumn("_segment", hash_segment("_order", segment_digits))
+    counts = segment_counts(ordered, group)
+    sizes = counts.groupBy(*group).agg(
+        F.ceil(F.lit(fraction) * F.sum("_rows")).alias("_n_out")
     )
+    starts = key_join(segment_starts(counts, group), sizes, group)
     return (
-        with_position(
-            ordered,
-            [*keys, label],
-            ["_order", id_col],
-            segment=hash_segment("_order"),
-            name="_position",
-        )
+        place(ordered, starts, group, ["_order", id_col], "_position")
         .withColumn("held_out", F.col("_position") < F.col("_n_out"))
         .drop("_order", "_position", "_n_out")
     )

@@ -84,7 +84,9 @@ def a16(spark, sf):
     SELECT {', '.join(sql_r6(c) + ' AS ' + c for c in REPORT)}, auroc < 0.75 OR auroc_ci_lower < 0.55 AS passes FROM base""",
 )
 def a16_pooled(spark, sf):
-    s = models.scored_documents(spark, sf).withColumn("bin_id", F.lit("all"))
+    s = models.scored_documents(spark, sf).withColumn(
+        "bin_id", F.when(F.col("length") >= 0, "all")
+    )
     point = statistics.auroc(s, ["bin_id"], "is_fail", "length")
     interval = statistics.bootstrap_auroc_ci(
         s, ["bin_id"], "is_fail", "length", id_col="event_id", replicates=models.REPLICATES

@@ -261,16 +261,17 @@ def j02(spark, sf):
 
 @query(
     "j03_events_with_edges",
-    f"""WITH {linear.SQL_EDGES}, ev AS (SELECT DISTINCT vec_id // 250 AS event_id FROM embeddings
-      UNION ALL SELECT -1)
+    f"""WITH {linear.SQL_EDGES}, ev AS (SELECT DISTINCT unnest([vec_id // 250, vec_id // 250 + 1]) AS event_id FROM embeddings)
     SELECT event_id, count(h_i) AS n_edges, count(h_i) = 0 AS skipped
     FROM ev LEFT JOIN edges USING (event_id) GROUP BY event_id""",
 )
 def j03(spark, sf):
     """Events without stored edges are skipped by the join and listed apart."""
     edges = linear.trace_edges(spark, sf)
-    events = captured_events(spark, sf).select("event_id")
-    events = events.unionByName(events.agg(F.lit(-1).cast("bigint").alias("event_id")))
+    here = F.expr("vec_id div 250")
+    events = table(spark, sf, "embeddings").select(
+        F.explode(F.array(here, here + 1)).alias("event_id")
+    ).distinct()
     found = events.join(edges, "event_id").groupBy("event_id").agg(F.count(F.lit(1)).alias("n_edges"))
     skipped = spine.missing_events(events, edges).select("event_id", F.lit(0).cast("bigint").alias("n_edges"))
     return found.withColumn("skipped", F.lit(False)).unionByName(skipped.withColumn("skipped", F.lit(True)))
