@@ -20,6 +20,7 @@ from attnstrata.operators.positions import hash_segment, with_position
 from attnstrata.session import broadcast_if_small
 
 BLOCK_FACTS = 10_000
+BROADCAST_BLOCKS = 32
 
 
 def fact_sentences(templates: DataFrame, facts: DataFrame) -> DataFrame:
@@ -53,11 +54,21 @@ def _spread(events: DataFrame, key: str) -> DataFrame:
     return events.repartition(events.sparkSession.sparkContext.defaultParallelism, key)
 
 
-def _with_pool(events: DataFrame, pools: DataFrame, n_blocks: int) -> DataFrame:
+def _with_pool(events: DataFrame, pools: DataFrame, n_blocks: int, key: str) -> DataFrame:
+    """Events with the fact array of each block. A catalogue of few blocks is broadcast;
+    beyond that, blocks are copied over salts so that no block is one task.
+    """
     if n_blocks == 1:
         return events.withColumn("pool", pools.select("pool").scalar())
-    spread = events.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    return spread.join(pools, "block").drop("block")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    if n_blocks <= BROADCAST_BLOCKS:
+        return events.withColumn("block", blocks).join(F.broadcast(pools), "block").drop("block")
+    salts = events.sparkSession.sparkContext.defaultParallelism
+    salted = events.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    copies = pools.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (
+        salted.withColumn("block", blocks).join(copies, ["block", "salt"]).drop("block", "salt")
+    )
 
 
 def _merge_picks(df: DataFrame, n_blocks: int, key: str, picks: str, size: Column) -> DataFrame:
@@ -219,7 +230,7 @@ def assemble_documents(
             ),
         )
     )
-    picked = _with_pool(_spread(base, "plan_id"), pools, n_blocks).withColumn(
+    picked = _with_pool(_spread(base, "plan_id"), pools, n_blocks, "plan_id").withColumn(
         "_picks",
         F.slice(
             F.array_sort(
@@ -375,7 +386,7 @@ def inject_distractors(
         )
 
     picked = (
-        _with_pool(_spread(base, "event_id"), pools, n_blocks)
+        _with_pool(_spread(base, "event_id"), pools, n_blocks, "event_id")
         .withColumn(
             "_picks",
             F.slice(

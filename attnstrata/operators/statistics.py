@@ -110,28 +110,37 @@ def summarize(
     Groups are the positions of one lookback window by default; set ``large_groups``
     when a group may be too big for one task.
     """
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
-                    for c in columns
-                ]
-            )
-        ).alias("f"),
-    ).select(*keys, "f.feature", "f.x")
     by = [*keys, "feature"]
     wanted = (0.1, 0.5, 0.9)
-    moments = [F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")]
     if large_groups:
-        joined = key_join(
-            long.groupBy(*by).agg(*moments), group_percentiles(long, by, "x", wanted), by, "left"
+        named = [
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+            for c in columns
+        ]
+        long = df.select(*keys, F.explode(F.array(*named)).alias("f")).select(
+            *keys, "f.feature", "f.x"
         )
+        moments = long.groupBy(*by).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+        joined = key_join(moments, group_percentiles(long, by, "x", wanted), by, "left")
     else:
-        qs = F.percentile("x", F.array(*[F.lit(q) for q in wanted]))
-        joined = long.groupBy(*by).agg(*moments, qs.alias("_q")).withColumns(
-            {f"q{i}": F.get("_q", F.lit(i)) for i in range(3)}
+        qs = F.array(*[F.lit(q) for q in wanted])
+
+        def stats(c: str) -> Column:
+            x = F.col(c).cast("double")
+            return F.struct(
+                F.lit(c).alias("feature"),
+                F.avg(x).alias("mean"),
+                F.percentile(x, qs).alias("q"),
+                F.stddev_pop(x).alias("std"),
+            )
+
+        wide = df.groupBy(*keys).agg(F.array(*[stats(c) for c in columns]).alias("_s"))
+        joined = wide.select(*keys, F.explode("_s").alias("s")).select(
+            *keys,
+            "s.feature",
+            "s.mean",
+            "s.std",
+            *[F.get("s.q", F.lit(i)).alias(f"q{i}") for i in range(3)],
         )
 
     def quantile(i: int) -> Column:

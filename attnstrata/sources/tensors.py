@@ -63,14 +63,15 @@ def require_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def _write(df: DataFrame, path: str) -> None:
-    """One directory per id prefix. Rows are spread by event within a prefix; the tensor
-    shape bounds one event, and a frequent prefix is written by several tasks.
+def _write(df: DataFrame, path: str, files_per_prefix: int = 8) -> None:
+    """One directory per id prefix with a fixed number of files in each, whatever the
+    number of tasks; an event's rows lie in one file.
     """
     prefixed = downcast(df, _double_columns(df)).withColumn(
         "id_prefix", id_prefix(F.col("event_id"))
     )
-    prefixed.repartition("id_prefix", "event_id").write.partitionBy("id_prefix").parquet(path)
+    file = F.pmod(F.xxhash64("event_id"), F.lit(files_per_prefix))
+    prefixed.repartition("id_prefix", file).write.partitionBy("id_prefix").parquet(path)
 
 
 def write_atomic(atomic: DataFrame, path: str) -> None:

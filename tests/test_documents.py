@@ -62,6 +62,14 @@ def test_blocks_do_not_change_the_result(spark, catalogue, plan):
     assert one.exceptAll(many).count() == 0 and many.count() == 33
 
 
+def test_many_blocks_use_salts(spark, catalogue, plan, monkeypatch):
+    cols = ["event_id", "document", "plan_id"]
+    one = documents.assemble_documents(plan, *catalogue).select(*cols)
+    monkeypatch.setattr(documents, "BROADCAST_BLOCKS", 2)
+    many = documents.assemble_documents(plan, *catalogue, block_facts=9).select(*cols)
+    assert one.exceptAll(many).count() == 0 and many.count() == 33
+
+
 def events(spark, catalogue, plan):
     e = documents.assemble_documents(plan, *catalogue)
     policy = F.element_at(F.array(*[F.lit(p) for p in fixed.POLICIES]), (F.col("plan_id") % 4 + 1).cast("int"))
