@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "matching", "assembly", "graphs", "sequences", "linear", "models", "comparisons", "storage")
+MODULES = ("scalars", "matching", "assembly", "graphs", "sequences", "linear", "models", "comparisons", "storage", "planar")
 
 
 def load():
