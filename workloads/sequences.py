@@ -48,20 +48,20 @@ def w08(spark, sf):
 
 SQL_EWMA = v.SQL_SERIES + """,
 lists AS (SELECT user_id, list(x ORDER BY idx) AS xs FROM series GROUP BY user_id),
-RECURSIVE_E AS (
+smoothed AS (
   SELECT user_id, i, e FROM (
-    SELECT user_id, i, list_reduce(list_prepend(0.0::DOUBLE, xs[1:i]), lambda a, b: 0.7 * a + 0.3 * b) AS e
-    FROM (SELECT user_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM lists)))"""
+    SELECT user_id, i, list_reduce(list_prepend(DRIFT::DOUBLE, xs[1:i]), lambda a, b: 0.7 * a + 0.3 * b) AS e
+    FROM (SELECT user_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM lists)))""".replace("DRIFT", repr(DRIFT))
 
 
 @query(
     "w09_ewma",
     f"""WITH {SQL_EWMA} SELECT user_id, CAST(i - 1 AS BIGINT) AS idx, {sql_r6('e')} AS ewma,
-    abs(e) > 25 AS alarm FROM RECURSIVE_E""",
+    abs(e - {DRIFT!r}) > 25 AS alarm FROM smoothed""",
 )
 def w09(spark, sf):
     out = series.ewma(
-        v.user_series(spark, sf), USER, ORDER, "x", threshold=25.0, segment=_day()
+        v.user_series(spark, sf), USER, ORDER, "x", threshold=25.0, drift=DRIFT, segment=_day()
     )
     return out.select("user_id", F.col("idx").cast("bigint").alias("idx"), r6("ewma").alias("ewma"), "alarm")
 
