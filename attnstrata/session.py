@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,27 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 100_000
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Not needed where it is installed on them or given by ``--py-files``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="attnstrata-"), "attnstrata"),
+        "zip",
+        os.path.dirname(package),
+        os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
