@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from attnstrata.llm import byte_bpe, jaccard_groups, language_crf, quality_rules, url_filter
 from attnstrata.llm.common import table
-from attnstrata.llm.jaccard_groups import jaccard_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +18,29 @@ def query(fn):
     return fn
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.op1(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.op3(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.op4(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_quality_rules"] = quality_rules.SQL
+
+
+@query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_groups.jaccard_components(table(spark, sf_dir, "documents"))
