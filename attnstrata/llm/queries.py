@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attnstrata.llm import byte_bpe, jaccard_groups, language_crf, quality_rules, url_filter
+from attnstrata.llm import (
+    byte_bpe,
+    byte_cnn,
+    html_text,
+    jaccard_groups,
+    language_crf,
+    license_scan,
+    pii_spans,
+    quality_rules,
+    template_leaks,
+    url_filter,
+)
 from attnstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +34,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.op1(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op2(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op3(table(spark, sf_dir, "documents"))
@@ -36,11 +52,31 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_quality_rules"] = quality_rules.SQL
 
 
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op5(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans.op9(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.jaccard_components(table(spark, sf_dir, "documents"))

@@ -128,3 +128,57 @@ def distinct_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
+
+
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
+_LETTER[128:] = True
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
+
+
+class PlainWords:
+    """Words of letters, digits and bytes beyond ASCII; a point or comma between two digits belongs to its number.
+
+    ``hashes`` are of the folded words (A-Z, and capitals of Latin-1 in UTF-8); ``starts`` and ``ends`` are places in
+    ``data``; ``first`` is each text's first word, one more than texts.
+    """
+
+    def __init__(self, texts: pa.Array):
+        self.data, self.offsets = raw_bytes(texts)
+        data = self.data
+        inside = _LETTER[data]
+        digit = _DIGIT[data]
+        if len(data) > 2:
+            joint = np.flatnonzero(digit[:-2] & digit[2:] & ((data[1:-1] == 46) | (data[1:-1] == 44))) + 1
+            inside[joint] = True
+        self.digit, self.inside = digit, inside
+        self.starts, self.ends = spans(inside, self.offsets)
+        folded = _FOLD[data]
+        if len(data) > 1:
+            lead = np.flatnonzero(data[:-1] == 0xC3) + 1
+            second = data[lead]
+            lead = lead[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]
+            folded[lead] += 0x20
+            self.latin_capitals = lead - 1
+        else:
+            self.latin_capitals = np.zeros(0, np.int64)
+        self.hashes = hash_spans(folded, self.starts, self.ends)
+        self.first = np.searchsorted(self.starts, self.offsets)
+
+
+def word_hashes(words) -> np.ndarray:
+    """Hashes of single words as ``PlainWords`` gives them."""
+    found = PlainWords(pa.array(list(words), pa.string()))
+    return found.hashes
+
+
+def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A table of 2^bits flags of the top bits of some hashes; its size does not follow theirs."""
+    flags = np.zeros(1 << bits, dtype=bool)
+    flags[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return flags
+
+
+def maybe_in(flags: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    return flags[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
