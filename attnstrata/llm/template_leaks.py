@@ -52,10 +52,12 @@ class Templates:
             opens[1:] |= enders[starts[1:]] > enders[ends[:-1]]
         capital = np.zeros(len(starts), dtype=bool)
         if len(starts):
-            capital = (data[starts] >= 65) & (data[starts] <= 90)
-            latin = np.zeros(len(data), dtype=bool)
-            latin[words.latin_capitals] = True
-            capital |= latin[starts]
+            # a capital before another letter that is none: words in capitals are no names
+            upper = np.zeros(len(data) + 2, dtype=bool)
+            upper[: len(data)] = (data >= 65) & (data <= 90)
+            upper[words.latin_capitals] = True
+            second = starts + np.where(data[starts] == 0xC3, 2, 1)
+            capital = upper[starts] & (second < ends) & ~upper[second]
         kind = np.where(number, NUMBER, np.where(capital & ~opens, NAME, 0)).astype(np.int8)
         known = np.sort(word_hashes(UNITS))
         if len(starts):

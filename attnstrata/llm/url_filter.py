@@ -92,28 +92,26 @@ def ngrams(host: str, path: str) -> np.ndarray:
     return np.array(sorted(found), dtype=np.int64)
 
 
-def train(labelled: tuple[tuple[str, int], ...] = LABELLED) -> tuple[np.ndarray, float]:
-    """Weights of the buckets, and the bias, by gradient steps over the whole labelled table."""
+def train(labelled: tuple[tuple[str, int], ...] = LABELLED) -> np.ndarray:
+    """Weights of the buckets by gradient steps over the whole labelled table. No bias: without n-grams the score is 0.5."""
     rows = [ngrams(url.partition("/")[0], "/" + url.partition("/")[2]) for url, _ in labelled]
     goal = np.array([label for _, label in labelled], dtype=np.float64)
-    weights, bias = np.zeros(BUCKETS), 0.0
+    weights = np.zeros(BUCKETS)
     for _ in range(PASSES):
-        total = np.array([weights[r].sum() for r in rows]) + bias
-        miss = goal - 1 / (1 + np.exp(-total))
+        miss = goal - 1 / (1 + np.exp(-np.array([weights[r].sum() for r in rows])))
         weights *= 1 - RATE * PENALTY
         for r, m in zip(rows, miss, strict=True):
             weights[r] += RATE * m / len(rows)
-        bias += RATE * float(miss.mean())
-    return weights, bias
+    return weights
 
 
 def _score(model):
     def run(batches):
-        weights, bias = model.value
+        weights = model.value
         for batch in batches:
             names = batch.column(batch.schema.get_field_index("host")).to_pylist()
             paths = batch.column(batch.schema.get_field_index("path")).to_pylist()
-            total = np.array([weights[ngrams(h, p)].sum() for h, p in zip(names, paths, strict=True)]) + bias
+            total = np.array([weights[ngrams(h, p)].sum() for h, p in zip(names, paths, strict=True)])
             yield replaced(batch, score=pa.array(1 / (1 + np.exp(-total))))
 
     return run
@@ -122,8 +120,8 @@ def _score(model):
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labelled: tuple[tuple[str, int], ...] = LABELLED) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row.
 
-    A null URL, or one without ``://``, has an empty host and path; no rule fits it and the regression judges the two empty
-    strings. Rows with null or repeated ids stay.
+    A null URL, or one without ``://``, has an empty host and path; no rule fits it and the regression finds nothing to
+    judge: its score is 0.5, its verdict allow. Rows with null or repeated ids stay.
     """
     model = pages.sparkSession.sparkContext.broadcast(train(labelled))
     url = F.col("url").cast("string")
@@ -131,7 +129,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labelled
     rows = map_batches(rows, _score(model), with_fields(rows, StructField("score", DoubleType())))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     verdicts = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in rules], F.lit(None).cast("string"))
-    learned = F.when(F.col("score") >= BLOCK_AT, "block").otherwise("allow")
+    learned = F.when(F.col("score") > BLOCK_AT, "block").otherwise("allow")
     return rows.withColumn("rule", rule).select(
         "page_id", "host", "path", "rule", F.coalesce(verdicts, learned).alias("verdict"), "score"
     )
