@@ -38,7 +38,8 @@ def fit_and_score(
 
     The feature matrix, the split rows and the held-out scores are written to the shared
     scratch folder: every Newton pass and every replicate reads them, and a lost executor
-    costs a re-read instead of the whole lineage.
+    costs a re-read instead of the whole lineage. A group whose training rows have one class
+    is not fitted: it stays, with ``status`` single_class and no coefficients.
     """
     spark = df.sparkSession
     matrix = materialize(df.select(*keys, id_col, label, *features), "features")
@@ -55,21 +56,25 @@ def fit_and_score(
     split = materialize(split, "split")
     sizes = split.groupBy(*keys).agg(
         F.count_if(~F.col("held_out")).alias("n_events_train"),
+        F.count_if(~F.col("held_out") & (F.col("y") == 1)).alias("_positive"),
         F.count_if("held_out").alias("n_events_held_out"),
     )
-    groups = [tuple(r[k] for k in keys) for r in sizes.collect()]
+    groups = [
+        tuple(r[k] for k in keys) for r in sizes.collect() if 0 < r["_positive"] < r["n_events_train"]
+    ]
     train = split.filter(~F.col("held_out"))
-    fitted = fit_logistic(train, keys, len(features), [(*g, 0) for g in groups], l2=l2)
+    fitted, still_open = fit_logistic(train, keys, len(features), [(*g, 0) for g in groups], l2=l2)
     schema = T.StructType(
         [
             *[split.schema[k] for k in keys],
             T.StructField("intercept", T.DoubleType()),
             T.StructField("coefficients", T.ArrayType(T.DoubleType())),
+            T.StructField("_converged", T.BooleanType()),
         ]
     )
     models = spark.createDataFrame(
         [
-            (*g, float(m[0][0]), [float(v) for v in m[0][1:]])
+            (*g, float(m[0][0]), [float(v) for v in m[0][1:]], (*g, 0) not in still_open)
             for g, m in fitted.items()
         ],
         schema,
@@ -81,7 +86,12 @@ def fit_and_score(
         *keys, id_col, "y", (1 / (1 + F.exp(-linear))).alias("score")
     )
     scored = materialize(scored, "scored")
-    out = key_join(models, sizes, keys)
+    out = key_join(sizes, models, keys, "left").withColumn(
+        "status",
+        F.when(F.col("_converged").isNull(), "single_class")
+        .when(F.col("_converged"), "fitted")
+        .otherwise("not_converged"),
+    )
     out = key_join(
         out, auroc(scored, keys, "y", "score").select(*keys, "auroc"), keys, "left"
     )
@@ -98,6 +108,7 @@ def fit_and_score(
         "auroc_ci_upper",
         "n_events_train",
         "n_events_held_out",
+        "status",
     )
 
 

@@ -4,7 +4,9 @@ The fact catalogue is a dimension and events are the large side. The catalogue i
 cut into blocks of a fixed number of facts, each held as one array, and every event
 row picks from a block by itself: choosing distractors emits no event-fact pairs
 and needs no shuffle while the catalogue fits one block. A larger catalogue takes
-several blocks; events then pick per block and the short pick lists are merged.
+several blocks; events then pick per block and the short pick lists are merged. Both ways
+give the same rows: before the split equal rows are counted and each distinct row gets a key
+of its own, so events that share an id stay apart and repeated rows come back as often.
 """
 
 from __future__ import annotations
@@ -17,25 +19,39 @@ from pyspark.sql import functions as F
 from attnstrata.functions import bins, ids, text
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.operators.positions import hash_segment, with_position
-from attnstrata.session import broadcast_if_small
+from attnstrata.session import broadcast_if_small, materialize
 
 BLOCK_FACTS = 10_000
 BROADCAST_BLOCKS = 32
+#: Bytes of finished documents that one partition is meant to hold.
+PARTITION_BYTES = 64 << 20
+
+
+def _known(form: Column, template: Column) -> Column:
+    """The form, or an error that names the template the catalogue lacks."""
+    missing = F.concat(F.lit("unknown template: "), F.coalesce(template.cast("string"), F.lit("NULL")))
+    return F.coalesce(form, F.raise_error(missing))
 
 
 def fact_sentences(templates: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every catalogue fact with its statement, word count and content tokens."""
-    statement = text.fill_template(F.col("statement_form"), F.col("subject"), F.col("object"))
+    """Every catalogue fact with its statement, word count and content tokens.
+
+    A fact of a template that ``templates`` lacks is an error.
+    """
+    form = _known(F.col("statement_form"), F.col("template_id"))
+    statement = text.fill_template(form, F.col("subject"), F.col("object"))
     return (
-        facts.join(broadcast_if_small(templates), "template_id")
+        facts.join(broadcast_if_small(templates), "template_id", "left")
         .select("fact_id", "template_id", "subject", "object", statement.alias("statement"))
         .withColumn("n_words", text.count_word_tokens(F.col("statement")))
         .withColumn("tokens", text.content_tokens(F.col("statement")))
     )
 
 
-def _blocks(sentences: DataFrame, block_facts: int) -> tuple[DataFrame, int]:
-    n_blocks = max(1, math.ceil(sentences.count() / block_facts))
+def _blocks(sentences: DataFrame, block_facts: int) -> tuple[DataFrame, int, int]:
+    """The catalogue's blocks, their number, and the bytes of all statements."""
+    size = sentences.agg(F.count(F.lit(1)), F.sum(F.octet_length("statement"))).first()
+    n_blocks = max(1, math.ceil(size[0] / block_facts))
     fact = F.struct(
         "fact_id", "template_id", "subject", "object", "statement", "n_words", "tokens"
     )
@@ -43,18 +59,34 @@ def _blocks(sentences: DataFrame, block_facts: int) -> tuple[DataFrame, int]:
     pools = sentences.groupBy(block.alias("block")).agg(
         F.array_sort(F.collect_list(fact)).alias("pool")
     )
-    return pools, n_blocks
+    return pools, n_blocks, size[1] or 0
 
 
-def _spread(events: DataFrame, key: str) -> DataFrame:
-    """Spread rows over all cores before each grows into a document of many sentences.
+def _spread(events: DataFrame, key: str, row_bytes: int) -> DataFrame:
+    """Spread rows before each grows into a document of many sentences.
 
-    A split of short plan rows would otherwise become one task with gigabytes of text.
+    A split of short plan rows would otherwise become one task with gigabytes of text. The
+    number of partitions follows the bytes to come; all cores have work at least.
     """
-    return events.repartition(events.sparkSession.sparkContext.defaultParallelism, key)
+    partitions = math.ceil(events.count() * max(1, row_bytes) / PARTITION_BYTES)
+    return events.repartition(max(partitions, events.sparkSession.sparkContext.defaultParallelism), key)
+
 
+def _keyed(events: DataFrame, n_blocks: int) -> DataFrame:
+    """Distinct rows with ``_row``, a key of the whole row, and ``_copies``, how often it came.
 
-def _with_pool(events: DataFrame, pools: DataFrame, n_blocks: int, key: str) -> DataFrame:
+    With one block no rows are merged later, so they stay as they are.
+    """
+    if n_blocks == 1:
+        return events
+    whole = F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"})
+    return (
+        events.groupBy(*events.columns).agg(F.count(F.lit(1)).alias("_copies"))
+        .withColumn("_row", F.sha2(whole, 256))
+    )
+
+
+def _with_pool(events: DataFrame, pools: DataFrame, n_blocks: int) -> DataFrame:
     """Events with the fact array of each block. A catalogue of few blocks is broadcast;
     beyond that, blocks are copied over salts so that no block is one task.
     """
@@ -64,27 +96,28 @@ def _with_pool(events: DataFrame, pools: DataFrame, n_blocks: int, key: str) ->
     if n_blocks <= BROADCAST_BLOCKS:
         return events.withColumn("block", blocks).join(F.broadcast(pools), "block").drop("block")
     salts = events.sparkSession.sparkContext.defaultParallelism
-    salted = events.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    salted = events.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
     copies = pools.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         salted.withColumn("block", blocks).join(copies, ["block", "salt"]).drop("block", "salt")
     )
 
 
-def _merge_picks(df: DataFrame, n_blocks: int, key: str, picks: str, size: Column) -> DataFrame:
-    """One row per event again: the smallest ``size`` picks over all its blocks."""
+def _merge_picks(df: DataFrame, n_blocks: int, picks: str, size: Column) -> DataFrame:
+    """The rows that went into ``_keyed`` again, each with the smallest ``size`` picks over all its blocks."""
     if n_blocks == 1:
         return df
-    others = [c for c in df.columns if c not in (key, picks)]
-    return (
-        df.groupBy(key)
+    others = [c for c in df.columns if c not in ("_row", picks)]
+    merged = (
+        df.groupBy("_row")
         .agg(
-            *[F.first(c).alias(c) for c in others],
+            *[F.any_value(c).alias(c) for c in others],
             F.array_sort(F.flatten(F.collect_list(picks))).alias(picks),
         )
         .withColumn(picks, F.slice(F.col(picks), F.lit(1), size))
-        .select(*df.columns)
     )
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return merged.withColumn("_copy", again).drop("_copy", "_copies", "_row")
 
 
 def other_template_facts(templates: DataFrame, facts: DataFrame) -> DataFrame:
@@ -202,8 +235,8 @@ def assemble_documents(
     target stays in ``target_words`` and ``target_reached`` says whether the
     catalogue had enough words to get there.
     """
-    sentences = fact_sentences(templates, facts)
-    pools, n_blocks = _blocks(sentences, block_facts)
+    sentences = materialize(fact_sentences(templates, facts), "sentences")
+    pools, n_blocks, pool_bytes = _blocks(sentences, block_facts)
     per_template = sentences.groupBy("template_id").agg(F.count(F.lit(1)).alias("_own"))
     n_all = sentences.agg(F.count(F.lit(1)).alias("n")).scalar()
     seed = F.concat(F.lit("distractor:"), F.col("plan_id").cast("string"), F.lit(":"))
@@ -218,7 +251,8 @@ def assemble_documents(
         )
 
     base = (
-        plan.join(broadcast_if_small(templates), "template_id")
+        _keyed(plan, n_blocks).join(broadcast_if_small(templates), "template_id", "left")
+        .withColumn("statement_form", _known(F.col("statement_form"), F.col("template_id")))
         .join(broadcast_if_small(per_template), "template_id", "left")
         .withColumn(
             "_n",
@@ -230,7 +264,7 @@ def assemble_documents(
             ),
         )
     )
-    picked = _with_pool(_spread(base, "plan_id"), pools, n_blocks, "plan_id").withColumn(
+    picked = _with_pool(_spread(base, "plan_id", pool_bytes), pools, n_blocks).withColumn(
         "_picks",
         F.slice(
             F.array_sort(
@@ -242,7 +276,7 @@ def assemble_documents(
             F.col("_n"),
         ),
     ).drop("pool")
-    picked = _merge_picks(picked, n_blocks, "plan_id", "_picks", F.col("_n"))
+    picked = _merge_picks(picked, n_blocks, "_picks", F.col("_n"))
 
     placed = F.aggregate(
         "_picks",
@@ -344,13 +378,16 @@ def inject_distractors(
     known = F.when(policy.isin(*fixed.POLICIES), policy).otherwise(
         F.raise_error(F.concat(F.lit("unknown policy: "), F.coalesce(policy, F.lit("NULL"))))
     )
-    pools, n_blocks = _blocks(fact_sentences(templates, facts), block_facts)
+    sentences = materialize(fact_sentences(templates, facts), "sentences")
+    pools, n_blocks, _ = _blocks(sentences, block_facts)
+    row_bytes = 1 << 12  # a document of usual length and three sentences
     forms = broadcast_if_small(
         templates.select(F.col("template_id").alias("question_template_id"), "statement_form")
     )
     base = (
-        first_fact(events.withColumn("adversariality_policy", known), facts)
+        first_fact(_keyed(events, n_blocks).withColumn("adversariality_policy", known), facts)
         .join(forms, "question_template_id", "left")
+        .withColumn("statement_form", _known(F.col("statement_form"), F.col("question_template_id")))
         .withColumn("_q_tokens", text.content_tokens(F.col("question")))
         .withColumn(
             "_limit", F.when(policy == "self_contradiction", 1).otherwise(n).cast("int")
@@ -386,7 +423,7 @@ def inject_distractors(
         )
 
     picked = (
-        _with_pool(_spread(base, "event_id"), pools, n_blocks, "event_id")
+        _with_pool(_spread(base, "event_id", row_bytes), pools, n_blocks)
         .withColumn(
             "_picks",
             F.slice(
@@ -397,7 +434,7 @@ def inject_distractors(
         )
         .drop("pool")
     )
-    picked = _merge_picks(picked, n_blocks, "event_id", "_picks", F.col("_limit"))
+    picked = _merge_picks(picked, n_blocks, "_picks", F.col("_limit"))
     extra = F.transform("_picks", lambda x: x["statement"])
     changed = F.size("_picks") > 0
     return (
@@ -422,12 +459,16 @@ def inject_distractors(
 
 
 def grade(events: DataFrame, generations: DataFrame, key: str = "event_id") -> DataFrame:
-    """Join raw generations (key, ``generation``) and label each event pass or fail."""
+    """Join raw generations (key, ``generation``) and label each event pass or fail.
+
+    Every event stays: one without a generation has null in the four graded columns, and
+    ``ungraded`` counts them.
+    """
     raw = generations.select(key, text.trim_generation(F.col("generation")).alias("_raw"))
     dropped = ["model_generation", "model_generation_normalized", "gold_answer_normalized", "is_fail"]
     return (
         events.drop(*dropped)
-        .join(raw, key)
+        .join(raw, key, "left")
         .withColumnRenamed("_raw", "model_generation")
         .withColumn("model_generation_normalized", text.normalize_em(F.col("model_generation")))
         .withColumn("gold_answer_normalized", text.normalize_em(F.col("gold_answer")))
@@ -436,3 +477,10 @@ def grade(events: DataFrame, generations: DataFrame, key: str = "event_id") -> D
             F.col("model_generation_normalized") != F.col("gold_answer_normalized"),
         )
     )
+
+
+def ungraded(events: DataFrame) -> DataFrame:
+    """One row: events in all, and those that no generation has graded."""
+    return events.agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("is_fail").isNull()).alias("n_ungraded")
+    )

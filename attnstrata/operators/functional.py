@@ -150,12 +150,14 @@ def fit_functional_logistic(
     threshold: float = 0.95,
     replicates: int = 1000,
     l2: float = 1.0,
-    salts: int = 16,
+    salts: int | None = None,
     min_rows: int = fixed.MIN_ROWS_PER_FIT,
 ) -> tuple[DataFrame, DataFrame]:
     """(fits, beta): per group the number of components, their shares, the coefficient
     curve, its pointwise 95 % band and the layer intervals whose band excludes 0;
-    ``beta`` has the same curve and band one row per layer.
+    ``beta`` has the same curve and band one row per layer. Every group stays in ``fits``:
+    ``status`` tells those that could not be fitted (too_few_rows, no_variance,
+    single_class) or did not converge.
 
     Each replicate refits components and regression on its own n-of-n draw. A
     replicate draws by weights on the rows: no sample is copied out, and all groups
@@ -164,7 +166,9 @@ def fit_functional_logistic(
     spark = df.sparkSession
     if bins is not None:
         df = binning.require_bins(df, keys[0], bins)
-    enough = df.groupBy(*keys).count().filter(F.col("count") >= min_rows).drop("count")
+    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), "groups")
+    enough = counts.filter(F.col("_rows") >= min_rows).drop("_rows")
     df = key_join(df, enough, keys, "left_semi")
     indexed, draws = bootstrap_weights(
         df.select(
@@ -207,8 +211,9 @@ def fit_functional_logistic(
     start = [
         (*[r[k] for k in names], r["model"]) for r in usable.select(*keys, "model").collect()
     ]
-    n_grid = rows.select(F.size("x")).first()[0]
-    fitted = fit_logistic(
+    grid = rows.select(F.size("x")).first()
+    n_grid = grid[0] if grid else 0
+    fitted, still_open = fit_logistic(
         rows,
         keys,
         n_grid,
@@ -253,14 +258,27 @@ def fit_functional_logistic(
         F.transform("_b", lambda b: b["beta_ci_upper"]).alias("beta_ci_upper"),
     )
     shares = bases.filter(F.col("model") == 0).select(
-        *keys, "n_fpcs", F.col("shares").alias("fpc_variance_explained")
+        *keys, "n_fpcs", F.col("shares").alias("fpc_variance_explained"), "n_positive", "n_curves"
     )
-    fits = key_join(key_join(shares, whole, keys), runs, keys, "left").withColumn(
+    open_groups = spark.createDataFrame(
+        [(*s[:-1], True) for s in still_open if s[-1] == 0],
+        T.StructType([*[df.schema[k] for k in keys], T.StructField("_open", T.BooleanType())]),
+    )
+    status = (
+        F.when(F.col("n_fpcs").isNull(), "too_few_rows")
+        .when(F.col("n_fpcs") == 0, "no_variance")
+        .when(F.col("n_positive").isin(0) | (F.col("n_positive") == F.col("n_curves")), "single_class")
+        .when(F.col("_open"), "not_converged")
+        .otherwise("fitted")
+    )
+    fits = key_join(key_join(counts, shares, keys, "left"), whole, keys, "left")
+    fits = key_join(key_join(fits, runs, keys, "left"), open_groups, keys, "left")
+    fits = fits.withColumn("status", status).withColumn(
         "discriminative_depth_intervals",
         F.coalesce(
             "discriminative_depth_intervals", F.array().cast("array<struct<lo:int,hi:int>>")
         ),
-    )
+    ).drop("_rows", "_open", "n_positive", "n_curves")
     return fits, beta
 
 

@@ -129,25 +129,30 @@ def forman_edges(
     ``1d`` looks at edges only: 2 - w_e * sum of 1/sqrt(w_e w_e') over the other
     incident edges. ``augmented`` counts each triangle as a face of weight 1 and
     leaves the edges of common triangles out of the sum.
+
+    The sum is a node total minus what must not count. Weak edges make terms of 1e15 and more,
+    so totals are decimals: what is taken out cancels exactly. Weights down to 1e-45 fit.
     """
     if method not in ("1d", "augmented"):
         raise ValueError(f"unknown curvature method: {method!r}")
-    rooted = edges.withColumn("_r", 1 / F.sqrt("w"))
+    rooted = edges.withColumn("_r", 1 / F.sqrt("w")).withColumn(
+        "_x", F.col("_r").cast("decimal(36,12)")
+    )
     at_node = (
-        _directions(rooted, keys, "_r")
+        _directions(rooted, keys, "_x")
         .groupBy(*keys, "node")
-        .agg(F.sum("_r").alias("_s"))
+        .agg(F.sum("_x").alias("_s"))
     )
     for end in ("lo", "hi"):
         rooted = key_join(
             rooted, at_node.withColumnsRenamed({"node": end, "_s": f"_s_{end}"}), [*keys, end]
         )
-    around = F.col("_s_lo") + F.col("_s_hi") - 2 * F.col("_r")
+    around = F.col("_s_lo") - F.col("_x") + (F.col("_s_hi") - F.col("_x"))
     if method == "1d":
-        curved = rooted.withColumn("curvature", 2 - F.col("w") * F.col("_r") * around)
+        curved = rooted.withColumn("curvature", 2 - F.col("w") * F.col("_r") * around.cast("double"))
         return curved.select(*keys, "lo", "hi", "w", "curvature")
 
-    found = triangles(rooted, keys, "_r")
+    found = triangles(rooted, keys, "_x")
 
     def side(u, v, first, second):
         return F.struct(
@@ -170,7 +175,7 @@ def forman_edges(
     )
     joined = key_join(rooted, faces, [*keys, "lo", "hi"], "left")
     t = F.coalesce("_t", F.lit(0))
-    outside = around - F.coalesce("_inside", F.lit(0.0))
+    outside = (around - F.coalesce("_inside", F.lit(0).cast("decimal(38,12)"))).cast("double")
     curvature = F.col("w") * (
         t * F.col("w") + 2 / F.col("w") - F.abs(F.col("_r") * outside)
     )

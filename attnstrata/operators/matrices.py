@@ -1,8 +1,8 @@
 """Tables of small matrices: Gram products, decompositions, subspace distances.
 
 A matrix table has its keys, ``row_idx`` and ``row`` (array<double>). Products over
-tokens are summed inside each input batch with numpy and finished by a hash
-aggregate, so only d x d partial sums are shuffled, never token rows. Decompositions
+tokens are summed inside each input batch with numpy and finished by aggregates over
+the entries, so only d x d partial sums are shuffled, never token rows. Decompositions
 see one matrix each, stacked into Arrow batches.
 """
 
@@ -27,14 +27,19 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def array_sum(column: str) -> Column:
-    """Element-wise sum of the arrays of a group (one array per partial)."""
-    return F.aggregate(
-        F.collect_list(column),
-        F.lit(None).cast("array<double>"),
-        lambda acc, x: F.when(acc.isNull(), x).otherwise(
-            F.zip_with(acc, x, lambda a, b: a + b)
-        ),
+def summed_arrays(parts: DataFrame, keys: Sequence[str], part: str, out: str) -> DataFrame:
+    """Element-wise sums of the arrays of each group, one row a group.
+
+    Elements are added position by position, so partial sums combine before the shuffle and no
+    task ever holds more than one finished array of a group, however many parts it has.
+    """
+    cells = (
+        parts.select(*keys, F.posexplode(part).alias("_at", "_value"))
+        .groupBy(*keys, "_at").agg(F.sum("_value").alias("_value"))
+    )
+    whole = F.array_sort(F.collect_list(F.struct("_at", "_value")))
+    return cells.groupBy(*keys).agg(whole.alias("_cells")).select(
+        *keys, F.transform("_cells", lambda c: c["_value"]).alias(out)
     )
 
 
@@ -74,7 +79,7 @@ def gram(df: DataFrame, keys: Sequence[str], x: str, y: str | None = None) -> Da
         F.col(x).cast("array<double>").alias("_x"),
         F.col(y).cast("array<double>").alias("_y"),
     ).mapInPandas(partial, schema)
-    return parts.groupBy(*keys, "row_idx").agg(array_sum("_part").alias("row"))
+    return summed_arrays(parts, [*keys, "row_idx"], "_part", "row")
 
 
 def weighted_context(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attnstrata.operators.matrices import array_sum
+from attnstrata.operators.matrices import summed_arrays
 from attnstrata.operators.positions import key_join
 
 _CHUNK_CELLS = 4_000_000
@@ -106,7 +106,7 @@ def grouped_sums(
 
     columns = [*keys, "x", "y"] + (["reps", "cnts"] if n_models > 1 else [])
     parts = rows.select(*columns).mapInPandas(partial, schema)
-    return parts.groupBy(*keys, "model").agg(array_sum("_part").alias("sums"))
+    return summed_arrays(parts, [*keys, "model"], "_part", "sums")
 
 
 def weighted_moments(rows: DataFrame, keys: Sequence[str], n_models: int = 1) -> DataFrame:
@@ -164,7 +164,7 @@ def fit_logistic(
     bases: DataFrame | None = None,
     tol: float = 1e-10,
     max_iter: int = 60,
-) -> dict[tuple, dict[int, np.ndarray]]:
+) -> tuple[dict[tuple, dict[int, np.ndarray]], set[tuple]]:
     """Ridge logistic regression of every group (and replicate) at once.
 
     Newton iterations: each is one pass over ``rows`` and one small solve per model
@@ -174,7 +174,8 @@ def fit_logistic(
     ``start`` lists the (key..., model) pairs to fit. ``bases`` (keys, model, mean,
     components) restricts a model to the span of its components around its mean, the
     penalty then applying to the coefficients on the components. Returns, per group
-    and model, the intercept followed by the coefficients in the space of ``x``.
+    and model, the intercept followed by the coefficients in the space of ``x``; and the
+    (key..., model) pairs that ``max_iter`` passes did not bring to convergence.
     """
     names = list(keys)
     d1 = n_features + 1
@@ -235,4 +236,4 @@ def fit_logistic(
     fitted: dict[tuple, dict[int, np.ndarray]] = {}
     for s, values in theta.items():
         fitted.setdefault(s[:-1], {})[s[-1]] = values
-    return fitted
+    return fitted, open_models

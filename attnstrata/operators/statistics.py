@@ -17,6 +17,7 @@ from attnstrata.operators.positions import (
     segment_starts,
     with_position,
 )
+from attnstrata.session import materialize
 
 
 def without_nan(x: Column | str) -> Column:
@@ -24,20 +25,19 @@ def without_nan(x: Column | str) -> Column:
     return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
 
 
-def _cut_by_value(counted: DataFrame, keys: Sequence[str], value: str, segments: int) -> DataFrame:
-    """Give every distinct value of a group one of ``segments`` ranges, in order."""
-    z = F.signum(value) * F.log1p(F.abs(F.col(value)))
-    counted = counted.withColumn("_z", z)
-    spans = counted.groupBy(*keys).agg(F.min("_z").alias("_z0"), F.max("_z").alias("_z1"))
-    width = F.col("_z1") - F.col("_z0")
-    return (
-        key_join(counted, spans, keys)
-        .withColumn(
-            "_segment",
-            F.when(width > 0, F.floor((F.col("_z") - F.col("_z0")) / width * segments)).otherwise(0),
-        )
-        .drop("_z", "_z0", "_z1")
-    )
+def _cut_by_value(
+    counted: DataFrame, keys: Sequence[str], value: str, segments: int | None
+) -> DataFrame:
+    """Give every distinct value of a group a range, ``_segment``, in order.
+
+    Ranges are those of a range partitioning of (keys, value), so they hold about as many
+    values each, whatever the distribution. They are written once: partition bounds come from
+    a sample, and all later steps must see the same ones. ``segments`` defaults to the number
+    of shuffle partitions.
+    """
+    ranges = segments or int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.repartitionByRange(ranges, *keys, value)
+    return materialize(dealt.withColumn("_segment", F.spark_partition_id()), "ranges")
 
 
 def group_percentiles(
@@ -46,7 +46,7 @@ def group_percentiles(
     value: str,
     quantiles: Sequence[float],
     *,
-    segments: int = 1024,
+    segments: int | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles, columns ``q0``, ``q1``, ... per group.
 
@@ -242,7 +242,7 @@ def auroc(
     score: str,
     *,
     weight: str | None = None,
-    segments: int = 1024,
+    segments: int | None = None,
 ) -> DataFrame:
     """Area under the ROC curve per group, ties counted half.
 

@@ -71,7 +71,8 @@ def derive_tensors(
     compute_ricci: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(atomic, head edges, summary). One row per head stands for all its lookback
-    positions, which share the pass-level operators; ``broadcast_positions`` expands it.
+    positions, which share the pass-level operators; ``broadcast_positions`` expands it. Such
+    a row is that of position 0, so stored tables read back as they are here.
     """
     operators = materialize(head_operators(qkv, attn), "operators")
     curvature = (
@@ -80,6 +81,8 @@ def derive_tensors(
     atomic = matrices.atomic_features(operators, HEAD_KEYS, k=k_grass, curvature=curvature)
     edges = matrices.grassmann_pairs(operators, ["event_id", "layer", "kind"], k=k_grass)
     edges = edges.withColumn("edge_type", F.concat("kind", F.lit("_grassmannian"))).drop("kind")
+    edges = edges.withColumn("lookback_j", F.lit(0))
+    atomic = atomic.withColumn("rel_pos", F.lit(0))
     summary = statistics.summarize(atomic, HEAD_KEYS, fixed.FEATURES)
     return atomic, edges, summary
 
@@ -143,6 +146,7 @@ def run_analysis(
     fits, beta = fit_functional_logistic(
         curves, ("bin_id", "edge_type"), replicates=replicates, bins=bins, min_rows=min_rows
     )
+    fitted = fits.filter(F.col("status").isin("fitted", "not_converged"))
     pooled = fit_pooled_control(
         spine.event_feature_matrix(events, summary), replicates=replicates
     )
@@ -152,8 +156,8 @@ def run_analysis(
         "pooled": pooled,
         "auroc_verdict": compare.per_bin_verdict(auroc),
         "pooled_verdict": compare.pooled_verdict(pooled),
-        "depth_verdict": compare.depth_verdict(fits, bins),
-        "head_graph_comparison": compare.head_graph_comparison(fits, bins),
+        "depth_verdict": compare.depth_verdict(fitted, bins),
+        "head_graph_comparison": compare.head_graph_comparison(fitted, bins),
     }
 
 

@@ -59,22 +59,22 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", *, sort_by: str
 
 
 def write_event_index(
-    events: DataFrame, path: str, fmt: str = "json", *, sort_by: str | None = None
+    events: DataFrame, path: str, fmt: str = "parquet", *, sort_by: str | None = None
 ) -> None:
     write_table(event_index(events), path, fmt, sort_by=sort_by)
 
 
 def write_event_text(
-    events: DataFrame, path: str, fmt: str = "json", *, sort_by: str | None = None
+    events: DataFrame, path: str, fmt: str = "parquet", *, sort_by: str | None = None
 ) -> None:
     write_table(event_text(events), path, fmt, sort_by=sort_by)
 
 
-def read_event_index(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+def read_event_index(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).schema(_schema(INDEX_COLUMNS)).load(path)
 
 
-def read_event_text(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+def read_event_text(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).schema(_schema(TEXT_TABLE_COLUMNS)).load(path)
 
 
@@ -89,14 +89,12 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
     """The header with its fixed schema; a missing field is an error naming it."""
     schema = ", ".join(f"{c} {t}" for c, t in fixed.HEADER_COLUMNS)
     lines = spark.read.text(path)
-    present = {
-        r["k"]
-        for r in lines.select(F.explode(F.json_object_keys("value")).alias("k"))
-        .distinct()
-        .limit(1_000)
-        .collect()
-    }
-    missing = sorted({c for c, _ in fixed.HEADER_COLUMNS} - present)
+    wanted = F.array(*[F.lit(c) for c, _ in fixed.HEADER_COLUMNS])
+    present = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
+    lost = lines.select(F.explode(F.array_except(wanted, present)).alias("k")).distinct()
+    missing = sorted(r["k"] for r in lost.collect())  # the schema's fields at most
+    if lines.isEmpty():
+        missing = sorted(c for c, _ in fixed.HEADER_COLUMNS)
     if missing:
         raise DatasetSchemaError(f"header lacks fields: {missing}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -120,7 +118,7 @@ def join_event_text(index: DataFrame, text: DataFrame, order: Column | None = No
     return joined.drop("_text")
 
 
-def write_dataset(events: DataFrame, header: DataFrame, path: str, fmt: str = "json") -> DataFrame:
+def write_dataset(events: DataFrame, header: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Write text, index and header; returns the header with both digests filled in.
 
     Digests are taken from the written tables, so they describe what is on disk.
@@ -138,7 +136,7 @@ def write_dataset(events: DataFrame, header: DataFrame, path: str, fmt: str = "j
 
 
 def read_dataset(
-    spark: SparkSession, path: str, fmt: str = "json"
+    spark: SparkSession, path: str, fmt: str = "parquet"
 ) -> tuple[DataFrame, DataFrame]:
     """(header, events) after checking both digests."""
     header = read_header(spark, f"{path}/header")

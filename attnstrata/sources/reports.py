@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attnstrata.functions import fixed_values as fixed
-from attnstrata.operators.compare import known_bins_only
+from attnstrata.operators.compare import known_bins_only, marginal_gain_summary
 from attnstrata.operators.composite import auroc_report
 from attnstrata.operators.matching import handcheck_sample
 
@@ -87,6 +87,35 @@ def sweep_report(gains: DataFrame, winner: DataFrame) -> DataFrame:
     )
 
 
+def marginal_gain_report(gains: DataFrame, key: str = "bin_id") -> DataFrame:
+    """One row: the gain of every bin under ``per_bin``, and the summary over them."""
+    values = F.struct(*[c for c in gains.columns if c != key])
+    per_bin = gains.agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, values.alias("v"))))).alias("m")
+    )
+    return marginal_gain_summary(gains).withColumn("per_bin", per_bin.scalar())
+
+
+def write_marginal_gain_report(gains: DataFrame, path: str) -> None:
+    write_report(marginal_gain_report(gains), path)
+
+
+def long_lines_report(alarms: DataFrame) -> DataFrame:
+    """One row a head: its name, ``L<layer>_H<head>`` of two digits each, and its first alarms."""
+    name = F.format_string("L%02d_H%02d", F.col("layer").cast("int"), F.col("head").cast("int"))
+    return alarms.groupBy(name.alias("line")).agg(
+        F.array_sort(F.collect_list("first_alarm_idx")).alias("first_alarms")
+    )
+
+
+def write_long_lines_report(alarms: DataFrame, path: str) -> None:
+    write_report(long_lines_report(alarms), path)
+
+
+def write_reproducibility_report(check: DataFrame, path: str) -> None:
+    write_report(check, path)
+
+
 def read_sweep_winner(spark: SparkSession, path: str) -> DataFrame:
     """The winning k; a report without one is an error."""
     df = spark.read.schema("winner_k_attn int").json(path)

@@ -63,10 +63,14 @@ def require_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def _write(df: DataFrame, path: str, files_per_prefix: int = 8) -> None:
+def _write(df: DataFrame, path: str, schema: str, files_per_prefix: int = 8) -> None:
     """One directory per id prefix with a fixed number of files in each, whatever the
-    number of tasks; an event's rows lie in one file.
+    number of tasks; an event's rows lie in one file. A column of the stored schema that is
+    missing here would be read back as null, so it is an error.
     """
+    missing = [f.split()[0] for f in schema.split(", ") if f.split()[0] not in df.columns]
+    if missing:
+        raise TensorSchemaError(f"columns missing: {missing}")
     prefixed = downcast(df, _double_columns(df)).withColumn(
         "id_prefix", id_prefix(F.col("event_id"))
     )
@@ -75,16 +79,16 @@ def _write(df: DataFrame, path: str, files_per_prefix: int = 8) -> None:
 
 
 def write_atomic(atomic: DataFrame, path: str) -> None:
-    _write(require_double(atomic, fixed.FEATURES), path)
+    _write(require_double(atomic, fixed.FEATURES), path, ATOMIC_SCHEMA)
 
 
 def write_head_edges(edges: DataFrame, path: str) -> None:
     """Only rows with h_i < h_j; the matrix is symmetric with a zero diagonal."""
-    _write(require_double(edges, ["dist"]).filter(F.col("h_i") < F.col("h_j")), path)
+    _write(require_double(edges, ["dist"]).filter(F.col("h_i") < F.col("h_j")), path, EDGE_SCHEMA)
 
 
 def write_atomic_summary(summary: DataFrame, path: str) -> None:
-    _write(require_double(summary, ["mean", "p10", "p50", "p90", "std"]), path)
+    _write(require_double(summary, ["mean", "p10", "p50", "p90", "std"]), path, SUMMARY_SCHEMA)
 
 
 def _read(spark: SparkSession, path: str, schema: str, event_ids: Sequence[str] | None) -> DataFrame:

@@ -62,6 +62,41 @@ def test_blocks_do_not_change_the_result(spark, catalogue, plan):
     assert one.exceptAll(many).count() == 0 and many.count() == 33
 
 
+def test_repeated_rows_survive_any_number_of_blocks(spark, catalogue, plan):
+    cols = ["event_id", "document", "plan_id"]
+    twice = plan.unionByName(plan)
+    same_id = twice.unionByName(plan.withColumn("target_words", F.lit(0)))
+    one = documents.assemble_documents(same_id, *catalogue).select(*cols)
+    many = documents.assemble_documents(same_id, *catalogue, block_facts=3).select(*cols)
+    assert one.count() == many.count() == 99
+    assert one.exceptAll(many).count() == 0
+
+
+def test_repeated_events_survive_any_number_of_blocks(spark, catalogue, plan):
+    e = events(spark, catalogue, plan).withColumn("event_id", F.lit("same"))
+    e = e.unionByName(e)
+    one = documents.inject_distractors(e, *catalogue).select("plan_id", "document", "event_id")
+    many = documents.inject_distractors(e, *catalogue, block_facts=3).select("plan_id", "document", "event_id")
+    assert one.count() == many.count() == 66 and one.exceptAll(many).count() == 0
+
+
+def test_unknown_templates_are_errors(spark, catalogue, plan):
+    templates, facts = catalogue
+    lost = plan.withColumn("template_id", F.lit("nowhere"))
+    with pytest.raises(Exception, match="unknown template: nowhere"):
+        documents.assemble_documents(lost, templates, facts).collect()
+    with pytest.raises(Exception, match="unknown template: "):
+        documents.fact_sentences(templates.limit(0), facts).collect()
+
+
+def test_ungraded_events_stay(spark):
+    e = spark.createDataFrame([("a", "Paris"), ("b", "Rome")], "event_id string, gold_answer string")
+    g = spark.createDataFrame([("a", "Paris")], "event_id string, generation string")
+    graded = documents.grade(e, g)
+    assert {r["event_id"]: r["is_fail"] for r in graded.collect()} == {"a": False, "b": None}
+    assert tuple(documents.ungraded(graded).first()) == (2, 1)
+
+
 def test_many_blocks_use_salts(spark, catalogue, plan, monkeypatch):
     cols = ["event_id", "document", "plan_id"]
     one = documents.assemble_documents(plan, *catalogue).select(*cols)

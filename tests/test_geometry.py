@@ -74,6 +74,18 @@ def test_curvature_equals_brute_force(spark, method):
     assert max(abs(got[k] - want[k]) for k in want) < 1e-9
 
 
+@pytest.mark.parametrize("weak", [1e-20, 1e-30, 1e-42])
+@pytest.mark.parametrize("method", ["1d", "augmented"])
+def test_weak_neighbours_cancel_exactly(spark, method, weak):
+    """A triangle of one strong and two weak edges, and strong edges at its ends."""
+    spec = {0: (range(5), [(0, 1, 0.5), (0, 2, weak), (1, 2, weak), (0, 3, 0.3), (1, 4, 0.2)])}
+    edges, _ = graphs(spark, spec)
+    got = {(r["lo"], r["hi"]): r["curvature"] for r in graph.forman_edges(edges, ["gid"], method).collect()}
+    want = brute_curvature(spec[0][1], method)
+    assert got[0, 1] == pytest.approx(want[0, 1], rel=1e-9)
+    assert got[0, 3] == pytest.approx(want[0, 3], rel=1e-6)
+
+
 def test_attention_graph_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     a = rng.random((8, 8)) ** 3

@@ -51,7 +51,7 @@ def test_logistic_equals_newton_for_all_groups(spark):
         want[g] = newton(x, y, 0.5)
         rows += [(g, [float(v) for v in a], int(b)) for a, b in zip(x, y)]
     df = spark.createDataFrame(rows, "g int, x array<double>, y int").repartition(5)
-    fitted = fit_logistic(df, ["g"], 3, [(g, 0) for g in range(3)], l2=0.5)
+    fitted, still_open = fit_logistic(df, ["g"], 3, [(g, 0) for g in range(3)], l2=0.5)
     for g in range(3):
         assert np.allclose(fitted[(g,)][0], want[g], atol=1e-7)
 

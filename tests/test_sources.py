@@ -58,7 +58,7 @@ def test_tampering_names_the_table(spark, part):
     field = "question" if part == "text" else "bin_id"
     changed = read(spark, f"{path}/{part}").withColumn(field, F.lit("B2")).collect()
     schema = read(spark, f"{path}/{part}").schema
-    spark.createDataFrame(changed, schema).write.mode("overwrite").json(f"{path}/{part}")
+    spark.createDataFrame(changed, schema).write.mode("overwrite").parquet(f"{path}/{part}")
     with pytest.raises(dataset.DatasetIntegrityError, match=f"{part} table"):
         dataset.read_dataset(spark, path)
 

@@ -17,6 +17,8 @@ def _inputs(spark, sf):
 
 
 N_WORDS = "len({})"
+#: Facts in a block where a query shows that blocks do not change its rows.
+SMALL_BLOCK = 300
 SQL_ASSEMBLE = v.SQL_FACTS + "," + v.SQL_PLAN + f""",
 own AS (SELECT template_id, count(*) AS own FROM facts GROUP BY template_id),
 sized AS (
@@ -51,21 +53,29 @@ assembled AS (
   FROM docs)"""
 
 
-@query(
-    "c01_assemble_documents",
-    f"""WITH {SQL_ASSEMBLE} SELECT plan_id, event_id, template_id AS question_template_id, question, object AS gold_answer,
+ASSEMBLED = (
+    "plan_id", "event_id", "question_template_id", "question", "gold_answer",
+    "evidence_position_token_idx", "evidence_distance_tokens", "bin_id", "target_reached",
+    "cem_stratum_id", "gold_answer_normalized", "per_event_seed",
+)
+SQL_C01 = f"""WITH {SQL_ASSEMBLE} SELECT plan_id, event_id, template_id AS question_template_id, question, object AS gold_answer,
     evidence_position_token_idx, evidence_distance_tokens,
     {v.sql_bin('evidence_distance_tokens')} AS bin_id, target_reached,
     template_id || '|' || {v.sql_density('distractor_density')} || '|' || {v.sql_length('gold_answer_length_tokens')} AS cem_stratum_id,
     {v.sql_normalize('object')} AS gold_answer_normalized,
-    {v.sql_seed('event', 'event_id')} AS per_event_seed FROM assembled""",
-)
+    {v.sql_seed('event', 'event_id')} AS per_event_seed FROM assembled"""
+
+
+@query("c01_assemble_documents", SQL_C01)
 def c01(spark, sf):
-    return documents.assemble_documents(*_inputs(spark, sf)).select(
-        "plan_id", "event_id", "question_template_id", "question", "gold_answer",
-        "evidence_position_token_idx", "evidence_distance_tokens", "bin_id", "target_reached",
-        "cem_stratum_id", "gold_answer_normalized", "per_event_seed",
-    )
+    return documents.assemble_documents(*_inputs(spark, sf)).select(*ASSEMBLED)
+
+
+@query("c01_small_blocks", f"SELECT q.* FROM ({SQL_C01}) q, (VALUES (1), (2)) AS twice(k)")
+def c01_small_blocks(spark, sf):
+    """Every plan row twice, over a catalogue cut into many blocks."""
+    p, t, f = _inputs(spark, sf)
+    return documents.assemble_documents(p.unionByName(p), t, f, block_facts=SMALL_BLOCK).select(*ASSEMBLED)
 
 
 POLICY_SQL = """CASE plan_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'lexical'
@@ -110,9 +120,7 @@ plain AS (
   FROM plain_base b LEFT JOIN first_facts f ON f.template_id = b.question_template_id AND f.object = b.gold_answer)"""
 
 
-@query(
-    "c02_inject_distractors",
-    f"""WITH {SQL_PLAIN}, candidates AS (
+SQL_C02 = f"""WITH {SQL_PLAIN}, candidates AS (
       SELECT e.event_id, s.fact_id, CASE WHEN adversariality_policy = 'self_contradiction'
           THEN replace(replace(e.statement_form, '{{subject}}', e.fact_subject), '{{object}}', s.object)
           ELSE s.statement END AS statement,
@@ -130,13 +138,24 @@ plain AS (
         CAST(coalesce(k, 0) AS INTEGER) AS n_injected FROM plain p LEFT JOIN extra USING (event_id))
     SELECT plan_id, adversariality_policy, document, n_injected,
     CASE WHEN n_injected > 0 THEN sha256('{v.SHA}' || document || question || gold_answer) ELSE old_id END AS event_id
-    FROM done""",
-)
+    FROM done"""
+INJECTED = ("plan_id", "adversariality_policy", "document", "n_injected", "event_id")
+
+
+@query("c02_inject_distractors", SQL_C02)
 def c02(spark, sf):
     _, t, f = _inputs(spark, sf)
-    return documents.inject_distractors(_plain_events(spark, sf), t, f).select(
-        "plan_id", "adversariality_policy", "document", "n_injected", "event_id"
-    )
+    return documents.inject_distractors(_plain_events(spark, sf), t, f).select(*INJECTED)
+
+
+@query("c02_small_blocks", f"SELECT q.* FROM ({SQL_C02}) q, (VALUES (1), (2)) AS twice(k)")
+def c02_small_blocks(spark, sf):
+    """Every event twice, over a catalogue cut into many blocks."""
+    _, t, f = _inputs(spark, sf)
+    events = _plain_events(spark, sf)
+    return documents.inject_distractors(
+        events.unionByName(events), t, f, block_facts=SMALL_BLOCK
+    ).select(*INJECTED)
 
 
 TRIM = (

@@ -268,17 +268,17 @@ def a20(spark, sf):
     return ids.bad_id_count(tampered)
 
 
-@query(
-    "c17_reproducibility_check",
-    f"""WITH {SQL_REGENERATED}, o AS (SELECT DISTINCT event_id, bin_id FROM doc_events),
+SQL_C17 = f"""WITH {SQL_REGENERATED}, o AS (SELECT DISTINCT event_id, bin_id FROM doc_events),
     r AS (SELECT DISTINCT event_id, CASE WHEN doc_id % 7 = 0 THEN 'B9' ELSE bin_id END AS bin_id FROM regen),
     oi AS (SELECT DISTINCT event_id FROM o), ri AS (SELECT DISTINCT event_id FROM r)
     SELECT count(*) AS n_original_events, count(ri.event_id) AS n_overlap,
     {sql_r6('100.0 * count(ri.event_id) / count(*)')} AS agreement_pct,
     100.0 * count(ri.event_id) / count(*) >= 99 AS passes, (SELECT count(*) FROM ri) AS n_regenerated_event_ids,
     {sql_r6('(SELECT 100.0 * count(r.event_id) / count(*) FROM o LEFT JOIN r ON o.event_id = r.event_id AND o.bin_id = r.bin_id)')} AS label_agreement_pct
-    FROM oi LEFT JOIN ri USING (event_id)""",
-)
+    FROM oi LEFT JOIN ri USING (event_id)"""
+
+
+@query("c17_reproducibility_check", SQL_C17)
 def c17(spark, sf):
     regenerated = _regenerated(spark, sf).withColumn(
         "bin_id", F.when(F.col("doc_id") % 7 == 0, F.lit("B9")).otherwise(F.col("bin_id"))

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.functions import ids
-from attnstrata.operators import compare, matching
+from attnstrata.operators import compare, matching, series
 from attnstrata.sources import catalogue, dataset, reports, tensors
 from attnstrata.session import scratch_path
 from workloads import comparisons, linear, models
 from workloads import matching as match_queries
 from workloads import views as v
 from workloads.registry import query, r6, sql_r6, table
-from workloads.sequences import SQL_DAILY
+from workloads.sequences import SQL_CUSUM, SQL_DAILY, THRESHOLD, USER, _cusum
 
 
 @query("s01_read_catalogue", f"WITH {v.SQL_FACTS} SELECT fact_id, template_id, subject, object, statement_form FROM facts JOIN templates USING (template_id)")
@@ -387,6 +387,55 @@ def s17(spark, sf):
     ).withColumn("median_gain", r6("median_gain"))
 
 
+@query(
+    "s17_marginal_gain_report",
+    f"""WITH {comparisons.SQL_GAINS} SELECT bin_id, {sql_r6('delta_auroc')} AS delta_auroc, {sql_r6('ci_upper_approx')} AS ci_upper_approx,
+    is_significant_at_02, (SELECT CAST(count_if(is_significant_at_02) AS BIGINT) FROM gains) AS n_bins_marginal_gain_at_02,
+    (SELECT count_if(is_significant_at_02) >= 4 FROM gains) AS ricci_load_bearing FROM gains""",
+)
+def s17_gain(spark, sf):
+    path = scratch_path(spark, "gain")
+    reports.write_marginal_gain_report(comparisons._gains(spark, sf), path)
+    back = spark.read.schema(
+        "per_bin map<string,struct<delta_auroc:double,ci_upper_approx:double,is_significant_at_02:boolean>>, "
+        "n_bins_marginal_gain_at_02 bigint, ricci_load_bearing boolean"
+    ).json(path)
+    return back.select(
+        F.explode("per_bin").alias("bin_id", "v"), "n_bins_marginal_gain_at_02", "ricci_load_bearing"
+    ).select(
+        "bin_id", r6("v.delta_auroc").alias("delta_auroc"), r6("v.ci_upper_approx").alias("ci_upper_approx"),
+        "v.is_significant_at_02", "n_bins_marginal_gain_at_02", "ricci_load_bearing",
+    )
+
+
+@query(
+    "s17_long_lines_report",
+    f"""WITH {SQL_CUSUM}, alarms AS (SELECT user_id, CAST(coalesce(min(CASE WHEN pos > {THRESHOLD} OR neg > {THRESHOLD}
+      THEN idx END), -1) AS BIGINT) AS first_alarm_idx FROM s GROUP BY user_id)
+    SELECT printf('L%02d_H%02d', user_id % 7, user_id // 7 % 5) AS line, list_sort(list(first_alarm_idx)) AS first_alarms
+    FROM alarms GROUP BY ALL""",
+)
+def s17_lines(spark, sf):
+    """Users stand for lines; some share a name, as heads of several runs do."""
+    path = scratch_path(spark, "lines")
+    user = F.col("user_id")
+    alarms = series.first_alarm(_cusum(spark, sf), USER).select(
+        (user % 7).alias("layer"), (F.floor(user / 7) % 5).alias("head"), F.col("first_alarm_idx").cast("bigint")
+    )
+    reports.write_long_lines_report(alarms, path)
+    return spark.read.schema("line string, first_alarms array<bigint>").json(path)
+
+
+@query("s17_reproducibility_report", comparisons.SQL_C17)
+def s17_reproducibility(spark, sf):
+    path = scratch_path(spark, "reproducibility")
+    reports.write_reproducibility_report(comparisons.c17(spark, sf), path)
+    return spark.read.schema(
+        "n_original_events bigint, n_overlap bigint, agreement_pct double, passes boolean, "
+        "n_regenerated_event_ids bigint, label_agreement_pct double"
+    ).json(path)
+
+
 @query(
     "s20_read_sweep_winner",
     f"""WITH {comparisons.SQL_SWEEP}, m AS (SELECT k, quantile_cont(gain, 0.5) AS med FROM sweep_gains GROUP BY k)
