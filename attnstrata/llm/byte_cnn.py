@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from attnstrata.llm.common import held_out, map_batches, pieces, replaced, string_column, with_fields
+from attnstrata.llm.common import held_out, map_batches, pieces, replaced, smallest_hashes, string_column, with_fields
 from attnstrata.llm.wordhash import raw_bytes
 
 CHUNK, OVERLAP = 1024, 128
@@ -173,8 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model
         .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(target).cast("int").alias("label"))
     )
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    picked = known.join(ids, "id", "left_semi").withColumn("rank", rank).where(F.col("rank") <= DOCS_PER_CLASS)
+    picked = smallest_hashes(known.join(ids, "id", "left_semi"), "label", "id", DOCS_PER_CLASS)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(picked.select("id", "label")), "id").dropDuplicates(["id"])
     found = sorted((r["id"], r["text"], r["label"]) for r in rows.toLocalIterator())

@@ -17,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from attnstrata.llm.common import held_out, map_batches, pieces, replaced, string_column, with_fields
+from attnstrata.llm.common import held_out, map_batches, pieces, replaced, smallest_hashes, string_column, with_fields
 from attnstrata.llm.wordhash import hash_spans, spans
 
 DOCS_PER_LANGUAGE, TRAIN_LINES, TRAIN_PASSES = 400, 8000, 60
@@ -289,9 +289,8 @@ def train(docs: DataFrame) -> Model | None:
     """Fit on documents outside the held-out quarter that have a language and a text."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    keys = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = keys.withColumn("rank", rank).where(F.col("rank") <= DOCS_PER_LANGUAGE).select("doc_id").distinct()
+    keys = usable.where("doc_id is not null").select("doc_id", "lang")
+    picked = smallest_hashes(keys, "lang", "doc_id", DOCS_PER_LANGUAGE).select("doc_id").distinct()
     lines = (
         usable.join(F.broadcast(picked), "doc_id", "left_semi")
         .select("lang", F.explode(F.split("text", "\n")).alias("line"))
