@@ -213,14 +213,24 @@ def stratified_split(
     seed: Column | str = "split",
     segment_digits: int = 2,
 ) -> DataFrame:
-    """Mark ``ceil(fraction * n)`` rows of each (group, label) as ``held_out``."""
+    """Mark ``ceil(fraction * n)`` rows of each group as ``held_out``, shared out over its labels.
+
+    Each label gets the whole part of its proportional share; what is left goes to the largest
+    remainders, ties to the smaller label.
+    """
     group = [*keys, label]
     ordered = require_keys(df, group).withColumn("_order", ids.order_key(seed, F.col(id_col)))
     ordered = ordered.withColumn("_segment", hash_segment("_order", segment_digits))
     counts = segment_counts(ordered, group)
-    sizes = counts.groupBy(*group).agg(
-        F.ceil(F.lit(fraction) * F.sum("_rows")).alias("_n_out")
+    sizes = counts.groupBy(*group).agg(F.sum("_rows").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    n, wanted = F.sum("_n").over(whole), F.ceil(F.lit(fraction) * F.sum("_n").over(whole))
+    sizes = sizes.withColumns({"_all": n, "_wanted": wanted}).withColumns(
+        {"_base": F.expr("_wanted * _n div _all"), "_left": F.expr("_wanted * _n % _all")}
     )
+    rank = F.row_number().over(whole.orderBy(F.desc("_left"), label))
+    spare = F.col("_wanted") - F.sum("_base").over(whole)
+    sizes = sizes.withColumn("_n_out", F.col("_base") + (rank <= spare).cast("int")).select(*group, "_n_out")
     starts = key_join(segment_starts(counts, group), sizes, group)
     return (
         place(ordered, starts, group, ["_order", id_col], "_position")

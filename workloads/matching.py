@@ -114,11 +114,21 @@ def w03(spark, sf):
     )
 
 
+def sql_split(name: str, source: str, seed: str, key: str = "bin_id") -> str:
+    """CTE of the source's rows with ``held_out``: a fifth of each group, shared out over both labels."""
+    return f"""
+{name}_c AS (SELECT {key}, is_fail, count(*) AS n, sum(count(*)) OVER (PARTITION BY {key}) AS total FROM {source} GROUP BY {key}, is_fail),
+{name}_w AS (SELECT *, CAST(ceil(0.2 * total) AS BIGINT) AS wanted FROM {name}_c),
+{name}_b AS (SELECT *, wanted * n // total AS base, wanted * n % total AS rest FROM {name}_w),
+{name}_n AS (SELECT {key}, is_fail, base + CASE WHEN row_number() OVER (PARTITION BY {key} ORDER BY rest DESC, is_fail)
+    <= wanted - sum(base) OVER (PARTITION BY {key}) THEN 1 ELSE 0 END AS n_out FROM {name}_b),
+{name} AS (SELECT s.*, row_number() OVER (PARTITION BY s.{key}, s.is_fail ORDER BY sha256('{seed}:' || event_id), event_id) <= n_out AS held_out
+  FROM {source} s JOIN {name}_n o ON s.{key} = o.{key} AND s.is_fail = o.is_fail)"""
+
+
 @query(
     "w04_stratified_split",
-    f"""WITH {v.SQL_LINE_EVENTS} SELECT bin_id, is_fail, event_id,
-    row_number() OVER (PARTITION BY bin_id, is_fail ORDER BY sha256('split:' || event_id), event_id)
-      <= ceil(0.2 * count(*) OVER (PARTITION BY bin_id, is_fail)) AS held_out FROM line_events""",
+    f"""WITH {v.SQL_LINE_EVENTS}, {sql_split('parts', 'line_events', 'split')} SELECT bin_id, is_fail, event_id, held_out FROM parts""",
 )
 def w04(spark, sf):
     e = v.line_events(spark, sf).select("bin_id", "is_fail", "event_id")

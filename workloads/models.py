@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.operators import compare, composite, functional, pooled_control, series, spine, statistics
 from workloads import linear
+from workloads.matching import sql_split
 from workloads import views as v
 from workloads.registry import query, r6, sql_r6, table
 
@@ -171,6 +172,42 @@ def c07(spark, sf):
     return _rounded(pooled_control.fit_pooled_control(vector_events(spark, sf), replicates=REPLICATES))
 
 
+def sql_single_fit(source: str, seed: str, key: str, least: int) -> str:
+    """Held-out AUROC of a fit on one feature: its order is that of the feature, by the sign of the
+    covariance with the label in the training rows.
+    """
+    return f"""WITH {SQL_SCORED}, rows_ AS (SELECT {key}, event_id, is_fail, length FROM {source}
+      QUALIFY count(*) OVER (PARTITION BY {key}) >= {least}),
+    {sql_split('parts', 'rows_', seed, key)},
+    signs AS (SELECT {key}, covar_pop(length, CAST(is_fail AS INTEGER)) < 0 AS falls, count(*) AS n_events_train
+      FROM parts WHERE NOT held_out GROUP BY {key}),
+    held AS (SELECT p.{key}, is_fail, CASE WHEN falls THEN -length ELSE length END AS s
+      FROM parts p JOIN signs USING ({key}) WHERE held_out),
+    {sql_auroc('h', 'held', 's', key)}
+    SELECT {key}, {sql_r6('auroc')} AS auroc, n_events_train, n_pos + n_neg AS n_events_held_out, 'fitted' AS status
+    FROM h JOIN signs USING ({key})"""
+
+
+SINGLE = ("auroc", "n_events_train", "n_events_held_out", "status")
+
+
+@query("c06_c13_single_feature", sql_single_fit("scored", "composite", "bin_id", fixed.MIN_ROWS_PER_FIT))
+def c06_single(spark, sf):
+    fits = composite.fit_composite(
+        scored_documents(spark, sf), features=["length"], bins=None, replicates=20
+    )
+    return fits.select("bin_id", *SINGLE).withColumn("auroc", r6("auroc"))
+
+
+@query(
+    "c07_single_feature",
+    sql_single_fit("(SELECT *, 'pooled_negative_control' AS control FROM scored)", "pooled", "control", 1),
+)
+def c07_single(spark, sf):
+    fits = pooled_control.fit_pooled_control(scored_documents(spark, sf), features=["length"], replicates=20)
+    return fits.select("control", *SINGLE).withColumn("auroc", r6("auroc"))
+
+
 @query("c13_fit_per_bin")
 def c13(spark, sf):
     """Bins under the minimum number of rows get no fit."""
