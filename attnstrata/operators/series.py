@@ -231,8 +231,9 @@ def ewma(
                 F.transform("_ends", lambda e: e["n"]), F.transform("_ends", lambda e: e["end"])
             ),
         )
-        .select(*keys, F.posexplode("_starts").alias("_at", "_start"), "_ends")
-        .select(*keys, F.get("_ends", F.col("_at"))["_block"].alias("_block"), "_start")
+        .withColumn("_blocks", F.transform("_ends", lambda e: e["_block"]))
+        .select(*keys, F.explode(F.arrays_zip("_blocks", "_starts")).alias("_link"))
+        .select(*keys, F.col("_link._blocks").alias("_block"), F.col("_link._starts").alias("_start"))
     )
     linked = key_join(blocks, starts, [*keys, "_block"])
     smoothed = linked.withColumn("_ewma", _smooth_udf(smoothing)("_start", "_values"))
