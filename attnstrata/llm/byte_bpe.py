@@ -14,8 +14,10 @@ vocabulary and does not grow with the data.
 from __future__ import annotations
 
 import base64
+import hashlib
+import os
 import re
-import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField
 
 from attnstrata.llm.common import map_batches, pieces, replaced, string_column, with_fields
-from attnstrata.session import materialize
+from attnstrata.session import scratch_path
 
 #: Bytes of text in a block; one text at least.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
+#: Words whose ids one task holds before it sends them back to their blocks.
+HELD_WORDS = 200_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -52,24 +56,73 @@ def _pattern() -> str:
 
 _ROUGH = re.compile(r"^\s|\s\Z|\s | \s")
 _BLOCK = (
-    "block string, code int, word string, doc_ids array<long>, sizes array<int>, "
+    "block long, code int, word string, doc_ids array<long>, sizes array<int>, "
     "codes binary, words binary, chunk_sizes binary"
 )
 _BLOCK_ARROW = pa.schema([
-    ("block", pa.string()), ("code", pa.int32()), ("word", pa.string()), ("doc_ids", pa.list_(pa.int64())),
+    ("block", pa.int64()), ("code", pa.int32()), ("word", pa.string()), ("doc_ids", pa.list_(pa.int64())),
     ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.binary()), ("chunk_sizes", pa.binary()),
 ])
+_LEVEL = 3
+#: Numbers that are worked on at once where intermediate arrays are larger than the result.
+_SLICE = 1 << 18
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Compressed 32-bit numbers, low bytes first, then the next bytes, and so on."""
-    planes = np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes.T).tobytes())
+    """Compressed numbers of 0 or more: the width of each, then the bits below its first one, by width.
+
+    Where numbers are ranks by frequency, this comes near the entropy of the sequence.
+    """
+    numbers = np.asarray(numbers, dtype=np.int32) + 1
+    width = np.concatenate([
+        (np.frexp(numbers[a : a + _SLICE])[1] - 1).astype(np.uint8) for a in range(0, max(1, len(numbers)), _SLICE)
+    ])
+    parts = [width.tobytes()]
+    for w in range(1, int(width.max(initial=0)) + 1):
+        low = (numbers[width == w] - (1 << w)).astype(">u4").view(np.uint8).reshape(-1, 4)
+        step = _SLICE  # a multiple of 8, so slices of bits end at whole bytes
+        parts.append(b"".join(
+            np.packbits(np.unpackbits(low[a : a + step], axis=1)[:, 32 - w :]).tobytes() for a in range(0, len(low), step)
+        ))
+    head = np.array([len(width), *map(len, parts[1:])], dtype="<i8")
+    packed = zstandard.ZstdCompressor(level=_LEVEL).compress(parts[0])
+    return np.array([len(head), len(packed)], dtype="<i8").tobytes() + head.tobytes() + packed + b"".join(parts[1:])
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    n_head, n_packed = np.frombuffer(data, dtype="<i8", count=2)
+    head = np.frombuffer(data, dtype="<i8", count=n_head, offset=16)
+    at = 16 + 8 * int(n_head)
+    width = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + n_packed]), dtype=np.uint8)
+    at += int(n_packed)
+    out = np.ones(int(head[0]), dtype=np.int32)
+    for w, size in enumerate(head[1:].tolist(), 1):
+        where = np.flatnonzero(width == w)
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=len(where) * w).reshape(-1, w)
+        for a in range(0, len(where), _SLICE):
+            wide = np.zeros((len(where[a : a + _SLICE]), 32), dtype=np.uint8)
+            wide[:, 32 - w :] = bits[a : a + _SLICE]
+            out[where[a : a + _SLICE]] = np.packbits(wide, axis=1).view(">u4").ravel().astype(np.int32) + (1 << w)
+        at += size
+    return out - 1
+
+
+class _Codes(dict):
+    """Chunk -> number; a new chunk gets the next number of the block, and is kept to be split."""
+
+    def __init__(self, chunks: list[str], kinds: bytearray, kind: int):
+        super().__init__()
+        self.chunks, self.kinds, self.kind = chunks, kinds, kind
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = at = len(self.chunks)
+        self.chunks.append(chunk)
+        self.kinds.append(self.kind)
+        return at
+
+
+#: Kinds of chunks: at a text's begin, behind a space, and one pre-token as it is.
+_FIRST, _SPACED, _WHOLE = 0, 1, 2
 
 
 class _Block:
@@ -82,61 +135,67 @@ class _Block:
 
     def __init__(self, find):
         self.find = find
-        self.words: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
-        self.whole: dict[str, int] = {}
-        self.content: list[list[int]] = []
+        self.chunks: list[str] = []
+        self.kinds = bytearray()
+        self.known = [_Codes(self.chunks, self.kinds, kind) for kind in (_FIRST, _SPACED, _WHOLE)]
         self.doc_ids: list[int | None] = []
-        self.codes: list[int] = []
+        self.codes: list[np.ndarray] = []
         self.sizes: list[int] = []
         self.bytes = 0
 
-    def _new(self, known: dict[str, int], chunk: str, parts: list[str]) -> int:
-        at = known[chunk] = len(self.content)
-        words = self.words
-        self.content.append([words.setdefault(w, len(words)) for w in parts])
-        return at
-
-    def add(self, doc_id: int | None, text: str, size: int) -> None:
-        before = len(self.codes)
-        if _ROUGH.search(text):
-            known, parts = self.whole, self.find(text)
-            self.codes += [known[w] if w in known else self._new(known, w, [w]) for w in parts]
+    def add(self, doc_id: int | None, text: str) -> None:
+        # with single spaces and line ends only, words and gaps count up; else a closer look
+        even = len(text.split()) == text.count(" ") + text.count("\n") + 1
+        if not even and _ROUGH.search(text):
+            codes = list(map(self.known[_WHOLE].__getitem__, self.find(text)))
         elif text:
-            known, parts = self.chunks, text.split(" ")
-            parts[1:] = [" " + x for x in parts[1:]]
-            try:
-                self.codes += [known[x] for x in parts]
-            except KeyError:
-                self.codes += [known[x] if x in known else self._new(known, x, self.find(x)) for x in parts]
+            first, *rest = text.split(" ")
+            codes = [self.known[_FIRST][first], *map(self.known[_SPACED].__getitem__, rest)]
+        else:
+            codes = []
         self.doc_ids.append(doc_id)
-        self.sizes.append(len(self.codes) - before)
-        self.bytes += size
+        self.codes.append(np.array(codes, dtype=np.int32))
+        self.sizes.append(len(codes))
+        self.bytes += len(text)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """One row with all texts, and a row for each distinct pre-token."""
         if not self.doc_ids:
             return
-        name = uuid.uuid4().hex
-        codes = np.array(self.codes, dtype=np.int64)
-        # frequent chunks get small numbers, which pack better
-        order = np.argsort(-np.bincount(codes, minlength=len(self.content)), kind="stable")
-        place = np.empty(len(order), dtype=np.int64)
+        name = int.from_bytes(os.urandom(8)) >> 1
+        codes = np.concatenate(self.codes)
+        self.codes.clear()
+        for known in self.known:  # from here on numbers suffice
+            known.clear()
+        # frequent chunks get small numbers, which pack better; words are numbered in their order
+        order = np.argsort(-np.bincount(codes, minlength=len(self.chunks)), kind="stable")
+        place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order))
-        content = [self.content[k] for k in order.tolist()]
+        packed = _pack(place[codes])
+        del codes, place
+        known: dict[str, int] = {}
+        content, sizes = array("i"), array("i")
+        for at in order.tolist():
+            chunk, kind = self.chunks[at], self.kinds[at]
+            parts = (chunk,) if kind == _WHOLE else self.find(" " + chunk if kind == _SPACED else chunk)
+            content.extend([known.setdefault(w, len(known)) for w in parts])
+            sizes.append(len(parts))
+        self.chunks.clear()
+        words = sorted(known)
+        rank = np.empty(len(words), dtype=np.int32)
+        rank[[known[w] for w in words]] = np.arange(len(words))
+        known.clear()
         yield pa.RecordBatch.from_pylist(
             [{
-                "block": name, "doc_ids": self.doc_ids, "sizes": self.sizes, "codes": _pack(place[codes]),
-                "words": _pack(np.array([w for c in content for w in c], dtype=np.int64)),
-                "chunk_sizes": _pack(np.array([len(c) for c in content], dtype=np.int64)),
+                "block": name, "doc_ids": self.doc_ids, "sizes": self.sizes, "codes": packed,
+                "words": _pack(rank[np.array(content)]), "chunk_sizes": _pack(np.array(sizes)),
             }],
             schema=_BLOCK_ARROW,
         )
-        words = list(self.words)
         for start in range(0, len(words), 50_000):
             part = words[start : start + 50_000]
             columns = [
-                pa.array([name] * len(part)), pa.array(range(start, start + len(part)), pa.int32()), pa.array(part, pa.string()),
+                pa.array([name] * len(part), pa.int64()), pa.array(range(start, start + len(part)), pa.int32()), pa.array(part, pa.string()),
             ]
             nulls = [pa.nulls(len(part), f.type) for f in _BLOCK_ARROW][3:]
             yield pa.RecordBatch.from_arrays([*columns, *nulls], schema=_BLOCK_ARROW)
@@ -153,7 +212,7 @@ def _split(pattern: str, block_bytes: int):
                 ids = piece.column(piece.schema.get_field_index("doc_id")).to_pylist()
                 texts = string_column(piece, "text").to_pylist()
                 for doc_id, text in zip(ids, texts, strict=True):
-                    block.add(doc_id, text or "", len(text or ""))
+                    block.add(doc_id, text or "")
                     if block.bytes >= block_bytes:
                         yield from block.rows()
                         block = _Block(find)
@@ -163,7 +222,20 @@ def _split(pattern: str, block_bytes: int):
 
 
 def _encode_words(ranks, pattern: str):
-    """Rows sorted by word to (block, code, ids): each distinct word of the partition is encoded once."""
+    """Rows sorted by word to packed (block, codes, sizes, ids): each distinct word of the partition is encoded once."""
+
+    def packed(blocks, codes, coded) -> pa.RecordBatch:
+        block, code = np.concatenate(blocks), np.concatenate(codes)
+        order = np.lexsort((code, block))
+        cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])
+        rows = []
+        for part in np.split(order, cuts[1:]):
+            ids = [coded[i] for i in part.tolist()]
+            steps = np.diff(code[part].astype(np.int64), prepend=0)
+            rows.append((int(block[part[0]]), _pack(steps), _pack(np.array([len(x) for x in ids])), b"".join(ids)))
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "word_codes", "word_sizes", "word_ids"])
 
     def run(batches):
         import tiktoken
@@ -173,15 +245,19 @@ def _encode_words(ranks, pattern: str):
         encode = whole._core_bpe.encode_single_piece
         kind = np.uint16 if max(table.values(), default=0) < 1 << 16 else np.uint32
         last, ids = None, b""
+        blocks, codes, coded = [], [], []
         for batch in batches:
-            out = []
             for word in batch.column(1).to_pylist():
                 if word != last:
                     last, ids = word, np.array(encode(word.encode()), dtype=kind).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["block", "code", "ids"]
-            )
+                coded.append(ids)
+            blocks.append(batch.column(0).to_numpy())
+            codes.append(batch.column(2).to_numpy())
+            if len(coded) >= HELD_WORDS:
+                yield packed(blocks, codes, coded)
+                blocks, codes, coded = [], [], []
+        if coded:
+            yield packed(blocks, codes, coded)
 
     return run
 
@@ -195,31 +271,66 @@ def _gather(values: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[n
     return values[at], count
 
 
-def _join_back(ids_type):
+def _as_lists(doc_ids: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> pa.Table:
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))
+    return pa.table({"doc_id": doc_ids, "ids": lists})
+
+
+def _join_back(ids_type, finish):
+    """Texts of a block from its words' ids; ``finish`` gets the ids of all texts in a row and where each begins."""
+
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
         row = {n: block[n][0] for n in ("doc_ids", "sizes", "codes", "words", "chunk_sizes")}
-        code = words["code"].to_numpy()
-        order = np.argsort(code)
-        coded = words["word_ids"].combine_chunks().take(pa.array(order))
-        lengths = np.asarray(pc.binary_length(coded)).astype(np.int64) // np.dtype(ids_type).itemsize
-        flat = np.frombuffer(b"".join(coded.to_pylist()), dtype=ids_type)
+        empty = np.zeros(0, dtype=np.int64)
+        code = np.concatenate([empty, *(np.cumsum(_unpack(x)) for x in words["word_codes"].to_pylist())])
+        lengths = np.concatenate([empty, *(_unpack(x) for x in words["word_sizes"].to_pylist())]) // np.dtype(ids_type).itemsize
+        flat, lengths = _gather(np.frombuffer(b"".join(words["word_ids"].to_pylist()), dtype=ids_type), lengths, np.argsort(code))
         # ids of each chunk, then of all chunks in a row, then cut into texts
         content, chunk_words = _unpack(row["words"].as_py()), _unpack(row["chunk_sizes"].as_py())
         chunk_ids, word_sizes = _gather(flat, lengths, content)
         ends = np.r_[0, np.cumsum(word_sizes)]
         chunk_sizes = np.diff(ends[np.r_[0, np.cumsum(chunk_words)]])
-        ids, sizes = _gather(chunk_ids, chunk_sizes, _unpack(row["codes"].as_py()))
-        ends = np.r_[0, np.cumsum(sizes)]
+        codes = _unpack(row["codes"].as_py())
+        ends = np.r_[0, np.cumsum(chunk_sizes[codes])]
         cuts = ends[np.r_[0, np.cumsum(np.array(row["sizes"].as_py(), dtype=np.int64))]]
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
-        return pa.table({"doc_id": pa.array(row["doc_ids"].as_py(), pa.int64()), "ids": lists})
+        ids = np.empty(int(ends[-1]), dtype=np.int32)
+        for a in range(0, len(codes), _SLICE):
+            part = codes[a : a + _SLICE]
+            ids[ends[a] : ends[a + len(part)]] = _gather(chunk_ids, chunk_sizes, part)[0]
+        del codes, ends
+        return finish(pa.array(row["doc_ids"].as_py(), pa.int64()), ids, cuts)
 
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _written(blocks: DataFrame) -> DataFrame:
+    """The blocks as a table in the shared folder, bucketed by block: texts are put together where they lie.
+
+    Its name in the catalogue is gone at once; the files are what later steps read.
+    """
+    spark = blocks.sparkSession
+    path = scratch_path(spark, "blocks")
+    name = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def encode(
+    docs: DataFrame,
+    ranks: dict[bytes, int] | None = None,
+    pattern: str | None = None,
+    block_bytes: int = BLOCK_BYTES,
+    finish=_as_lists,
+    schema: str = "doc_id long, ids array<int>",
+) -> DataFrame:
     """(doc_id, ids) of every row: the ids of all pre-tokens of the whole text, without special tokens.
 
+    ``finish`` and ``schema`` are for a caller that wants other rows of the ids, made where they are put together.
+
     A null text counts as empty; an empty text has no ids. Rows with null or repeated doc_id are kept as they are. An empty
     table gives no rows.
     """
@@ -227,23 +338,40 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     pattern = _pattern() if pattern is None else pattern
     ids_type = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = materialize(map_batches(rows, _split(pattern, block_bytes), _BLOCK), "blocks")
+    blocks = _written(map_batches(rows, _split(pattern, block_bytes), _BLOCK))
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     words = blocks.where("word is not null").select("block", "word", "code").repartition("word").sortWithinPartitions("word")
-    coded = map_batches(words, _encode_words(shared, pattern), "block string, code int, ids binary")
-    coded = coded.select(F.col("block").alias("word_block"), "code", F.col("ids").alias("word_ids"))
+    coded = map_batches(
+        words, _encode_words(shared, pattern), "block long, word_codes binary, word_sizes binary, word_ids binary"
+    ).withColumnRenamed("block", "word_block")
     texts = blocks.where("doc_ids is not null").drop("code", "word")
     return texts.groupBy("block").cogroup(coded.groupBy("word_block")).applyInArrow(
-        _join_back(ids_type), "doc_id long, ids array<int>"
+        _join_back(ids_type, finish), schema
     )
 
 
+def _lists(batch: pa.RecordBatch, name: str) -> Iterator[list[int] | None]:
+    """The lists of a column, faster than by single values."""
+    column = batch.column(batch.schema.get_field_index(name))
+    flat, at = column.flatten(), 0
+    flat = flat.to_numpy(zero_copy_only=False)
+    for size in pc.list_value_length(column).to_pylist():
+        if size is None:
+            yield None
+        else:
+            yield flat[at : at + size].tolist()
+            at += size
+
+
+def join_bytes(tokens: dict[int, bytes], ids: list[int]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids))
+
+
 def _join_tokens(table, ids: str, out: str):
     def run(batches):
         tokens = table.value
         for batch in batches:
-            at = batch.schema.get_field_index(ids)
-            found = [None if x is None else b"".join([tokens[i] for i in x]) for x in batch.column(at).to_pylist()]
+            found = [None if x is None else join_bytes(tokens, x) for x in _lists(batch, ids)]
             yield replaced(batch, **{out: pa.array(found, pa.large_binary()).cast(pa.binary())})
 
     return run
@@ -259,13 +387,30 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids: str =
     return map_batches(encoded, _join_tokens(table, ids, out), with_fields(encoded, StructField(out, BinaryType())))
 
 
+def _digests(table):
+    """Number, digest and decoded digest of each text's ids."""
+
+    def finish(doc_ids: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> pa.Table:
+        tokens = table.value
+        names = {i: str(i) for i in tokens}
+        coded, decoded = [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part = ids[a:b].tolist()
+            coded.append(hashlib.sha256(",".join(map(names.__getitem__, part)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(join_bytes(tokens, part)).hexdigest())
+        return pa.table({
+            "doc_id": doc_ids, "n_tokens": pa.array(np.diff(cuts), pa.int64()),
+            "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()),
+        })
+
+    return finish
+
+
 def op3(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; the decoded bytes come from the ids alone."""
     ranks = read_ranks()
-    both = decode(encode(docs, ranks), ranks)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    table = docs.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    return encode(
+        docs, ranks, finish=_digests(table),
+        schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )
