@@ -1,19 +1,22 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
-Documents become sets of shingle hashes. Equal sets are one node. Nodes are partitioned into groups
-by the first token they have in a common order of all tokens, so similar sets meet in few groups; a
-group of many sets is dealt over sub-groups by hash. The matrix holds, for each group, the union of its sets'
-tokens. A query set counts the columns it shares with each group; only a group whose count
-reaches the least overlap that any of its sets could need is a candidate. In a task of its own, the query is then
-held against the group's whole union, and only if that bound qualifies are the group's sets opened and
-compared exactly.
+Documents become sets of shingle hashes; equal sets are one node. Nodes are partitioned into groups of
+similar sets: by the first token they have in a common order of all tokens, and in it by the links that a first comparison
+within bounded tasks finds. The matrix holds, for each group, the union of its sets' leading tokens. A query set counts
+the entries that it shares with each group; only a group whose count reaches the least overlap that
+any of its sets could need is a candidate. Candidates are opened in tasks of bounded size: there the query is held against
+the whole union of a part of the group, and only if that bound qualifies the part's sets are compared, exactly.
 
 Why no link is lost: two sets of sizes n <= m link only if they share at least
-``ceil(t (n + m) / (100 + t))`` tokens. In any common order of tokens, two sets that share ``a`` tokens share
-``k`` of them within their first ``size - a + k``. The smaller set enters its first tokens into
-the matrix, the larger one asks with its own, both for the least ``a`` possible; so the query
-shares ``k`` entries with the group of its partner. The order may be any; tokens found repeatedly in many places come
-last in it, which keeps common lines and passages out of the matrix.
+``ceil(t (n + m) / (100 + t))`` tokens. In any common order of tokens, two sets that share ``a`` tokens
+share ``k`` of them within their first ``size - a + k``. The smaller set enters its first tokens into the matrix, the larger
+one asks with its own, both for the least ``a`` possible; so the query shares ``k`` entries with the
+group of its partner. The order may be any; tokens found repeatedly in many places come last in it, which keeps common
+lines and passages out of the matrix.
+
+Why large groups of near copies do not square: what the first comparison connects never asks its own group. The first set of each
+group, and unlinked sets, ask first; then the others ask only groups that are not yet in their component. Components
+are sought among groups, not among their sets.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ from attnstrata.llm.wordhash import distinct_sets, mix
 from attnstrata.session import materialize
 
 #: Shared leading tokens that a candidate needs.
-MATCHES = 3
-#: Sets of a sub-group on average, and queries opened against it in one task.
-GROUP_SETS, TASK_QUERIES = 128, 1024
+MATCHES = 8
+#: Sets of a group's part on average, and queries opened against it in one task.
+GROUP_SETS, TASK_QUERIES = 512, 2048
 #: Tokens that are ordered by their count, last; others by hash. Any number gives the same result.
 COMMON_TOKENS = 1 << 17
 #: Times that a token must occur in one piece of texts to be counted for that order.
@@ -92,7 +95,7 @@ def _ordered(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(width: int, percent: int, common):
-    """Rows (s, n, first, probe, entry): leading tokens to ask with; the first ``entry`` are entered."""
+    """Rows (doc_id, s, n, first, probe, entry): leading tokens to ask with; the first ``entry`` are entered."""
 
     def run(batches):
         known = common.value
@@ -107,7 +110,7 @@ def _prefixes(width: int, percent: int, common):
                         need, same = least_size(n, percent), least_overlap(n, n, percent)
                         k = min(MATCHES, need)
                         lead = _ordered(tokens, known)[: n - need + k].astype(np.int64)
-                        rows.append((doc, _signature(tokens)[0], n, int(lead[0]), lead, min(n, n - same + MATCHES)))
+                        rows.append((doc, _signature(tokens)[0], n, int(tokens[0].astype(np.int64)), lead, min(n, n - same + MATCHES)))
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int32()]
                 yield pa.RecordBatch.from_arrays(
@@ -138,57 +141,160 @@ def _tokens(width: int):
     return run
 
 
+def _tree():
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def join(x: int, y: int) -> bool:
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+        return x != y
+
+    return root, join
+
+
+def _cluster(percent: int):
+    """Rows (s, lot) of the sets of one task that link with others; a lot is named by its pivot or its least set."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        names = rows["s"].to_pylist()
+        tokens = [np.frombuffer(x, dtype=np.uint64) for x in rows["tokens"].to_pylist()]
+        sizes = np.array([len(x) for x in tokens], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        union, at = np.unique(np.concatenate(tokens), return_inverse=True)
+        root, join = _tree()
+        linked = set()
+        for i in range(1, len(names)):
+            fits = (sizes[:i] >= least_size(sizes[i], percent)) & (least_size(sizes[:i], percent) <= sizes[i])
+            if not fits.any():
+                continue
+            mask = np.zeros(len(union), dtype=bool)
+            mask[at[starts[i] : starts[i] + sizes[i]]] = True
+            shared = np.add.reduceat(mask[at[: starts[i]]], starts[:i], dtype=np.int64)
+            for k in np.flatnonzero(fits & (100 * shared >= percent * (sizes[:i] + sizes[i] - shared))):
+                join(names[i], names[k])
+                linked.update((names[i], names[k]))
+        name = {root(s): s for s, pivot in zip(names, rows["pivot"].to_pylist(), strict=True) if pivot}
+        linked = sorted(linked)
+        return pa.table({
+            "s": pa.array(linked, pa.int64()), "lot": pa.array([name.get(root(s), root(s)) for s in linked], pa.int64()),
+        })
+
+    return run
+
+
 def _open(percent: int):
-    """Links between the queries and the sets of one sub-group, enough to connect what links."""
+    """Links between the queries and the sets of one part, enough to connect what links."""
 
-    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        names = members["member_s"].to_numpy()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in members["member_tokens"].to_pylist()]
-        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    def run(rows: pa.Table) -> pa.Table:
+        asks = rows["asks"].to_pylist()
+        names = rows["s"].to_pylist()
+        tokens = [np.frombuffer(x, dtype=np.uint64) for x in rows["tokens"].to_pylist()]
+        members = [i for i, ask in enumerate(asks) if not ask]
         links: list[tuple[int, int]] = []
-        if len(sets) and queries.num_rows:
-            union = np.unique(np.concatenate(sets))
-            at = np.searchsorted(union, np.concatenate(sets))
-            starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            asked = zip(queries["s"].to_pylist(), queries["tokens"].to_pylist(), strict=True)
-            for s, tokens in asked:
-                tokens = np.frombuffer(tokens, dtype=np.uint64)
-                n = len(tokens)
-                fits = (sizes <= n) & (sizes >= least_size(n, percent)) & (names != s)
+        if members and len(members) < len(asks):
+            sizes = np.array([len(tokens[i]) for i in members], dtype=np.int64)
+            owners = np.array([names[i] for i in members], dtype=np.int64)
+            together = np.concatenate([tokens[i] for i in members])
+            union = np.unique(together)
+            at = np.searchsorted(union, together)
+            starts = np.cumsum(sizes) - sizes
+            _, join = _tree()
+            for i in (i for i, ask in enumerate(asks) if ask):
+                n = len(tokens[i])
+                fits = (sizes <= n) & (sizes >= least_size(n, percent)) & (owners != names[i])
                 if not fits.any():
                     continue
-                place = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-                place = place[union[place] == tokens]
+                place = np.minimum(np.searchsorted(union, tokens[i]), len(union) - 1)
+                place = place[union[place] == tokens[i]]
                 if len(place) < least_overlap(n, int(sizes[fits].min()), percent):
-                    continue  # even the group's union shares too little
+                    continue  # even the union shares too little
                 mask = np.zeros(len(union), dtype=bool)
                 mask[place] = True
                 shared = np.add.reduceat(mask[at], starts, dtype=np.int64)
-                union_sizes = n + sizes - shared
-                for k in np.flatnonzero(fits & (100 * shared >= percent * union_sizes)):
-                    a, b = root(s), root(int(names[k]))
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        links.append((s, int(names[k])))
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+                for k in np.flatnonzero(fits & (100 * shared >= percent * (n + sizes - shared))):
+                    if join(names[i], int(owners[k])):
+                        links.append((names[i], int(owners[k])))
+        return pa.table({
+            "a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64()),
+        })
 
     return run
 
 
-def links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+def _sent(docs: DataFrame, targets: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """``targets`` (doc_id, s, ...) with the tokens of these sets, made from the documents' texts."""
+    ids = targets.select("doc_id").distinct()
+    tokens = map_batches(
+        docs.join(checked_broadcast(ids, PICK_ROWS), "doc_id", "left_semi"), _tokens(width),
+        "doc_id long, s long, n long, tokens binary",
+    ).where("n > 0")
+    if repeated:
+        tokens = tokens.dropDuplicates(["doc_id", "s"])
+    return tokens.drop("n").join(checked_broadcast(targets, PICK_ROWS), ["doc_id", "s"])
+
+
+def _compare(docs: DataFrame, targets: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
+    """Links (a, b) found where ``targets`` (doc_id, s, asks, lot, part, chunk) send the documents' sets."""
+    rows = _sent(docs, materialize(targets, "targets"), width, repeated)
+    found = rows.select("lot", "part", "chunk", "asks", "s", "tokens").groupBy("lot", "part", "chunk").applyInArrow(
+        _open(percent), "a long, b long"
+    )
+    return materialize(found.distinct(), "edges")
+
+
+def _lots(docs: DataFrame, leads: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
+    """(s, lot) of the sets that a first comparison of those beginning with one token connects.
+
+    Up to ``TASK_QUERIES`` sets are compared with each other in one task; more are dealt over several, and the first
+    set of all, the pivot, goes to each of them.
+    """
+    sets = leads.select("first", "doc_id", "s")
+    pivots = (
+        sets.groupBy("first").agg(F.min("s").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+        .select("first", "least", F.ceil(F.col("rows") / TASK_QUERIES).alias("chunks"))
+    )
+    sets = sets.join(checked_broadcast(pivots, PICK_ROWS), "first")
+    pivot = F.col("s") == F.col("least")
+    chunk = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("s"), "chunks"))
+    )
+    targets = materialize(sets.select("doc_id", "s", "first", pivot.alias("pivot"), F.explode(chunk).alias("chunk")), "targets")
+    rows = _sent(docs, targets, width, repeated).select("first", "chunk", "pivot", "s", "tokens")
+    found = rows.groupBy("first", "chunk").applyInArrow(_cluster(percent), "s long, lot long")
+    return materialize(found.distinct(), "lots")
+
+
+def _targets(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Where the sets of ``pairs`` (doc_id, s, lot) and those of the groups they ask meet."""
+    zero = F.lit(0).cast("long")
+    asked = pairs.groupBy("lot").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("chunks"))
+    members = groups.select("doc_id", "s", "lot").join(asked, "lot")
+    parts = members.groupBy("lot").agg(
+        F.ceil(F.count("*") / GROUP_SETS).alias("parts"), F.first("chunks").alias("chunks")
+    )
+    to_parts = pairs.join(parts, "lot").select(
+        "doc_id", "s", F.lit(True).alias("asks"), "lot", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("s"), "chunks").alias("chunk"),
+    )
+    to_chunks = members.drop("chunks").join(parts, "lot").select(
+        "doc_id", "s", F.lit(False).alias("asks"), "lot", F.pmod(F.xxhash64("s", F.lit(1)), "parts").alias("part"),
+        F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"),
+    )
+    return to_parts.unionByName(to_chunks)
+
+
+def links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sets of all documents, and links between different sets.
 
-    Returns ``sets`` (doc_id, n, s: the set's name, equal for equal sets) and ``edges`` (a, b: names of sets
-    with ``100 * shared >= percent * union``). Sets that link directly or over others are connected by
-    the edges; a pair that is connected already within its group is not listed again. Null or empty
-    texts have no set (n = 0) and no edges.
+    Returns ``sets`` (doc_id, n, s: the set's name, equal for equal sets), ``lots`` (s, lot: sets that links connect) and
+    ``edges`` (a, b: names of sets with ``100 * shared >= percent * union``). Sets that link directly or over
+    others are connected by lots and edges; a pair that is connected already is not listed again. Null or empty
+    texts have no set (n = 0).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -219,61 +325,62 @@ def links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame
     if repeated:
         leads = leads.dropDuplicates(["doc_id", "s"])
     leads = materialize(leads, "leads")
-    large = leads.groupBy("first").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP_SETS)
-    groups = leads.join(checked_broadcast(large, PICK_ROWS), "first", "left").select(
-        "s", "n", "doc_id", "first", "probe", "entry",
-        F.pmod(F.xxhash64("s"), F.coalesce(F.ceil(F.col("rows") / GROUP_SETS), F.lit(1))).alias("part"),
+    lots = _lots(docs, leads, width, percent, repeated)
+    large = leads.groupBy("first").agg(F.count("*").alias("rows")).where(F.col("rows") > TASK_QUERIES)
+    part = F.coalesce(F.pmod(F.xxhash64("s"), F.ceil(F.col("rows") / GROUP_SETS)), F.lit(0))
+    groups = (
+        leads.join(checked_broadcast(lots.withColumnRenamed("lot", "linked"), PICK_ROWS), "s", "left")
+        .join(checked_broadcast(large, PICK_ROWS), "first", "left")
+        .withColumn("lot", F.coalesce("linked", F.xxhash64("first", part)))
+        # sets of one task were all compared; of more, only those of one lot need not meet again
+        .withColumn("done", F.when(F.col("rows").isNull(), F.col("first")).otherwise(F.col("lot")))
+        .withColumn("own", F.when(F.col("rows").isNull() | F.col("linked").isNotNull(), F.col("done")).otherwise(F.bitwise_not("done")))
+        .withColumn("speaks", F.col("linked").isNull() | (F.col("linked") == F.col("s")))
     )
+    # the first set of each lot, and unlinked sets, ask for all
+    itself = (F.col("own") == F.bitwise_not("done")) & (F.col("owners") == 1)
+    askers = groups.where("speaks")
+    pairs = _candidates(askers, groups, (F.col("own") != F.col("done")) & ~itself, percent)
+    first = _compare(docs, _targets(pairs, groups), width, percent, repeated)
+    if lots.isEmpty():
+        return sets.select("doc_id", "n", "s"), lots, first
+    # lots that this has connected are one; the other sets ask only outside of theirs
+    roots = materialize(components(_among_lots(first, lots)), "roots")
+    merged = (
+        groups.withColumn("node", F.coalesce("linked", "s")).join(checked_broadcast(roots, PICK_ROWS), "node", "left")
+        .withColumn("lot", F.coalesce("root", "linked", "lot"))
+        .withColumn("own", F.col("lot")).withColumn("done", F.col("lot"))
+    )
+    pairs = _candidates(merged.where("not speaks"), merged, F.col("own") != F.col("done"), percent)
+    second = _compare(docs, _targets(pairs, merged), width, percent, repeated)
+    return sets.select("doc_id", "n", "s"), lots, first.unionByName(second)
+
+
+def _candidates(askers: DataFrame, groups: DataFrame, elsewhere, percent: int) -> DataFrame:
+    """(s, doc_id, lot): groups whose matrix columns share enough leading tokens with an asking set."""
     matrix = (
-        groups.select("first", "part", "n", F.explode(F.slice("probe", F.lit(1), F.col("entry"))).alias("token"))
-        .groupBy("token", "first", "part")
+        groups.select("lot", "done", "n", F.explode(F.slice("probe", F.lit(1), F.col("entry"))).alias("token"))
+        .groupBy("token", "lot", "done")
         .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("owners"))
     )
-    asks = groups.select(
-        "s", "n", F.col("first").alias("own"), F.col("part").alias("own_part"), F.explode("probe").alias("token")
-    )
+    asks = askers.select("s", "n", "own", F.explode("probe").alias("token"))
     need = F.expr(f"({percent} * n + 99) div 100")
-    elsewhere = (F.col("own") != F.col("first")) | (F.col("own_part") != F.col("part"))
-    shared = (
+    pairs = (
         asks.join(matrix, "token")
-        .where((F.col("low") <= F.col("n")) & (F.col("high") >= need) & (elsewhere | (F.col("owners") > 1)))
-        .groupBy("s", "first", "part")
+        .where((F.col("low") <= F.col("n")) & (F.col("high") >= need) & elsewhere)
+        .groupBy("s", "lot")
         .agg(F.count("*").alias("hits"), F.max("n").alias("n"))
         .where(F.col("hits") >= F.least(F.lit(MATCHES), need))
     )
-    pairs = materialize(shared.select("s", "first", "part"), "candidates")
+    return materialize(pairs.select("s", "lot").join(askers.select("s", "doc_id"), "s"), "candidates")
 
-    members = groups.select("s", "doc_id", "first", "part").join(
-        pairs.select("first", "part").distinct(), ["first", "part"], "left_semi"
-    )
-    wanted = (
-        groups.select("s", "doc_id").join(pairs.select("s").distinct(), "s", "left_semi")
-        .unionByName(members.select("s", "doc_id")).distinct()
-    )
-    wanted = materialize(wanted, "wanted")
-    texts = docs.join(checked_broadcast(wanted.select("doc_id").distinct(), PICK_ROWS), "doc_id", "left_semi")
-    tokens = map_batches(texts, _tokens(width), "doc_id long, s long, n long, tokens binary")
-    tokens = tokens.where("n > 0").join(checked_broadcast(wanted, PICK_ROWS), ["doc_id", "s"], "left_semi")
-    if repeated:
-        tokens = tokens.dropDuplicates(["s"])
-    tokens = materialize(tokens.select("s", "tokens"), "tokens")
-    chunks = pairs.groupBy("first", "part").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("chunks"))
-    queries = (
-        pairs.join(chunks, ["first", "part"])
-        .withColumn("chunk", F.pmod(F.xxhash64("s"), F.col("chunks"))).drop("chunks")
-        .join(tokens, "s")
-    )
-    opened = (
-        members.select("s", "first", "part").join(chunks, ["first", "part"])
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
-        .join(tokens, "s")
-        .select(*(F.col(c).alias(f"member_{c}") for c in ("first", "part", "chunk", "s", "tokens")))
-    )
-    opened = opened.groupBy("member_first", "member_part", "member_chunk")
-    edges = opened.cogroup(queries.groupBy("first", "part", "chunk")).applyInArrow(
-        _open(percent), "a long, b long"
-    )
-    return sets.select("doc_id", "n", "s"), materialize(edges.distinct(), "edges")
+
+def _among_lots(edges: DataFrame, lots: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets as edges between their lots; an unlinked set is a lot of its own."""
+    for end in ("a", "b"):
+        named = lots.select(F.col("s").alias(end), F.col("lot").alias("of"))
+        edges = edges.join(named, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    return edges.where("a <> b").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -283,7 +390,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     several texts: they share its component. A null, empty or blank text has no shingles and links with
     nothing. A row with a null id counts for nothing else: its component is null. An empty table gives no rows.
     """
-    sets, edges = links(docs, width, percent)
+    sets, lots, edges = links(docs, width, percent)
     named = sets.where("n > 0 and doc_id is not null")
     # an id with several different sets ties them together
     several = (
@@ -291,9 +398,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
         .where("a <> top").select("doc_id", "a")
     )
     ties = named.join(several, "doc_id").select("a", F.col("s").alias("b"))
-    roots = components(edges.unionByName(ties)).withColumnRenamed("node", "s")
-    least = named.groupBy("s").agg(F.min("doc_id").alias("doc_id")).join(roots, "s", "left")
-    least = least.select("s", "doc_id", F.coalesce("root", "s").alias("root"))
+    roots = components(_among_lots(edges.unionByName(ties), lots))
+    least = named.groupBy("s").agg(F.min("doc_id").alias("doc_id")).join(lots, "s", "left")
+    least = least.withColumn("node", F.coalesce("lot", "s")).join(roots, "node", "left")
+    least = least.select("s", "doc_id", F.coalesce("root", "node").alias("root"))
     lowest = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = least.join(lowest, "root").select("s", "component_id")
     return (

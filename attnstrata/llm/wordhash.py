@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Longest run of bytes that is hashed at once; longer texts are cut between words.
-SLICE = 1 << 21
+SLICE = 1 << 18
 #: Bytes that separate words: space and the controls 9 to 13.
 BLANKS = (0x20, *range(0x09, 0x0E))
 
@@ -33,7 +33,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < size:
-        size = max(size, 1 << 16)
+        size = max(size, SLICE)
         inverse = pow(_BASE, -1, 1 << 64)
         _powers[:] = [
             np.multiply.accumulate(np.r_[np.uint64(1), np.full(size, b, dtype=np.uint64)])
