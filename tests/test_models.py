@@ -87,6 +87,13 @@ def test_composite_fit(spark):
     assert r["feature_names"] == names
 
 
+def test_a_bin_of_one_class_stays_without_a_fit(spark):
+    df = study_rows(spark).withColumn("is_fail", F.col("is_fail") | (F.col("bin_id") == "B1"))
+    fits = {r["bin_id"]: r for r in composite.fit_composite(df, replicates=5).collect()}
+    assert fits["B1"]["status"] == "single_class" and fits["B1"]["coefficients"] is None
+    assert fits["B1"]["auroc"] is None and fits["B2"]["status"] == "fitted"
+
+
 def test_pooled_control_is_its_own_table(spark):
     out = pooled_control.fit_pooled_control(study_rows(spark), replicates=20)
     assert out.first()["control"] == "pooled_negative_control" and "bin_id" not in out.columns
