@@ -144,8 +144,9 @@ class _Block:
         self.bytes = 0
 
     def add(self, doc_id: int | None, text: str) -> None:
-        # with single spaces and line ends only, words and gaps count up; else a closer look
-        even = len(text.split()) == text.count(" ") + text.count("\n") + 1
+        # if all blanks of any kind are single and between words, they are one less than the words; else a closer look
+        words = text.split()
+        even = len(text) - sum(map(len, words)) == len(words) - 1
         if not even and _ROUGH.search(text):
             codes = list(map(self.known[_WHOLE].__getitem__, self.find(text)))
         elif text:

@@ -119,6 +119,21 @@ def test_bpe_equals_tiktoken(spark, block_bytes):
     assert query[0]["n_tokens"] == 0 and query[0]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_bpe_of_blank_runs_that_other_blanks_make_up_for(spark):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks()
+    top = max(ranks.values())  # the file has no token of several blanks, so wrong cuts between them would not show
+    ranks |= {blanks: top + k for k, blanks in enumerate((b"  ", b"   ", b"\n ", b"\n  "), 1)}
+    whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    blanks = ("\t", "\u00a0", "\r", "\r\n", "\f", "\u2003", "\x1c", "\x85")
+    texts = [t.replace("_", b) for b in blanks for t in ("a_b_c   d", "x\n  b_c_d", "a_b_c_   d", "   a_b_c", "a_b_c   ", "a_b c d")]
+    texts += ["if x:\r\n   y = 1\r\n", "k\tv\r\n   w\tz"]
+    got = byte_bpe.encode(documents(spark, texts), ranks).collect()
+    assert {texts[r["doc_id"]]: list(r["ids"]) for r in got} == {t: whole.encode_ordinary(t) for t in texts}
+
+
 def test_bpe_of_an_empty_table(spark):
     assert byte_bpe.op3(documents(spark, [])).collect() == []
 
