@@ -16,6 +16,8 @@ from attnstrata.session import materialize
 
 #: A document goes if its text has no letter, or no language has this mean probability over its words.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Near copies share this many percent of their shingles of so many words. The contract of op10 alone is 3 and 90.
+SHINGLE_WORDS, SHARED_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of the Jaccard join connect, that of the smallest id."""
-    return jaccard_groups.keep_one(docs)
+    return jaccard_groups.keep_one(docs, width=SHINGLE_WORDS, percent=SHARED_PERCENT)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

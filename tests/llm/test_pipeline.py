@@ -83,6 +83,26 @@ def test_each_stage_against_brute_force(spark, tables):
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_near_copies_by_five_words(spark):
+    rng = random.Random(7)
+    base = [f"{rng.choice(VOCABULARY)}{k}" for k in range(200)]
+    texts = {0: base}
+    for doc_id, changes in ((1, (20, 70, 120, 170)), (2, (20, 60, 100, 140, 180)), (3, (199,)), (4, range(0, 200, 9))):
+        texts[doc_id] = [f"new{doc_id}" if k in changes else w for k, w in enumerate(base)]
+    texts[5], texts[6] = base[:4], [*base[:4], "x"]
+    sets = {i: set(zip(*(w[k:] for k in range(5)), strict=False)) or {tuple(w)} for i, w in texts.items()}
+    root = {i: i for i in texts}
+    for _ in texts:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if len(a & b) >= 0.8 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert root[1] == 0
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    kept = corpus_pipeline.join_near_copies(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i in texts if root[i] == i]
+
+
 def test_an_empty_table_stays_empty(spark, tables):
     folder, *_ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
