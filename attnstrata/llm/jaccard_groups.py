@@ -338,7 +338,8 @@ def links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame
         .withColumn("speaks", F.col("linked").isNull() | (F.col("linked") == F.col("s")))
     )
     # the first set of each lot, and unlinked sets, ask for all
-    itself = (F.col("own") == F.bitwise_not("done")) & (F.col("owners") == 1)
+    # a token that the asker has entered and that has one owner is its own; one it only asks with is another set's
+    itself = (F.col("own") == F.bitwise_not("done")) & (F.col("owners") == 1) & (F.col("at") < F.col("entry"))
     askers = groups.where("speaks")
     pairs = _candidates(askers, groups, (F.col("own") != F.col("done")) & ~itself, percent)
     first = _compare(docs, _targets(pairs, groups), width, percent, repeated)
@@ -363,7 +364,7 @@ def _candidates(askers: DataFrame, groups: DataFrame, elsewhere, percent: int) -
         .groupBy("token", "lot", "done")
         .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("owners"))
     )
-    asks = askers.select("s", "n", "own", F.explode("probe").alias("token"))
+    asks = askers.select("s", "n", "own", "entry", F.posexplode("probe").alias("at", "token"))
     need = F.expr(f"({percent} * n + 99) div 100")
     pairs = (
         asks.join(matrix, "token")

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from attnstrata.llm import byte_bpe, byte_cnn, jaccard_groups, language_crf, license_scan, pii_spans, quality_rules, template_leaks
@@ -86,6 +87,31 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, small_groups):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_components(rows)
 
 
+def test_pairs_of_one_least_token_that_no_task_compares_at_first(spark, monkeypatch):
+    """In a group dealt over several tasks, tokens that a set only asks with count if another set is their one owner."""
+    monkeypatch.setattr(jaccard_groups, "TASK_QUERIES", 1)
+    rng = random.Random(8)
+
+    def made(text):
+        tokens = jaccard_groups.distinct_sets(pa.array([text]), 3)[0]
+        return tokens[0], jaccard_groups._signature(tokens)[0]
+
+    texts = []
+    while len(texts) < 180:
+        base = [f"{rng.choice(VOCABULARY)}{rng.randrange(10**6)}" for _ in range(22)]
+        long, short = " ".join(base), " ".join(base[:-2])  # 20 and 18 shingles: 90 percent
+        if made(long)[0] != made(short)[0]:
+            continue
+        at = next(k for k in range(18) if made(" ".join(base[k : k + 3]))[0] == made(long)[0])
+        for _ in range(2000):  # another set of that least token, which is the pivot
+            other = " ".join([*base[at : at + 3], *(f"z{rng.randrange(10**6)}" for _ in range(2))])
+            if made(other)[0] == made(long)[0] and made(other)[1] < min(made(long)[1], made(short)[1]):
+                texts += [long, short, other]
+                break
+    got = jaccard_groups.jaccard_components(documents(spark, texts))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_components(list(enumerate(texts)))
+
+
 def test_keep_one_keeps_whole_rows(spark):
     docs = documents(spark, ["a b c d", "A b c d", None, "", "a b c d", "z"], [5, 2, 9, 10, 2, None])
     kept = jaccard_groups.keep_one(docs)
