@@ -1,7 +1,7 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped to lines, one for each block of the page. Elements that are never article text by their name, class or
-role leave empty lines, as does a line that is mostly links. The text lengths of ``WINDOW`` lines in a row are summed; a surge
+role leave empty lines, as does a line that is mostly links, inside an article only if it has several and is in a list. The text lengths of ``WINDOW`` lines in a row are summed; a surge
 is the first line whose sum exceeds ``SURGE``, a dive the next place where the sum is zero. Lines between a
 surge and its dive are kept. In a page with an article or main element, other lines count as
 empty and any sum above zero is a surge. If no sum surges, the stretch between empty lines that has the
@@ -44,6 +44,16 @@ MARKS = frozenset(
     "social sponsor sponsored subscribe teaser toolbar widget".split()
 )
 CONTAINERS = ("article", "main")
+#: Elements without an end tag of their own end at these start tags beside them, and with the element around them.
+_CELLS = frozenset("td th tr tbody tfoot thead".split())
+ENDED_BY = {
+    "p": frozenset(
+        "address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 "
+        "h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    ),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
+    "td": _CELLS, "th": _CELLS, "tr": _CELLS - {"td", "th"},
+}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -67,21 +77,33 @@ def _unwanted(name: str, attributes: str) -> bool:
     return False
 
 
+def _open_ends(name: str, inner: list[str]) -> bool:
+    """Whether a start tag that ends ``name`` does so past the elements that are open in it."""
+    if name in _CELLS:
+        return "table" not in inner
+    return not inner if name == "p" else {"address", "div", "p"}.issuperset(inner)
+
+
 def lines(page: str) -> list[tuple[str, bool]]:
     """Blocks in page order: (text, inside an article or main element); removed parts are empty lines."""
     out: list[tuple[str, bool]] = []
     held: list[str] = []
     link_held: list[str] = []
-    depth, in_link, dropping, level, at = 0, False, "", 0, 0
+    depth, in_link, dropping, level = 0, False, "", 0
+    links, lists = 0, 0  # of the line held; open around it
+    inner: list[str] = []  # open elements inside a dropped one whose end tag can be left out
 
     def flush() -> None:
+        nonlocal links
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
                 linked = " ".join(html.unescape("".join(link_held)).split()) if link_held else ""
-                out.append(("", False) if len(linked) >= LINK_SHARE * len(text) and linked else (text, depth > 0))
+                counts = not depth or lists and links > 1
+                out.append(("", False) if counts and linked and len(linked) >= LINK_SHARE * len(text) else (text, depth > 0))
         link_held.clear()
+        links = 0
 
     def gap() -> None:
         if not depth:  # a gap inside an article does not end it
@@ -107,7 +129,25 @@ def lines(page: str) -> list[tuple[str, bool]]:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, position)
             position = end.end() if end else size
             continue
-        if dropping:
+        if dropping in ENDED_BY:
+            inside = closing and name in inner
+            # a block's end tag that nothing open inside has is that of an element around
+            around = closing and not inside and name in BLOCKS and name not in (dropping, "p")
+            if not closing:
+                while inner and name in ENDED_BY.get(inner[-1], ()):
+                    inner.pop()
+            if around or not closing and (name in CONTAINERS or name in ENDED_BY[dropping] and _open_ends(dropping, inner)):
+                dropping = ""  # ended without an end tag; this tag counts
+            else:
+                if inside:
+                    while inner.pop() != name:
+                        pass
+                elif closing and name == dropping:
+                    dropping = ""
+                elif not closing and name in BLOCKS and name not in VOID and not attributes.endswith("/"):
+                    inner.append(name)
+                continue
+        elif dropping:
             if name == dropping:
                 level += -1 if closing else not attributes.endswith("/")
                 if level <= 0:
@@ -120,13 +160,17 @@ def lines(page: str) -> list[tuple[str, bool]]:
             held.append(" ")
         elif name == "a":
             in_link = not closing
+            links += in_link
         elif not closing and name not in VOID and _unwanted(name, attributes):
             if not attributes.endswith("/"):
                 flush()
                 gap()
                 dropping, level = name, 1
+                inner.clear()
         elif name in BLOCKS:
             flush()
+            if name in ("ul", "ol", "dl"):
+                lists = max(0, lists + (-1 if closing else 1))
             if name in CONTAINERS:
                 gap()
                 depth = max(0, depth + (-1 if closing else 1))

@@ -35,6 +35,24 @@ def test_main_text_of_pages(spark):
     assert html_text.op5(pages(spark, []).limit(0)).collect() == []
 
 
+def test_articles_keep_linked_text_and_what_follows_unclosed_elements():
+    cases = {
+        "<h1><a href=x>Title</a></h1><p>Text</p>": "Title\nText",
+        "<p><a href=x>A linked paragraph</a></p><p>Text</p>": "A linked paragraph\nText",
+        "<p>Text</p><ul><li><a href=x>one</a> <a href=y>two</a></li></ul>": "Text",
+        "<p class='ad'>Buy<p>Text</p><p>More</p>": "Text\nMore",
+        "<div><p class=ad>Buy</div><p>Text</p>": "Text",
+        "<p class=ad>Buy <b>now</b></p><p>Text</p>": "Text",
+        "<ul><li class=social>Share<li>Item</ul><p>More</p>": "Item\nMore",
+        "<ul><li class=social>Share<ul><li>a<li>b</ul>c</ul><p>More</p>": "More",
+        "<dl><dt class=ad>Buy<dd>Text</dl>More": "Text\nMore",
+        "<table><tr><td class=ad>Buy<td>Cell<tr class=ad><td>x<td>y<tr><td>Last</table>More": "Cell\nLast\nMore",
+        "<div class=ad><p>a<div>b</div>c</div><p>Text": "Text",
+    }
+    for inside, text in cases.items():
+        assert html_text.main_text(f"<body><article>{inside}</article></body>") == text, inside
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", ""
