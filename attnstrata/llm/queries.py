@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attnstrata.llm import (
     byte_bpe,
     byte_cnn,
+    exact_repeats,
     html_text,
     jaccard_groups,
     language_crf,
@@ -80,3 +81,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_repeats.op11(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_substring_dedup"] = exact_repeats.SQL

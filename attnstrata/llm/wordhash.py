@@ -89,6 +89,11 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[list(BLANKS)] = True
 
 
+def is_blank(data: np.ndarray) -> np.ndarray:
+    """Whether each byte separates words."""
+    return _BLANK[data]
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the blank-separated words, A-Z folded, and each text's first word."""
     data, offsets = raw_bytes(texts)
