@@ -14,6 +14,7 @@ from attnstrata.llm import (
     jaccard_groups,
     language_crf,
     license_scan,
+    merkle_manifest,
     pii_spans,
     quality_rules,
     template_leaks,
@@ -89,3 +90,11 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_substring_dedup"] = exact_repeats.SQL
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.op13(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = merkle_manifest.SQL
