@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from attnstrata.llm import (
     byte_bpe,
     byte_cnn,
+    collocations,
     exact_repeats,
     html_text,
     jaccard_groups,
@@ -92,6 +93,14 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_substring_dedup"] = exact_repeats.SQL
 
 
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrase_collocations"] = collocations.SQL
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.op13(table(spark, sf_dir, "documents"))

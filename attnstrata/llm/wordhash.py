@@ -94,6 +94,11 @@ def is_blank(data: np.ndarray) -> np.ndarray:
     return _BLANK[data]
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _FOLD[data]
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the blank-separated words, A-Z folded, and each text's first word."""
     data, offsets = raw_bytes(texts)
