@@ -167,9 +167,9 @@ TRIM = (
 @query(
     "c03_grade",
     f"""WITH {v.SQL_DOC_EVENTS}, raw AS (
-      SELECT e.*, CASE WHEN l.quality = 1 THEN ' The ' || gold_answer || '.' || chr(10) || lower(source)
+      SELECT e.*, CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.quality = 1 THEN ' The ' || gold_answer || '.' || chr(10) || lower(source)
         ELSE question_template_id || '<|end|>' || gold_answer END AS g
-      FROM doc_events e JOIN labels l USING (doc_id)),
+      FROM doc_events e LEFT JOIN labels l USING (doc_id)),
     t AS (SELECT *, {TRIM} AS model_generation FROM raw)
     SELECT doc_id, {v.sql_normalize('model_generation')} AS model_generation_normalized,
     {v.sql_normalize('gold_answer')} AS gold_answer_normalized,
