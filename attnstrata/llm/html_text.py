@@ -1,11 +1,11 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped to lines, one for each block of the page. Elements that are never article text by their name, class or
-role leave empty lines, as does a line that is mostly links, inside an article only if it has several and is in a list. The text lengths of ``WINDOW`` lines in a row are summed; a surge
-is the first line whose sum exceeds ``SURGE``, a dive the next place where the sum is zero. Lines between a
-surge and its dive are kept. In a page with an article or main element, other lines count as
-empty and any sum above zero is a surge. If no sum surges, the stretch between empty lines that has the
-most text is kept.
+Markup is stripped to lines, one for each block of the page. A line weighs its length; lines of menus, headers, footers, sidebars,
+adverts and the like, by their element, class or role, weigh nothing, as do lines outside an article that are mostly links, and lines inside
+an ``article`` or ``main`` element weigh ``ARTICLE_WEIGHT`` times their length if these elements hold at least ``ARTICLE_SHARE`` of the page's
+other text. The weights of ``WINDOW`` lines in a row are summed: a surge is the first line whose sum exceeds ``SURGE``, a dive the next
+place where the sum is zero. Stretches between a surge and its dive whose largest sum reaches ``STRETCH_SHARE`` of the page's largest are kept.
+If no sum surges, the stretch between weightless lines that weighs most is kept.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql.types import LongType, StringType, StructField
 from attnstrata.llm.common import map_batches, pieces, replaced, string_column, with_fields
 
 WINDOW, SURGE = 3, 80
+ARTICLE_WEIGHT, ARTICLE_SHARE, STRETCH_SHARE = 40, 1 / 3, 0.3
 #: Share of a line's characters in links from which on it counts as empty.
 LINK_SHARE = 0.6
 
@@ -36,13 +37,24 @@ DROPPED = frozenset(
 #: Elements whose content isn't markup.
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words in a class, id or role that mark an element without article text.
+#: Elements that end a stretch of text; others that weigh nothing stand inside of one.
+ENDING = frozenset(["nav", "header", "footer"])
+#: Words in a class, id or role that mark an element without article text: the whole name, its last part, or its first before one of ``KINDS``.
 MARKS = frozenset(
     "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist "
     "complementary contentinfo cookie cookies disqus dropdown footer header login masthead menu modal navbar nav navigation "
     "newsletter notice notices overlay pager pagination popup promo promoted related search share sharing sidebar signup "
     "social sponsor sponsored subscribe teaser toolbar widget".split()
 )
+KINDS = frozenset(
+    "area banner bar block box button buttons container content form icons inner item items link links list menu module nav section slot "
+    "strip unit widget wrap wrapper".split()
+)
+#: Elements of text themselves: only a whole class name of these counts.
+TEXTS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th tr".split())
+TEXT_MARKS = frozenset("ad ads advert adverts advertisement comment cookie cookies promo share sharing social sponsored".split())
+#: Marks of elements that may hold articles of their own.
+REPLIES = frozenset("comment comments commentlist disqus related teaser".split())
 CONTAINERS = ("article", "main")
 #: Elements without an end tag of their own end at these start tags beside them, and with the element around them.
 _CELLS = frozenset("td th tr tbody tfoot thead".split())
@@ -61,20 +73,34 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"(?:\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_PARTS = re.compile(r"[a-z]+")
 
 
-def _unwanted(name: str, attributes: str) -> bool:
-    if name in DROPPED:
+def _marks(name: str, attributes: str) -> set[str]:
+    """The words of an element's class, id or role that mark it."""
+    found = set()
+    for kind, a, b, c in _NAMES.findall(attributes):
+        for word in (a or b or c).lower().split():
+            if name in TEXTS:
+                if kind.lower() == "class" and word in TEXT_MARKS:
+                    found.add(word)
+                continue
+            parts = re.split(r"[-_]+", word)
+            if parts[-1] in MARKS:
+                found.add(parts[-1])
+            elif parts[0] in MARKS and parts[-1] in KINDS:
+                found.add(parts[0])
+    return found
+
+
+def _unwanted(name: str, attributes: str, depth: int = 0) -> bool:
+    """Whether an element weighs nothing; ``depth`` articles are open around it, and an article's own header is text."""
+    if name in DROPPED and not (name == "header" and depth):
         return True
-    if not attributes or name in ("html", "body") or name in CONTAINERS and "omment" not in attributes:
+    if not attributes or name in ("html", "body"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    for _, a, b, c in _NAMES.findall(attributes):
-        if not MARKS.isdisjoint(_PARTS.findall((a or b or c).lower())):
-            return True
-    return False
+    if name in CONTAINERS:
+        return not REPLIES.isdisjoint(_marks(name, attributes))
+    return bool(_HIDDEN.search(attributes) or _marks(name, attributes) - ({"header"} if depth else set()))
 
 
 def _open_ends(name: str, inner: list[str]) -> bool:
@@ -85,29 +111,27 @@ def _open_ends(name: str, inner: list[str]) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, bool]]:
-    """Blocks in page order: (text, inside an article or main element); removed parts are empty lines."""
+    """Blocks in page order: (text, inside an article or main element); what weighs nothing is an empty line."""
     out: list[tuple[str, bool]] = []
     held: list[str] = []
     link_held: list[str] = []
     depth, in_link, dropping, level = 0, False, "", 0
-    links, lists = 0, 0  # of the line held; open around it
+    replies = False  # whether the dropped element may hold articles of its own
     inner: list[str] = []  # open elements inside a dropped one whose end tag can be left out
 
     def flush() -> None:
-        nonlocal links
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
                 linked = " ".join(html.unescape("".join(link_held)).split()) if link_held else ""
-                counts = not depth or lists and links > 1
-                out.append(("", False) if counts and linked and len(linked) >= LINK_SHARE * len(text) else (text, depth > 0))
+                menu = not depth and linked and len(linked) >= LINK_SHARE * len(text)
+                out.append(("", False) if menu else (text, depth > 0))
         link_held.clear()
-        links = 0
 
-    def gap() -> None:
+    def gap(lines: int = WINDOW) -> None:
         if not depth:  # a gap inside an article does not end it
-            out.extend([("", False)] * WINDOW)
+            out.extend([("", False)] * lines)
 
     position, size = 0, len(page)
     while position < size:
@@ -153,24 +177,22 @@ def lines(page: str) -> list[tuple[str, bool]]:
                 if level <= 0:
                     dropping = ""
                 continue
-            if closing or name not in CONTAINERS or dropping in CONTAINERS:
+            if closing or name not in CONTAINERS or dropping in CONTAINERS or replies:
                 continue
             dropping = ""  # an article begins: the dropped element was never closed
         if name == "br":
             held.append(" ")
         elif name == "a":
             in_link = not closing
-            links += in_link
-        elif not closing and name not in VOID and _unwanted(name, attributes):
+        elif not closing and name not in VOID and _unwanted(name, attributes, depth):
             if not attributes.endswith("/"):
                 flush()
-                gap()
+                gap(WINDOW if name in ENDING else 1)
                 dropping, level = name, 1
+                replies = name == "aside" or not REPLIES.isdisjoint(_marks(name, attributes))
                 inner.clear()
         elif name in BLOCKS:
             flush()
-            if name in ("ul", "ol", "dl"):
-                lists = max(0, lists + (-1 if closing else 1))
             if name in CONTAINERS:
                 gap()
                 depth = max(0, depth + (-1 if closing else 1))
@@ -180,33 +202,38 @@ def lines(page: str) -> list[tuple[str, bool]]:
     return out
 
 
+def weights(found: list[tuple[str, bool]]) -> list[int]:
+    """What each line weighs."""
+    total = sum(len(text) for text, _ in found)
+    inside = sum(len(text) for text, article in found if article)
+    factor = ARTICLE_WEIGHT if inside and inside >= ARTICLE_SHARE * total else 1
+    return [len(text) * (factor if article else 1) for text, article in found]
+
+
+def stretches(sizes: list[int]) -> list[tuple[int, int, int]]:
+    """(begin, end, largest sum) of the lines between each surge and its dive."""
+    sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
+    out, begin = [], None
+    for i, total in enumerate([*sums, 0]):
+        if begin is None and total > SURGE and sizes[i]:
+            begin = i
+        elif begin is not None and not total:
+            out.append((begin, i, max(sums[begin:i])))
+            begin = None
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The kept blocks of a page, joined by newlines; empty for a null or empty page, or one without text."""
     found = lines(page or "")
-    surge = SURGE
-    if any(inside for _, inside in found):
-        surge = 0
-        found = [(text if inside else "", inside) for text, inside in found]
-    sizes = [len(text) for text, _ in found]
-    n = len(sizes)
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(n)]
-    kept: list[str] = []
-    i = 0
-    while i < n:
-        if sizes[i] and sums[i] > surge:
-            while i < n and sums[i]:
-                if sizes[i]:
-                    kept.append(found[i][0])
-                i += 1
-        i += 1
+    sizes = weights(found)
+    kept = stretches(sizes)
     if not kept:
-        stretch: list[str] = []
-        for text, _ in [*found, ("", False)]:
-            if text:
-                stretch.append(text)
-            else:
-                kept, stretch = max(kept, stretch, key=lambda x: sum(map(len, x))), []
-    return "\n".join(kept)
+        at = [i for i, size in enumerate([*sizes, 0]) if not size]
+        kept = [(a, b, sum(sizes[a:b])) for a, b in zip([0, *(i + 1 for i in at)], at, strict=False)]
+        kept = [max(kept, key=lambda x: x[2])]
+    least = STRETCH_SHARE * max(top for *_, top in kept)
+    return "\n".join(found[i][0] for a, b, top in kept if top >= least for i in range(a, b) if sizes[i])
 
 
 def _extract(out: str):
@@ -220,7 +247,7 @@ def _extract(out: str):
 
 
 def extract(pages: DataFrame, out: str = "text") -> DataFrame:
-    """The pages with their main text in ``out``. All other columns, null and repeated rows stay as they are."""
+    """The pages with their main text in ``out``. All other columns, null and repeated rows stay as they are; an empty table stays empty."""
     return map_batches(pages, _extract(out), with_fields(pages, StructField(out, StringType())))
 
 

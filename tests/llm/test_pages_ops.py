@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from attnstrata.llm import html_text, url_filter
 
 
@@ -39,7 +41,11 @@ def test_articles_keep_linked_text_and_what_follows_unclosed_elements():
     cases = {
         "<h1><a href=x>Title</a></h1><p>Text</p>": "Title\nText",
         "<p><a href=x>A linked paragraph</a></p><p>Text</p>": "A linked paragraph\nText",
-        "<p>Text</p><ul><li><a href=x>one</a> <a href=y>two</a></li></ul>": "Text",
+        "<p>Text</p><ul><li><a href=x>one</a> <a href=y>two</a></li></ul>": "Text\none two",
+        "<header><h1>Title</h1></header><p>Text</p><footer>By me</footer>": "Title\nText",
+        "<p class='related-work'>Text</p><p id=search>More</p><p class=ad-free>Last</p>": "Text\nMore\nLast",
+        "<div class='site-header'>Nav</div><div class='ad_box'>Buy</div><div class=non-ad-text>Text</div>": "Nav\nText",
+        "<p>Text</p><section class=comments><article><p>A reply</p></article></section><p>More": "Text\nMore",
         "<p class='ad'>Buy<p>Text</p><p>More</p>": "Text\nMore",
         "<div><p class=ad>Buy</div><p>Text</p>": "Text",
         "<p class=ad>Buy <b>now</b></p><p>Text</p>": "Text",
@@ -53,6 +59,54 @@ def test_articles_keep_linked_text_and_what_follows_unclosed_elements():
         assert html_text.main_text(f"<body><article>{inside}</article></body>") == text, inside
 
 
+LONG = "a long line of an article without any mark of it, " * 4
+
+
+def test_surge_and_dive_decide_without_an_article_element():
+    long = LONG.strip()
+    pages = {
+        # menus and notes before and behind the text are apart from it by lines that weigh nothing, and do not surge
+        f"<nav><a href=x>Menu</a></nav><div>Home</div><nav>x</nav><h1>Title</h1><p>{LONG}</p><p>Short.</p><footer>f</footer><div>Cookies</div>": f"Title\n{long}\nShort.",
+        # a surge that is small beside the page's largest
+        f"<p>{LONG}</p><nav>x</nav><div>{'note ' * 20}</div><nav>x</nav><p>{LONG * 3}</p>": f"{long}\n{(LONG * 3).strip()}",
+        f"<p>{LONG * 5}</p><nav>x</nav><div>{'note ' * 20}</div>": (LONG * 5).strip(),
+        # an aside inside the text does not end it
+        f"<p>{LONG}</p><aside>not this</aside><p>Behind.</p><ul><li><a href=x>menu</a></li></ul><p>End.</p>": f"{long}\nBehind.\nEnd.",
+        # a card is an article element, but not the article
+        f"<article>Card</article><div class=post><h1>Title</h1><p>{LONG}</p></div>": f"Title\n{long}",
+    }
+    for page, text in pages.items():
+        assert html_text.main_text(f"<body>{page}</body>") == text, page
+
+
+def test_the_step_changes_results():
+    """Without sums, all lines that weigh something would stay."""
+    page = f"<div>Home</div><nav>x</nav><p>{LONG}</p><footer>f</footer><div>All rights</div>"
+    found = html_text.lines(page)
+    assert [t for t, _ in found if t] == ["Home", LONG.strip(), "All rights"] and html_text.main_text(page) == LONG.strip()
+
+
+def test_sums_against_plain_ones():
+    rng = random.Random(3)
+    for _ in range(400):
+        sizes = [rng.choice([0, 0, 0, 5, 30, 60, 200]) for _ in range(rng.randrange(25))]
+        total = lambda i: sum(sizes[i : i + html_text.WINDOW])  # noqa: B023, E731
+        want, i = [], 0
+        while i < len(sizes):
+            if sizes[i] and total(i) > html_text.SURGE:
+                end = next((j for j in range(i, len(sizes)) if total(j) == 0), len(sizes))
+                want.append((i, end, max(total(j) for j in range(i, end))))
+                i = end
+            i += 1
+        assert html_text.stretches(sizes) == want
+
+
+def test_very_long_pages():
+    page = f"<article>{'<p>word</p>' * 50000}</article>"
+    assert html_text.main_text(page) == "\n".join(["word"] * 50000)
+    assert html_text.main_text("<div>" * 20000 + LONG) == LONG.strip()
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", ""
