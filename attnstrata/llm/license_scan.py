@@ -4,8 +4,10 @@ A text is its five-word shingles in order. Each template belongs to the widest w
 into windows of every class that has templates, a quarter of a window apart, and each window is signed with the minima
 of ``BANDS`` hash functions. All windows of the templates, at every place, are in the index, so a whole copy always has a window
 with an equal one: all bands agree. A window with Jaccard similarity s to one of a template meets it with probability
-``1 - (1 - s) ** BANDS`` (one minimum a band): over 0.996 for s of 0.5, 0.9999 for 0.68. What the bands find is verified: the share of the
-template's shingles in the region around must be ``CONTAINED`` or more.
+``1 - (1 - s) ** BANDS`` (one minimum a band): over 0.996 for s of 0.5, 0.9999 for 0.68. What the bands find is verified: of the
+template's shingles, ``CONTAINED`` or more must stand in a stretch of the text that is as long as the template, and so must all its words with
+a digit, which tell versions apart. A match ends where that stretch ends, so a notice that follows is another match. Where templates of
+different licences overlap, the one with the larger share is reported.
 """
 
 from __future__ import annotations
@@ -61,6 +63,7 @@ class Index:
     names: list[str]
     sets: list[np.ndarray]  # distinct shingles, sorted
     lengths: list[int]  # shingles with repeats
+    numbers: list[np.ndarray]  # hashes of the words with a digit
     #: By class: for each band, sorted minima, the template of each, and their bitmap.
     bands: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = field(default_factory=dict)
 
@@ -84,15 +87,18 @@ def window_class(size: int) -> int:
 
 def build_index(templates=TEMPLATES) -> Index:
     """The index of templates (name, text); a text of under five words can't be found and is an error."""
-    index, by_class = Index([], [], []), {}
+    index, by_class = Index([], [], [], []), {}
     for name, text in templates:
-        hashes = shingles(PlainWords(pa.array([text], pa.string())).hashes, SHINGLE)
+        words = PlainWords(pa.array([text], pa.string()))
+        hashes = shingles(words.hashes, SHINGLE)
         if not len(hashes):
             raise ValueError(f"a template needs {SHINGLE} words: {text!r}")
         by_class.setdefault(window_class(len(hashes)), []).append((len(index.names), hashes))
         index.names.append(name)
         index.sets.append(np.unique(hashes))
         index.lengths.append(len(hashes))
+        digits = np.r_[0, np.cumsum(words.digit)]
+        index.numbers.append(words.hashes[digits[words.ends] > digits[words.starts]])
     for width, members in by_class.items():
         for band in range(BANDS if width > 1 else 1):
             minima = [_minima(hashes, width, band) for _, hashes in members]
@@ -103,21 +109,60 @@ def build_index(templates=TEMPLATES) -> Index:
     return index
 
 
-def _candidates(index: Index, hashes: np.ndarray) -> set[tuple[int, int]]:
-    """(template, place of the window) that some band finds, in the shingles of a batch."""
+def _candidates(index: Index, hashes: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
+    """(template, place of the window) that some band finds, in the shingles of a batch whose texts begin at the words ``first``.
+
+    Windows are counted from each text's begin and lie in it, so a text gives the same whatever is beside it.
+    """
     found: set[tuple[int, int]] = set()
+    sizes = np.diff(first)
+    text = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes)]
+    place, left = np.arange(len(hashes)) - first[text], first[text + 1] - np.arange(len(hashes)) - SHINGLE + 1
     for width, bands in index.bands.items():
-        stride = max(1, width // 4)
+        windows = np.flatnonzero((place % max(1, width // 4) == 0) & (left >= width))
         for band, (values, owners, flags) in enumerate(bands):
-            minima = _minima(hashes, width, band)[::stride] if len(hashes) >= width else hashes[:0]
+            minima = _minima(hashes, width, band)[windows] if len(windows) else hashes[:0]
             at = np.flatnonzero(maybe_in(flags, BITS, minima))
             low = np.searchsorted(values, minima[at], side="left")
             high = np.searchsorted(values, minima[at], side="right")
-            for place, a, b in zip(at[high > low] * stride, low[high > low], high[high > low], strict=True):
-                found.update((int(owner), int(place)) for owner in owners[a:b])
+            for start, a, b in zip(windows[at[high > low]].tolist(), low[high > low], high[high > low], strict=True):
+                found.update((int(owner), start) for owner in owners[a:b])
     return found
 
 
+def _verified(index: Index, template: int, places: list[int], words: PlainWords, hashes: np.ndarray, first: int, last: int):
+    """(share, first shingle, last shingle) of each copy of a template near some places of a text, shingles ``first`` to ``last``."""
+    wanted, size, done = index.sets[template], index.lengths[template], first
+    for place in sorted(places):
+        low, high = max(done, place - size), min(last, place + 2 * size)
+        if place < done or high <= low:
+            continue
+        hits = low + np.flatnonzero(np.isin(hashes[low:high], wanted))
+        best = None
+        for begin in hits.tolist():
+            if best is not None and begin >= best[1] + size:
+                break
+            inside = hits[(hits >= begin) & (hits < begin + size)]
+            share = len(np.unique(hashes[inside])) / len(wanted)
+            if share >= CONTAINED and (best is None or share > best[0]):
+                numbers = index.numbers[template]
+                if np.isin(numbers, words.hashes[begin : int(inside[-1]) + SHINGLE]).all():
+                    best = share, begin, int(inside[-1])
+        if best is not None:
+            yield best
+            done = best[2] + 1
+
+
+def _best_of_places(found: list[tuple], names: list[str]) -> list[tuple]:
+    """Matches (template, share, first, last) of a text without those that a better one of another licence overlaps."""
+    kept: list[tuple] = []
+    for match in sorted(found, key=lambda m: (-m[1], m[2] - m[3], m[0])):
+        _, _, a, b = match
+        if not any(names[k[0]] != names[match[0]] and a <= k[3] and k[2] <= b and k[1] > match[1] for k in kept):
+            kept.append(match)
+    return sorted(kept)
+
+
 def _scan(shared):
     """Rows (doc_id, license, template, containment, start, end), the text's span in code points."""
 
@@ -129,27 +174,21 @@ def _scan(shared):
                 hashes = shingles(words.hashes, SHINGLE)
                 ids = piece.column(piece.schema.get_field_index("doc_id")).to_pylist()
                 regions: dict[tuple[int, int], list[int]] = {}
-                for template, place in _candidates(index, hashes):
+                for template, place in _candidates(index, hashes, words.first):
                     doc = int(np.searchsorted(words.first, place, side="right")) - 1
                     regions.setdefault((doc, template), []).append(place)
-                rows = []
+                matches: dict[int, list[tuple]] = {}
                 for (doc, template), places in regions.items():
                     first, last = int(words.first[doc]), int(words.first[doc + 1]) - SHINGLE + 1
-                    wanted, size, done = index.sets[template], index.lengths[template], first
-                    for place in sorted(places):
-                        low, high = max(done, place - size), min(last, place + 2 * size)
-                        if place < done or high <= low:
-                            continue
-                        region = hashes[low:high]
-                        hit = np.flatnonzero(np.isin(region, wanted))
-                        share = len(np.unique(region[hit])) / len(wanted)
-                        if share >= CONTAINED:
-                            a, b = low + int(hit[0]), low + int(hit[-1])
-                            begin = int(words.offsets[doc])
-                            start = bytes(words.data[begin : words.starts[a]]).decode("utf-8", "ignore")
-                            inside = bytes(words.data[words.starts[a] : words.ends[b + SHINGLE - 1]]).decode("utf-8", "ignore")
-                            rows.append((ids[doc], index.names[template], template, share, len(start), len(start) + len(inside)))
-                            done = b + 1
+                    for share, a, b in _verified(index, template, places, words, hashes, first, last):
+                        matches.setdefault(doc, []).append((template, share, a, b))
+                rows = []
+                for doc, found in matches.items():
+                    begin = int(words.offsets[doc])
+                    for template, share, a, b in _best_of_places(found, index.names):
+                        start = bytes(words.data[begin : words.starts[a]]).decode("utf-8", "ignore")
+                        inside = bytes(words.data[words.starts[a] : words.ends[b + SHINGLE - 1]]).decode("utf-8", "ignore")
+                        rows.append((ids[doc], index.names[template], template, share, len(start), len(start) + len(inside)))
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
@@ -173,7 +212,10 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    """(doc_id, license, containment, places): licences of each document, with the best containment."""
+    """(doc_id, license, containment, places): licences of each document, with the best containment.
+
+    Null, empty and short texts give no rows, nor does an empty table; rows of one id count as one document.
+    """
     return scan(docs).groupBy("doc_id", "license").agg(
         F.round(F.max("containment"), 6).alias("containment"), F.count_distinct("start").alias("places")
     )

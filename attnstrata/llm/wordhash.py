@@ -160,7 +160,10 @@ class PlainWords:
         inside = _LETTER[data]
         digit = _DIGIT[data]
         if len(data) > 2:
+            begins = np.zeros(len(data) + 1, dtype=bool)
+            begins[self.offsets] = True
             joint = np.flatnonzero(digit[:-2] & digit[2:] & ((data[1:-1] == 46) | (data[1:-1] == 44))) + 1
+            joint = joint[~begins[joint] & ~begins[joint + 1]]  # all three are of one text
             inside[joint] = True
         self.digit, self.inside = digit, inside
         self.starts, self.ends = spans(inside, self.offsets)
