@@ -1,7 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text is a row of overlapping chunks of bytes that cover it whole. Each byte has a small learned vector and one fixed channel,
-which tells whether the four bytes that end there also ended a few bytes before. Learned filters run over each chunk and are
+which tells whether the four bytes that end there also ended a few bytes before in the same text: whether bytes are equal is no
+sum of what they are, so filters over single bytes can't learn it. Learned filters run over each chunk and are
 max-pooled; the maximum and the mean over all chunks give one probability.
 
 The network is fitted on a bounded sample: ``DOCS_PER_CLASS`` labelled documents for each label (the smallest hashes of their ids),
@@ -45,13 +46,14 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     An empty or null text is one chunk of zeros.
     """
     data, offsets = raw_bytes(texts)
+    sizes = np.diff(offsets)
     again = np.zeros(len(data), dtype=bool)
     if len(data) > 4:
+        place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
         wide = data.astype(np.uint32)
         four = wide[3:] | wide[2:-1] << np.uint32(8) | wide[1:-2] << np.uint32(16) | wide[:-3] << np.uint32(24)
         for lag in LAGS:
-            again[3 + lag :] |= four[lag:] == four[:-lag]
-    sizes = np.diff(offsets)
+            again[3 + lag :] |= (four[lag:] == four[:-lag]) & (place[3 + lag :] >= 3 + lag)  # both are of one text
     count = np.maximum(1, -(-(sizes - OVERLAP) // (CHUNK - OVERLAP)))
     first = np.r_[0, np.cumsum(count)]
     text = np.repeat(np.arange(len(sizes)), count)
@@ -101,20 +103,35 @@ def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total.astype(np.float64), -30, 30)))
 
 
+def spread(first: np.ndarray) -> list[np.ndarray]:
+    """Up to ``TRAIN_CHUNKS`` chunks of each text, spread over it."""
+    return [
+        np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_CHUNKS)).astype(np.int64)) for a, b in zip(first[:-1], first[1:], strict=True)
+    ]
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Model | None:
-    """A network from labelled texts; none without texts. Classes weigh the same."""
-    if not texts:
+    """A network from labelled texts; none without texts."""
+    rows, repeat, first = chunks(pa.array(texts, pa.string()))
+    picks = spread(first)
+    use = np.concatenate(picks) if picks else np.zeros(0, np.int64)
+    return fit_chunks(rows[use], repeat[use], np.array([len(p) for p in picks], dtype=np.int64), labels, epochs, seed)
+
+
+def fit_chunks(
+    rows: np.ndarray, repeat: np.ndarray, counts: np.ndarray, labels: list[int], epochs: int = EPOCHS, seed: int = 5
+) -> Model | None:
+    """A network from chunks, their repeat channel, and how many each labelled text has. Classes weigh the same."""
+    if not len(counts):
         return None
+    first = np.r_[0, np.cumsum(counts)]
+    picks = [np.arange(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
     rng = np.random.default_rng(seed)
     model = Model(
         rng.normal(0, 0.5, (256, DEPTH)).astype(np.float32),
         rng.normal(0, 0.25, (WIDTH * (DEPTH + 1), FILTERS)).astype(np.float32),
         np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS, np.float32), 0.0,
     )
-    rows, repeat, first = chunks(pa.array(texts, pa.string()))
-    picks = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        picks.append(np.unique(np.linspace(a, b - 1, min(b - a, TRAIN_CHUNKS)).astype(np.int64)))
     goal = np.array(labels, dtype=np.float64)
     share = goal.mean()
     weight = np.where(goal == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
@@ -123,7 +140,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5
     square = {n: np.zeros_like(getattr(model, n)) for n in names}
     step = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(counts))
         for i in range(0, len(order), BATCH):
             docs = order[i : i + BATCH]
             use = np.concatenate([picks[d] for d in docs])
@@ -134,10 +151,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5
             miss = (1 / (1 + np.exp(-(joint @ model.output + model.bias))) - goal[docs]) * weight[docs] / len(docs)
             slope = {"output": joint.T @ miss + 1e-4 * model.output}
             back = miss[:, None] * model.output[None, :]
-            counts = np.diff(begin)
-            owner = np.repeat(np.arange(len(docs)), counts)
+            held = np.diff(begin)
+            owner = np.repeat(np.arange(len(docs)), held)
             most = joint[:, :FILTERS][owner]
-            down = back[owner, FILTERS:] / counts[owner][:, None] + back[owner, :FILTERS] * (values == most)
+            down = back[owner, FILTERS:] / held[owner][:, None] + back[owner, :FILTERS] * (values == most)
             down = np.where(values > 0, down, 0).astype(np.float32)
             slope["shift"] = down.sum(axis=0)
             place = at[:, :, None] * STRIDE + np.arange(WIDTH)
@@ -161,13 +178,33 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 5
                 now = getattr(model, n)
                 now -= rate * (mean[n] / (1 - 0.9**step)) / (np.sqrt(square[n] / (1 - 0.99**step)) + 1e-6)
             model.bias -= rate * 5 * float(miss.sum())
-    # the prior of the labels, where classes weighed the same
+    # Classes weighed the same: the whole log odds of the labels' shares would give probabilities under those shares, none those
+    # under even ones. Half of them is between, as the share of each label among unlabelled texts is not known.
     model.bias += float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))) / 2
     return model
 
 
+def _pick_chunks(batches):
+    """Rows (id, label, chunks, repeats) with the chunks that training uses."""
+    for batch in batches:
+        for piece in pieces(batch, "text", 1 << 20):
+            rows, repeat, first = chunks(string_column(piece, "text"))
+            picks = spread(first)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column(piece.schema.get_field_index("id")), piece.column(piece.schema.get_field_index("label")),
+                    pa.array([rows[p].tobytes() for p in picks], pa.binary()), pa.array([np.packbits(repeat[p]).tobytes() for p in picks], pa.binary()),
+                ],
+                names=["id", "label", "chunks", "repeats"],
+            )
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model | None:
-    """Fit on labelled documents outside the held-out quarter. An id with several labels is used with the largest."""
+    """Fit on labelled documents outside the held-out quarter.
+
+    An id with several labels is used with the largest, one with several texts with the first of them. Only the chunks in use go to the
+    driver: ``TRAIN_CHUNKS`` of 1 KB for each of ``DOCS_PER_CLASS`` documents a label, however long their texts.
+    """
     known = (
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(target).cast("int").alias("label"))
@@ -175,9 +212,14 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
     picked = smallest_hashes(known.join(ids, "id", "left_semi"), "label", "id", DOCS_PER_CLASS)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(picked.select("id", "label")), "id").dropDuplicates(["id"])
-    found = sorted((r["id"], r["text"], r["label"]) for r in rows.toLocalIterator())
-    return fit([x[1] for x in found], [x[2] for x in found])
+    rows = rows.join(F.broadcast(picked.select("id", "label")), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    found = map_batches(rows, _pick_chunks, "id long, label int, chunks binary, repeats binary").orderBy("id").toArrow()
+    counts = np.array([len(x) // CHUNK for x in found["chunks"].to_pylist()], dtype=np.int64)
+    if not len(counts):
+        return None
+    chunk_rows = np.frombuffer(b"".join(found["chunks"].to_pylist()), dtype=np.uint8).reshape(-1, CHUNK)
+    repeat = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8)) for x in found["repeats"].to_pylist()]).astype(bool).reshape(-1, CHUNK)
+    return fit_chunks(chunk_rows, repeat, counts, found["label"].to_pylist())
 
 
 def _score(model, out: str):
@@ -201,7 +243,7 @@ def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row."""
+    """(doc_id, held_out, score, predicted) of every row; null and empty texts, repeated rows and an absent model as in ``score``."""
     model = train(docs, labels)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return score(rows, model).select(
