@@ -3,10 +3,11 @@
 Each word of a text is labelled with a language. Its score for a language sums weights of its affixes, byte
 n-grams and lexicon entries; weights between neighbours' labels are learned too, so a switch of language
 inside a text is possible but must be worth it. Forward-backward gives each word's probabilities; a text's
-language has the largest mean. Chains are lines; lines of over ``CHAIN_WORDS`` words are several chains.
+language has the largest mean. Chains are whole lines. Those of over ``BLOCK_WORDS`` words are worked on in blocks side by side: the
+product of a block's transfer matrices carries forward and backward values over it, so the result is that of the whole line.
 
 The model is fitted, with numpy, on a bounded sample: ``DOCS_PER_LANGUAGE`` labelled documents of each language
-(the smallest hashes of their ids), and of their lines ``TRAIN_LINES`` at most. Lines of several languages are
+(the smallest hashes of their ids), and of their lines ``TRAIN_LINES`` at most, ``TRAIN_WORDS`` words of each. Lines of several languages are
 strung together for training, so that switches are seen. Everything else covers all words of all texts.
 """
 
@@ -25,11 +26,13 @@ from attnstrata.llm.common import held_out, map_batches, pieces, replaced, small
 from attnstrata.llm.wordhash import hash_spans, spans
 
 DOCS_PER_LANGUAGE, TRAIN_LINES, TRAIN_PASSES = 400, 8000, 60
-CHAIN_WORDS, TRAIN_WORDS = 256, 24
+BLOCK_WORDS, TRAIN_WORDS = 256, 24
+#: Characters of a training line; longer ones (words of hundreds of letters) are not learned from.
+TRAIN_CHARS = 2000
 BUCKETS = 1 << 16
 LEXICON_COUNT = 4
-#: Words whose scores one task remembers before it starts anew.
-CACHE_WORDS = 1 << 20
+#: Words whose scores one task remembers before it starts anew, and their characters.
+CACHE_WORDS, CACHE_CHARS = 1 << 18, 1 << 22
 UNKNOWN = "und"
 
 
@@ -91,12 +94,49 @@ def scores(tokens: list[str], model: Model) -> np.ndarray:
     return np.add.reduceat(model.weights[ids], begins, axis=0)
 
 
-def forward_backward(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray, switch: np.ndarray, pairs: bool = False):
+def _carried(local: np.ndarray, step: np.ndarray, starts: np.ndarray, sizes: np.ndarray, follows: np.ndarray):
+    """Forward values that enter each block and backward values behind it, up to a factor, where lines have several blocks.
+
+    All blocks of such lines move one word at a time, each with a matrix from the label before it to that of its last word; then
+    the matrices of a line's blocks are multiplied, from its begin and from its end.
+    """
+    before, behind = np.ones((len(starts), local.shape[1])), np.ones((len(starts), local.shape[1]))
+    several = np.flatnonzero(follows | np.r_[follows[1:], False])
+    if not len(several):
+        return before, behind
+    order = several[np.argsort(-sizes[several], kind="stable")]
+    matrix = np.zeros((len(order), local.shape[1], local.shape[1]))
+    for t in range(int(sizes[order[0]])):
+        n = int(np.searchsorted(-sizes[order], -t, side="left"))
+        at = local[starts[order[:n]] + t].astype(np.float64)
+        if t:
+            matrix[:n] = (matrix[:n] @ step) * at[:, None, :]
+        else:
+            first = np.where(follows[order][:, None, None], step, np.eye(len(step)))
+            matrix[:] = first * at[:, None, :]
+        matrix[:n] /= matrix[:n].sum(axis=(1, 2), keepdims=True)
+    place = dict(zip(order.tolist(), range(len(order)), strict=True))
+    for b in several.tolist():
+        if follows[b]:
+            value = before[b - 1] @ matrix[place[b - 1]]
+            before[b] = value / value.sum()
+    for b in several[::-1].tolist():
+        if follows[b]:
+            value = matrix[place[b]] @ behind[b]
+            behind[b - 1] = value / value.sum()
+    return before, behind
+
+
+def forward_backward(
+    score: np.ndarray, starts: np.ndarray, sizes: np.ndarray, switch: np.ndarray, pairs: bool = False, follows: np.ndarray | None = None
+):
     """Label probabilities of each word; with ``pairs`` also the expected switches and log Z.
 
-    Chains are runs of rows of ``score``. All chains move one word at a time, longest first.
+    Chains are runs of rows of ``score``. All chains move one word at a time, longest first. A chain that ``follows`` goes on from the one
+    before it (not with ``pairs``).
     """
     order = np.argsort(-sizes, kind="stable")
+    given = starts, sizes
     starts, sizes = starts[order], sizes[order]
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")
@@ -106,17 +146,26 @@ def forward_backward(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray, s
     chain = np.arange(len(moment)) - begin[moment]
     visit = starts[chain] + moment
     top = score.max(axis=1, keepdims=True)
-    local, step = np.exp(score - top)[visit], np.exp(switch).astype(score.dtype)
+    local, step = np.exp(score - top), np.exp(switch).astype(score.dtype)
+    joined = np.zeros(len(starts), dtype=bool) if follows is None else follows[order]
+    if joined.any():
+        before, behind = (x[order].astype(score.dtype) for x in _carried(local, step, *given, follows))
+    local = local[visit]
     alpha, norm = np.empty_like(local), np.ones((len(local), 1), dtype=score.dtype)
     for t in range(longest):
         n, at = active[t], begin[t]
         a = local[at : at + n]
         if t:
             a = (alpha[begin[t - 1] : begin[t - 1] + n] @ step) * a
+        elif joined.any():
+            a = np.where(joined[:n, None], before[:n] @ step, 1) * a
         total = np.add(np.add(a[:, :1], a[:, 1:2]), a[:, 2:].sum(axis=1, keepdims=True)) if a.shape[1] > 1 else a
         norm[at : at + n] = total
         np.divide(a, total, out=alpha[at : at + n])
     beta = np.ones_like(local)
+    if joined.any():
+        chains = np.flatnonzero(sizes)
+        beta[begin[sizes[chains] - 1] + chains] = behind[chains]
     local /= norm
     expected = np.zeros_like(switch)
     for t in range(longest - 2, -1, -1):
@@ -197,10 +246,14 @@ class _Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.fresh, self.rows = model, [], np.zeros((0, len(model.labels)), np.float32)
+        self.model, self.fresh, self.rows, self.chars = model, [], np.zeros((0, len(model.labels)), np.float32), 0
+
+    def full(self) -> bool:
+        return len(self) > CACHE_WORDS or self.chars > CACHE_CHARS
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
+        self.chars += len(word)
         self.fresh.append(word)
         return at
 
@@ -220,22 +273,21 @@ def word_marginals(texts: list[str], scorer: _Scorer):
     code = scorer.__getitem__
     codes: list[int] = []
     sizes: list[int] = []
+    follows: list[bool] = []
     counts = []
     for text in texts:
         before = len(codes)
         for line in text.split("\n"):
             row = list(map(code, line.split()))
             codes += row
-            n = len(row)
-            while n > CHAIN_WORDS:
-                sizes.append(CHAIN_WORDS)
-                n -= CHAIN_WORDS
-            if n:
-                sizes.append(n)
+            for at in range(0, len(row), BLOCK_WORDS):
+                sizes.append(min(BLOCK_WORDS, len(row) - at))
+                follows.append(at > 0)
         counts.append(len(codes) - before)
     sizes = np.array(sizes, dtype=np.int64)
     score = scorer.table()[np.array(codes, dtype=np.int64)]
-    return forward_backward(score, np.cumsum(sizes) - sizes, sizes, scorer.model.switch), np.array(counts)
+    found = forward_backward(score, np.cumsum(sizes) - sizes, sizes, scorer.model.switch, follows=np.array(follows, dtype=bool))
+    return found, np.array(counts)
 
 
 def _predict(model, label_name: str, score_name: str):
@@ -247,7 +299,7 @@ def _predict(model, label_name: str, score_name: str):
                 texts = [x or "" for x in string_column(piece, "text").to_pylist()]
                 label, value = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if fitted:
-                    if len(scorer) > CACHE_WORDS:
+                    if scorer.full():
                         scorer = _Scorer(fitted)
                     found, counts = word_marginals(texts, scorer)
                     ends = np.cumsum(counts)
@@ -291,10 +343,15 @@ def train(docs: DataFrame) -> Model | None:
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     keys = usable.where("doc_id is not null").select("doc_id", "lang")
     picked = smallest_hashes(keys, "lang", "doc_id", DOCS_PER_LANGUAGE).select("doc_id").distinct()
+    words = F.split(F.trim("line"), r"\s+")
+    begin = F.pmod(F.xxhash64("line"), F.greatest(F.size(words) - TRAIN_WORDS + 1, F.lit(1))).cast("int") + 1
+    some_words = F.array_join(F.slice(words, begin, TRAIN_WORDS), " ")
     lines = (
         usable.join(F.broadcast(picked), "doc_id", "left_semi")
         .select("lang", F.explode(F.split("text", "\n")).alias("line"))
         .where(F.col("line").rlike(r"\p{L}"))
+        .select("lang", some_words.alias("line"))
+        .where((F.char_length("line") <= TRAIN_CHARS) & F.col("line").rlike(r"\p{L}"))
         .orderBy(F.xxhash64("line"), "line", "lang").limit(TRAIN_LINES)
     )
     return fit([(r["lang"], r["line"]) for r in lines.toLocalIterator()])
