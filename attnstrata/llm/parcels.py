@@ -110,3 +110,33 @@ def narrow(values: np.ndarray) -> tuple[int, int, bytes]:
 
 def widened(base: int, size: int, data: bytes) -> np.ndarray:
     return (np.frombuffer(data, dtype=f"u{size}").astype(np.uint64) + np.uint64(base & (1 << 64) - 1)).astype(np.int64)
+
+
+#: Bits of a bitmap that one task makes.
+_CHUNK_BITS = 16
+
+
+def _bits_of(bits_: int):
+    def run(rows: pa.Table) -> pa.Table:
+        at = rows["hash"].to_numpy().view(np.uint64) >> np.uint64(64 - bits_) & np.uint64((1 << _CHUNK_BITS) - 1)
+        marks = np.zeros(1 << _CHUNK_BITS, dtype=bool)
+        marks[at.astype(np.int64)] = True
+        return pa.table({"chunk": rows["chunk"][:1], "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()])})
+
+    return run
+
+
+def bitmap_of(hashes: DataFrame, bits_: int) -> np.ndarray:
+    """A bitmap of the top bits of some hashes (column ``hash``), made chunk by chunk in tasks; its size is fixed, whatever their number."""
+    out = np.zeros(1 << bits_ - 3, dtype=np.uint8)
+    chunk = F.shiftrightunsigned("hash", 64 - bits_ + _CHUNK_BITS)
+    found = hashes.select(chunk.alias("chunk"), "hash").groupBy("chunk").applyInArrow(_bits_of(bits_), "chunk long, bits binary").toArrow()
+    for k, data in zip(found["chunk"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[k << _CHUNK_BITS - 3 :][: len(data)] = np.frombuffer(data, np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has each hash; it may also have others of the same top bits."""
+    at = (hashed >> np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

@@ -274,10 +274,10 @@ def test_leaks_find_copies_with_other_parameters(spark):
     ids = [*range(len(texts) - 1), None]
     docs = documents(spark, texts, ids)
     got = {(r["doc_id"], r["item_id"]): r["exact"] for r in template_leaks.leaks(docs, bench).collect()}
-    assert got == {(0, 1): True, (1, 1): False, (3, 2): True}
+    assert got == {(0, 1): True, (1, 1): False, (2, 1): False, (3, 2): True}
     kept = template_leaks.without_leaks(docs, bench)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([2, 4, 5, 6, 7, None], key=repr)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([4, 5, 6, 7, None], key=repr)
     assert template_leaks.leaks(docs, bench.limit(0)).collect() == []
 
 
@@ -294,9 +294,10 @@ def test_license_scan_matches_brute_containment(spark):
     texts.append(prose(rng, 500, VOCABULARY))
     token = lambda t: re.findall(r"[0-9]+(?:[.,][0-9]+)*|[a-z0-9]+", (t or "").lower())
     grams = lambda t: {tuple(w[i : i + 5]) for w in [token(t)] for i in range(len(w) - 4)}
+    numbers = lambda t: {w for w in token(t) if re.search("[0-9]", w)}
     want = {
         (i, k) for i, t in enumerate(texts) for k, (_, template) in enumerate(license_scan.TEMPLATES)
-        if len(grams(t) & grams(template)) >= license_scan.CONTAINED * len(grams(template))
+        if len(grams(t) & grams(template)) >= license_scan.CONTAINED * len(grams(template)) and numbers(template) <= numbers(t)
     }
     rows = license_scan.scan(documents(spark, texts)).collect()
     assert {(r["doc_id"], r["template"]) for r in rows} == want
