@@ -6,8 +6,10 @@ phrase's two parts that are one word shorter are frequent too.
 1. A sample of documents (a hash share of them) counts all its phrases; those that reach a lowered threshold are proposed.
 2. A full pass counts the proposed phrases and their negative border exactly: all single words, and all phrases in
    the texts that are not proposed though both their parts are. Phrases of the border that turn out frequent are failures.
-3. While there are failures, they are proposed as well, and a further pass counts what has thereby come to the border. When none is found, every
-   frequent phrase has been counted: by induction over its length, both its parts are proposed.
+3. If there are failures, an expansion pass counts what they bring to the border, at all lengths at once: a phrase that was not counted yet
+   counts now if both its parts may be frequent. A part may be frequent if it was counted and found so, or if it was not counted and
+   both its own parts may be. This closes the search in one pass: every phrase that may be frequent has then been counted, and
+   what the pass finds has no uncounted phrase above it that may be.
 4. A last pass over the texts names the frequent phrases and counts them by their words.
 
 Passes count by hashes: a piece of texts sends each bucket the phrases it holds once, with their counts. Which phrases are proposed goes to the
@@ -18,20 +20,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attnstrata.llm.common import map_batches, pieces, string_column
-from attnstrata.llm.parcels import PIECE_BYTES, arrays, bucket_count, bucket_of, by_bucket
+from attnstrata.llm.common import checked_broadcast, map_batches, pieces, string_column
+from attnstrata.llm.parcels import arrays, bitmap_of, bucket_count, bucket_of, by_bucket, in_bitmap
 from attnstrata.llm.wordhash import folded, hash_spans, mix, raw_bytes, shingles, spans
 from attnstrata.session import materialize
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 #: One of so many documents is in the sample; there, a phrase is proposed if it reaches this share of its expected least count.
 SAMPLE_SHARE, LOWERED = 16, 0.65
-#: The bitmap of proposed phrases has 2^26 bits (8 MB), sent in chunks of 2^13 bytes.
-BITMAP_BITS, CHUNK_BITS = 26, 16
+#: The bitmap of proposed phrases has 2^26 bits (8 MB).
+BITMAP_BITS = 26
+#: Languages whose word counts may be broadcast.
+LANGUAGES = 100_000
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _OUTSIDE = _BREAK.copy()
@@ -47,11 +52,12 @@ class _Phrases:
         self.starts, self.ends = spans(~_OUTSIDE[self.data], offsets)
         self.words = hash_spans(self.data, self.starts, self.ends)
         first = np.searchsorted(self.starts, offsets)
-        #: texts and words of each language
+        #: languages, and the words of each
         self.names, place = np.unique(np.array(langs, dtype=object), return_inverse=True)
         self.lang = np.repeat(place.astype(np.int32), np.diff(first))
-        salts = np.array([xxhash.xxh3_64_intdigest(n.encode()) for n in self.names], dtype=np.uint64)
-        self.salt = salts[self.lang]
+        self.totals = np.bincount(self.lang, minlength=len(self.names))
+        self.salts = np.array([xxhash.xxh3_64_intdigest(n.encode()) for n in self.names], dtype=np.uint64)
+        self.salt = self.salts[self.lang]
         # the number of breaks before a word, and of texts, tells the part of text it is in
         breaks = np.r_[0, np.cumsum(_BREAK[self.data])]
         self.part = breaks[self.starts] + np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -66,47 +72,56 @@ class _Phrases:
         n = max(0, len(self.words) - length + 1)
         return self.part[:n] == self.part[length - 1 :][:n]
 
-    def counted(self, proposed: np.ndarray | None, before: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By length, places and hashes of the phrases whose parts are proposed, and were not all proposed ``before``.
+    def all(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By length, places and hashes of all phrases."""
+        places = [np.flatnonzero(self.whole(length)) for length in range(1, LONGEST + 1)]
+        return [(at, self.hashes(length)[at]) for length, at in enumerate(places, 1)]
 
-        Without ``proposed``, all phrases. Single words have no parts: they count only when nothing was before.
-        """
-        out, parts, was = [], None, None
+    def bordered(self, proposed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By length, places and hashes of the words, and of the phrases both whose parts are proposed."""
+        out, known = [], None
         for length in range(1, LONGEST + 1):
-            hashed, fits = self.hashes(length), self.whole(length)
-            if proposed is not None and length > 1:
-                both = parts[:-1] & parts[1:]
-                if before is not None:
-                    both &= ~(was[:-1] & was[1:])
-                fits = fits & both[: len(fits)]
-            if before is None or length > 1:
-                at = np.flatnonzero(fits)
-                out.append((at, hashed[at]))
-            if proposed is not None:
-                parts = _set(proposed, hashed)
-                was = None if before is None else _set(before, hashed)
+            hashed, counts = self.hashes(length), self.whole(length)
+            if length > 1:
+                counts &= (known[:-1] & known[1:])[: len(counts)]
+            known = in_bitmap(proposed, hashed)
+            at = np.flatnonzero(counts)
+            out.append((at, hashed[at]))
         return out
 
+    def expanded(self, proposed: np.ndarray, frequent: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By length, places and hashes of the phrases that ``bordered(proposed)`` left out, but may be frequent.
 
-def _set(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    at = (hashed >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        ``frequent`` has what that found: the parts that it counted may be frequent only if they are there.
+        """
+        out, known, may = [], None, None
+        for length in range(1, LONGEST + 1):
+            hashed, whole = self.hashes(length), self.whole(length)
+            if length == 1:
+                may = in_bitmap(frequent, hashed)
+            else:
+                counted = (known[:-1] & known[1:])[: len(whole)]
+                parts = (may[:-1] & may[1:])[: len(whole)]
+                at = np.flatnonzero(whole & parts & ~counted)
+                out.append((at, hashed[at]))
+                may = np.where(counted, in_bitmap(frequent, hashed), parts)
+            known = in_bitmap(proposed, hashed)
+        return out
 
 
-def _read(batches, limit: int = PIECE_BYTES):
+def _read(batches):
     for batch in batches:
-        for piece in pieces(batch, "text", limit):
+        for piece in pieces(batch, "text"):
             yield _Phrases(string_column(piece, "text"), piece.column(piece.schema.get_field_index("lang")).to_pylist())
 
 
-def _count(buckets: int, proposed, before):
-    """Rows (bucket, hashes, counts): the phrases that each piece counts."""
+def _count(buckets: int, which: str, bitmaps):
+    """Rows (bucket, hashes, counts): the phrases that each piece counts, by the method of ``_Phrases`` named."""
 
     def run(batches):
-        bits = None if proposed is None else proposed.value
-        old = None if before is None else before.value
+        values = [b.value for b in bitmaps]
         for phrases in _read(batches):
-            found = phrases.counted(bits, old)
+            found = getattr(phrases, which)(*values)
             hashed, counts = np.unique(np.concatenate([h for _, h in found]), return_counts=True)
             bucket = bucket_of(hashed, buckets)
             order = np.argsort(bucket, kind="stable")
@@ -152,57 +167,60 @@ def _frequent(least: int):
     return run
 
 
-def _pass(texts: DataFrame, buckets: int, least: int, proposed=None, before=None) -> DataFrame:
-    counted = map_batches(texts, _count(buckets, proposed, before), "bucket int, hashes binary, counts binary")
+def _pass(texts: DataFrame, buckets: int, least: int, which: str, *bitmaps) -> DataFrame:
+    counted = map_batches(texts, _count(buckets, which, bitmaps), "bucket int, hashes binary, counts binary")
     return materialize(counted.groupBy("bucket").applyInArrow(_frequent(least), "hash long"), "frequent")
 
 
-def _bits(rows: pa.Table) -> pa.Table:
-    """One chunk of the bitmap."""
-    at = rows["hash"].to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS) & np.uint64((1 << CHUNK_BITS) - 1)
-    flags = np.zeros(1 << CHUNK_BITS, dtype=bool)
-    flags[at.astype(np.int64)] = True
-    return pa.table({"chunk": rows["chunk"][:1], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()])})
-
-
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """The bitmap of some hashes, made chunk by chunk in tasks; its size is fixed."""
-    out = np.zeros(1 << BITMAP_BITS - 3, dtype=np.uint8)
-    chunk = F.shiftrightunsigned("hash", 64 - BITMAP_BITS + CHUNK_BITS)
-    found = hashes.select(chunk.alias("chunk"), "hash").groupBy("chunk").applyInArrow(_bits, "chunk long, bits binary").toArrow()
-    for k, data in zip(found["chunk"].to_pylist(), found["bits"].to_pylist(), strict=True):
-        out[k << CHUNK_BITS - 3 :][: len(data)] = np.frombuffer(data, np.uint8)
-    return out
+_NAMED = "bucket int, lang array<string>, phrase array<string>, n array<long>"
 
 
-def _name(shared):
-    """Rows (lang, phrase, words, n): the phrases of each piece whose hashes the bitmap has; a null phrase counts all words."""
+def _name(buckets: int, shared):
+    """Rows of ``_NAMED``: the phrases of each piece that the bitmap has, with counts, by bucket; a null phrase counts all words."""
 
     def run(batches):
         bitmap = shared.value
         for phrases in _read(batches):
-            columns: list[list] = [[], [], [], []]
-            for length, (at, hashed) in enumerate(phrases.counted(bitmap, None), 1):
-                known = _set(bitmap, hashed)
-                _, place, counts = np.unique(hashed[known], return_index=True, return_counts=True)
+            data, starts, ends = phrases.data, phrases.starts, phrases.ends
+            hashes, langs, names, counts = [phrases.salts], [np.arange(len(phrases.names))], [None] * len(phrases.names), [phrases.totals]
+            for length, (at, hashed) in enumerate(phrases.bordered(bitmap), 1):
+                known = in_bitmap(bitmap, hashed)
+                distinct, place, times = np.unique(hashed[known], return_index=True, return_counts=True)
                 at = at[known][place]
-                data, starts, ends = phrases.data, phrases.starts, phrases.ends
-                for k, a, n in zip(phrases.lang[at].tolist(), at.tolist(), counts.tolist(), strict=True):
-                    words = [data[starts[j] : ends[j]].tobytes() for j in range(a, a + length)]
-                    for column, value in zip(columns, (phrases.names[k], b" ".join(words), length, n), strict=True):
-                        column.append(value)
-            totals = np.bincount(phrases.lang, minlength=len(phrases.names)).tolist()
-            for column, values in zip(columns, (phrases.names, [None] * len(totals), [0] * len(totals), totals), strict=True):
-                column += list(values)
-            lang, phrase, words, n = columns
+                hashes.append(distinct)
+                langs.append(phrases.lang[at])
+                counts.append(times)
+                names += [b" ".join([data[starts[j] : ends[j]].tobytes() for j in range(a, a + length)]) for a in at.tolist()]
+            bucket = bucket_of(np.concatenate(hashes), buckets)
+            order = np.argsort(bucket, kind="stable")
+            runs = list(by_bucket(bucket[order]))
+            cuts = pa.array([a for _, a, _ in runs] + [len(order)], pa.int32())
+            columns = (
+                pa.array(phrases.names[np.concatenate(langs)[order]], pa.string()),
+                pa.array(names, pa.binary()).cast(pa.string()).take(pa.array(order)),
+                pa.array(np.concatenate(counts)[order].astype(np.int64)),
+            )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(words, pa.int32()), pa.array(n, pa.int64())],
-                names=["lang", "phrase", "words", "n"],
+                [pa.array([k for k, _, _ in runs], pa.int32()), *(pa.ListArray.from_arrays(cuts, c) for c in columns)],
+                names=["bucket", "lang", "phrase", "n"],
             )
 
     return run
 
 
+def _sum_named(least: int):
+    """The phrases of one bucket that are counted ``least`` times, by their words; and the counts of all words."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        flat = pa.table({n: pc.list_flatten(rows[n]) for n in ("lang", "phrase", "n")})
+        total = flat.group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        total = total.filter(pc.or_(pc.is_null(total["phrase"]), pc.greater_equal(total["n_sum"], least)))
+        words = pc.fill_null(pc.add(pc.count_substring(total["phrase"], " "), 1), 0)
+        return pa.table({"lang": total["lang"], "phrase": total["phrase"], "words": pc.cast(words, pa.int32()), "n": total["n_sum"]})
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, sample_share: int = SAMPLE_SHARE) -> DataFrame:
     """(lang, phrase, words, n): phrases of 1 to ``LONGEST`` words that occur ``least`` times in a language, with exact counts.
 
@@ -218,24 +236,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample_share: int = SA
     sample = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample_share)) == 0).drop("doc_id")
     texts = texts.drop("doc_id")
     lowered = max(1, int(least / sample_share * LOWERED))
-    proposed = _pass(sample, -(-buckets * LONGEST // sample_share), lowered)
-    known = spark.sparkContext.broadcast(_bitmap(proposed))
-    counted = _pass(texts, buckets, least, known)
-    found, fresh, before = counted, _unknown(counted, known.value), None
-    while fresh is not None:
-        before, known = known, spark.sparkContext.broadcast(known.value | fresh)
-        counted = _pass(texts, buckets, least, known, before)
-        found, fresh = found.unionByName(counted), _unknown(counted, known.value)
-        before.destroy()
-    named = map_batches(texts, _name(spark.sparkContext.broadcast(_bitmap(found))), "lang string, phrase string, words int, n long")
-    total = named.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return materialize(total.where(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases")
-
-
-def _unknown(counted: DataFrame, known: np.ndarray) -> np.ndarray | None:
-    """The bitmap of the frequent phrases that were not proposed; None if there is none."""
-    bits = _bitmap(counted)
-    return bits if (bits & ~known).any() else None
+    proposed = _pass(sample, -(-buckets * LONGEST // sample_share), lowered, "all")
+    known = spark.sparkContext.broadcast(bitmap_of(proposed, BITMAP_BITS))
+    found = _pass(texts, buckets, least, "bordered", known)
+    frequent = spark.sparkContext.broadcast(bitmap_of(found, BITMAP_BITS))
+    if (frequent.value & ~known.value).any():  # failures
+        found = found.unionByName(_pass(texts, buckets, least, "expanded", known, frequent))
+    known.destroy()
+    frequent.destroy()
+    shared = spark.sparkContext.broadcast(bitmap_of(found, BITMAP_BITS))
+    named = map_batches(texts, _name(buckets, shared), _NAMED).groupBy("bucket")
+    return materialize(named.applyInArrow(_sum_named(least), "lang string, phrase string, words int, n long"), "phrases")
 
 
 def _words(phrase: str) -> Column:
@@ -271,7 +282,7 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, sample
         cuts = cuts.join(parts.select("lang", F.col("phrase").alias(part), F.col("n").alias(name)), ["lang", part])
     # 38 digits hold these products; integer division of decimals is exact
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    cuts = cuts.join(totals, "lang").withColumn("thousand", F.expr("1000 * n"))
+    cuts = cuts.join(checked_broadcast(totals, LANGUAGES), "lang").withColumn("thousand", F.expr("1000 * n"))
     cuts = cuts.withColumn("over", wide("a") * wide("thousand")).withColumn("under", wide("l") * wide("r"))
     cuts = cuts.withColumn("score", F.expr("over div under"))
     lowest = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
