@@ -148,6 +148,7 @@ def fit_functional_logistic(
     id_col: str = "event_id",
     bins: Sequence[str] | None = fixed.BIN_IDS,
     threshold: float = 0.95,
+    max_fpcs: int = 32,
     replicates: int = 1000,
     l2: float = 1.0,
     salts: int | None = None,
@@ -198,7 +199,7 @@ def fit_functional_logistic(
     n_models = replicates + 1
     bases = materialize(
         _decompose_moments(
-            weighted_moments(rows, keys, n_models), keys, threshold=threshold, max_fpcs=32
+            weighted_moments(rows, keys, n_models), keys, threshold=threshold, max_fpcs=max_fpcs
         ),
         "bases",
     )

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from attnstrata.functions import ids
 from attnstrata.operators.positions import (
@@ -17,7 +21,7 @@ from attnstrata.operators.positions import (
     segment_starts,
     with_position,
 )
-from attnstrata.session import materialize
+from attnstrata.session import materialize, ship_package
 
 
 def without_nan(x: Column | str) -> Column:
@@ -271,9 +275,6 @@ def auroc(
     below = Window.partitionBy(*keys, "_segment").orderBy("_score").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    below_segment = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
     ranges = (
         cut.withColumn("_under", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
         .groupBy(*keys, "_segment")
@@ -282,8 +283,16 @@ def auroc(
             F.sum("_pos").alias("_p"),
             F.sum("_neg").alias("_q"),
         )
-        .withColumn("_under", F.coalesce(F.sum("_q").over(below_segment), F.lit(0)))
     )
+    return _linked_ranges(ranges, keys)
+
+
+def _linked_ranges(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_pos, n_neg, auroc) from (keys, _segment, _u, _p, _q): pairs won inside score ranges, and their classes."""
+    below_segment = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    ranges = ranges.withColumn("_under", F.coalesce(F.sum("_q").over(below_segment), F.lit(0)))
     total = ranges.groupBy(*keys).agg(
         F.sum(F.col("_u") + F.col("_p") * F.col("_under")).alias("_u"),
         F.sum("_p").alias("n_pos"),
@@ -295,6 +304,25 @@ def auroc(
     )
 
 
+def _draws(
+    df: DataFrame, keys: Sequence[str], *, id_col: str, replicates: int, seed: str, order_seed: str
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with their index ``_i``, (keys, replicate, _i): one row a draw), n-of-n with replacement."""
+    df = require_keys(df, keys)
+    ordered = df.withColumn("_order", ids.order_key(order_seed, F.col(id_col)))
+    indexed = with_position(
+        ordered, keys, ["_order", id_col], segment=hash_segment("_order"), name="_i"
+    ).drop("_order")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    drawing = key_join(indexed.select(*keys, "_i"), sizes, keys).withColumn(
+        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    )
+    name = F.concat_ws(
+        "|", *[F.col(k).cast("string") for k in keys], "replicate", F.col("_i").cast("string")
+    )
+    return indexed, drawing.withColumn("_i", ids.derive_long(seed, name) % F.col("_n")).drop("_n")
+
+
 def bootstrap_weights(
     df: DataFrame,
     keys: Sequence[str],
@@ -310,23 +338,10 @@ def bootstrap_weights(
     makes draw number i of every replicate, so draws are produced where the rows are
     and are counted before they are shuffled.
     """
-    df = require_keys(df, keys)
-    ordered = df.withColumn("_order", ids.order_key(order_seed, F.col(id_col)))
-    indexed = with_position(
-        ordered, keys, ["_order", id_col], segment=hash_segment("_order"), name="_i"
-    ).drop("_order")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    drawing = key_join(indexed.select(*keys, "_i"), sizes, keys).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    )
-    name = F.concat_ws(
-        "|", *[F.col(k).cast("string") for k in keys], "replicate", F.col("_i").cast("string")
-    )
-    draws = (
-        drawing.withColumn("_i", ids.derive_long(seed, name) % F.col("_n"))
-        .groupBy(*keys, "replicate", "_i")
-        .agg(F.count(F.lit(1)).alias("weight"))
+    indexed, drawn = _draws(
+        df, keys, id_col=id_col, replicates=replicates, seed=seed, order_seed=order_seed
     )
+    draws = drawn.groupBy(*keys, "replicate", "_i").agg(F.count(F.lit(1)).alias("weight"))
     return indexed, draws
 
 
@@ -353,6 +368,41 @@ def percentile_pick(df: DataFrame, keys: Sequence[str], value: str, prefix: str)
     )
 
 
+#: Replicates whose weights one task holds beside each other.
+REPLICATE_BLOCK = 250
+
+
+def _won_in_range(keys: Sequence[str], label: str, score: str):
+    """Pairs won inside a score range, and its classes, for a block of replicates at once.
+
+    A row carries the replicates of the block that drew it, once a draw. Rows of one score are ties; a null
+    score counts as the lowest, NaN as the highest.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        scores = rows[score].cast(pa.float64()).combine_chunks().fill_null(-np.inf).to_numpy(zero_copy_only=False)
+        distinct, code = np.unique(scores, return_inverse=True)
+        drawn = rows["_drawn"].combine_chunks()
+        replicate = drawn.flatten().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(code)), pc.list_value_length(drawn).to_numpy())
+        fails = pc.fill_null(pc.cast(rows[label], pa.int32()), 0).to_numpy() == 1
+        cell = code[row] * REPLICATE_BLOCK + replicate
+        shape = len(distinct), REPLICATE_BLOCK
+        positive = np.bincount(cell[fails[row]], minlength=shape[0] * shape[1]).reshape(shape)
+        negative = np.bincount(cell[~fails[row]], minlength=shape[0] * shape[1]).reshape(shape)
+        under = np.cumsum(negative, axis=0) - negative
+        won = (positive * (under + negative / 2)).sum(axis=0)
+        used = np.flatnonzero((positive + negative).sum(axis=0))
+        base = rows["_block"][0].as_py() * REPLICATE_BLOCK
+        columns = {k: pa.array([rows[k][0].as_py()] * len(used), rows.schema.field(k).type) for k in (*keys, "_segment")}
+        return pa.table({
+            **columns, "replicate": pa.array(base + used, pa.int32()), "_u": pa.array(won[used], pa.float64()),
+            "_p": pa.array(positive.sum(axis=0)[used], pa.int64()), "_q": pa.array(negative.sum(axis=0)[used], pa.int64()),
+        })
+
+    return run
+
+
 def bootstrap_auroc_ci(
     df: DataFrame,
     keys: Sequence[str],
@@ -362,13 +412,28 @@ def bootstrap_auroc_ci(
     id_col: str,
     replicates: int = 1000,
     seed: str = "bootstrap",
+    segments: int | None = None,
 ) -> DataFrame:
-    """Percentile bootstrap interval of the AUROC; one-class replicates are dropped."""
-    indexed, draws = bootstrap_weights(
-        df, keys, id_col=id_col, replicates=replicates, seed=seed
+    """Percentile bootstrap interval of the AUROC; one-class replicates are dropped.
+
+    Rows are sorted by score once, in ranges, not once a replicate: each row gets the list of the replicates that drew it, and
+    a task sums all replicates of a block over its score range. Draws are gathered to lists before they are shuffled.
+    """
+    ship_package(df.sparkSession)
+    indexed, drawn = _draws(
+        df.select(*keys, id_col, label, score), keys, id_col=id_col, replicates=replicates, seed=seed, order_seed="bootstrap-order"
+    )
+    lists = drawn.groupBy(*keys, F.expr(f"replicate div {REPLICATE_BLOCK}").cast("int").alias("_block"), "_i").agg(
+        F.collect_list((F.col("replicate") % REPLICATE_BLOCK).cast("short")).alias("_drawn")
     )
-    drawn = key_join(draws, indexed.select(*keys, "_i", label, score), [*keys, "_i"])
-    scores = auroc(drawn, [*keys, "replicate"], label, score, weight="weight")
+    ranged = _cut_by_value(indexed.select(*keys, "_i", label, score), keys, score, segments)
+    joined = key_join(lists, ranged, [*keys, "_i"]).drop("_i")
+    schema = StructType([
+        *(joined.schema[k] for k in keys), StructField("_segment", IntegerType()), StructField("replicate", IntegerType()),
+        StructField("_u", DoubleType()), StructField("_p", LongType()), StructField("_q", LongType()),
+    ])
+    ranges = joined.groupBy(*keys, "_block", "_segment").applyInArrow(_won_in_range(list(keys), label, score), schema)
+    scores = _linked_ranges(ranges, [*keys, "replicate"])
     return percentile_pick(scores, keys, "auroc", "auroc")
 
 
