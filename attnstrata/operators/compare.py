@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,9 @@ from attnstrata.functions import bins as binning
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.functions import ids
 from attnstrata.operators.composite import fit_composite
+from attnstrata.operators.graph import nested_curvature
 from attnstrata.operators.positions import key_join
+from attnstrata.session import materialize
 
 
 def marginal_gain(base: DataFrame, augmented: DataFrame, key: str = "bin_id") -> DataFrame:
@@ -100,33 +103,32 @@ def pick_winner(
 def k_sweep(
     events: DataFrame,
     base_features: DataFrame,
-    curvature: DataFrame,
+    attention: DataFrame,
     *,
+    graph_keys: Sequence[str] = (),
+    features: Sequence[str] = tuple(f for f in fixed.FEATURES if f != fixed.RICCI_FEATURE),
     bins: Sequence[str] = fixed.BIN_IDS,
     replicates: int = 200,
     candidates: Sequence[int] = fixed.SWEEP_K,
+    min_rows: int = fixed.MIN_ROWS_PER_FIT,
 ) -> tuple[DataFrame, DataFrame]:
-    """(gains, winner) of adding curvature at each k.
+    """(gains, winner) of adding the curvature of the top-k attention graphs at each k.
 
-    ``events`` has (event_id, bin_id, is_fail), ``base_features`` the six spectral
-    columns per event, ``curvature`` (event_id, k, curvature column). Fits of all k and
-    bins run together: k is part of the group.
+    ``events`` has (event_id, bin_id, is_fail), ``base_features`` the named columns per event, ``attention`` (event_id, graph keys, src, dst,
+    w). The graphs of all k come from one ranking, an event's curvature is the mean over its graphs, and the fits of all k and bins run
+    together: k is part of the group. Events without attention take no part.
     """
-    spectral = [f for f in fixed.FEATURES if f != fixed.RICCI_FEATURE]
-    joined = events.join(base_features, "event_id").join(curvature, "event_id")
-    grouped = joined.withColumn("bin_id", F.concat_ws("@", "bin_id", F.col("k").cast("string")))
-
-    def report(features):
-        fits = fit_composite(grouped, features=features, bins=None, replicates=replicates)
-        parts = F.split("bin_id", "@")
-        return fits.select(
-            F.get(parts, F.lit(1)).cast("int").alias("k"),
-            F.get(parts, F.lit(0)).alias("bin_id"),
-            "auroc",
-        )
+    curved = nested_curvature(attention, ["event_id", *graph_keys], candidates)
+    curvature = curved.groupBy("event_id", "k").agg(F.avg("forman_ricci").alias(fixed.RICCI_FEATURE))
+    joined = materialize(events.join(base_features, "event_id").join(curvature, "event_id"), "sweep")
+
+    def report(names):
+        return fit_composite(
+            joined, features=names, bins=None, per=["k"], replicates=replicates, min_rows=min_rows
+        ).select("k", "bin_id", "auroc")
 
     names = events.sparkSession.createDataFrame([(b,) for b in bins], "bin_id string")
-    gains = sweep_gains(names, report(spectral), report([*spectral, fixed.RICCI_FEATURE]))
+    gains = sweep_gains(names, report(list(features)), report([*features, fixed.RICCI_FEATURE]))
     return gains, pick_winner(gains, candidates)
 
 
@@ -262,3 +264,29 @@ def known_bins_only(report: DataFrame, bins: Sequence[str] = fixed.BIN_IDS) -> D
 def id_failures(df: DataFrame, template_sha: Column | str) -> DataFrame:
     """Events whose id does not follow from their text."""
     return df.filter(~F.coalesce(ids.id_matches(template_sha), F.lit(False)))
+
+
+def found_again(regenerated: DataFrame, original: DataFrame, key: str = "event_id") -> DataFrame:
+    """Regenerated rows whose id the original set has."""
+    return regenerated.join(original.select(key), key, "left_semi")
+
+
+def shared_ids(a: DataFrame, b: DataFrame, key: str = "event_id") -> DataFrame:
+    """Ids that both sets have, once each."""
+    return a.select(key).intersect(b.select(key))
+
+
+def missing_ids(original: DataFrame, regenerated: DataFrame, key: str = "event_id") -> DataFrame:
+    """Ids of the original set that were not found again, once each."""
+    return original.select(key).subtract(regenerated.select(key))
+
+
+def pooled(parts: dict[str, DataFrame], name: str = "part") -> DataFrame:
+    """All rows of several tables of the same columns, with the name of the table that each is from; nothing is merged."""
+    tables = [df.withColumn(name, F.lit(part)) for part, df in parts.items()]
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def largest(df: DataFrame, keys: Sequence[str], value: str, name: str, alias: str = "winner") -> DataFrame:
+    """Per key the ``name`` with the largest value, the smallest name among equals."""
+    return df.groupBy(*keys).agg(F.max_by(name, F.struct(value, -F.col(name))).alias(alias))

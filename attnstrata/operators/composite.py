@@ -120,21 +120,22 @@ def fit_composite(
     id_col: str = "event_id",
     bin_col: str = "bin_id",
     bins: Sequence[str] | None = fixed.BIN_IDS,
+    per: Sequence[str] = (),
     l2: float = 1.0,
     holdout: float = 0.2,
     replicates: int = 1000,
     min_rows: int = fixed.MIN_ROWS_PER_FIT,
 ) -> DataFrame:
-    """One L2 logistic fit per bin with its held-out AUROC and 95 % interval.
+    """One L2 logistic fit per bin, and per value of further columns, with its held-out AUROC and 95 % interval.
 
     Rows must carry a single known bin each (``bins=None`` accepts any non-null name);
     bins with fewer than ``min_rows`` rows are left out.
     """
     checked = df if bins is None else binning.require_bins(df, bin_col, bins)
-    enough = rows_per_group_at_least(checked, [bin_col], min_rows)
+    enough = rows_per_group_at_least(checked, [*per, bin_col], min_rows)
     return fit_and_score(
         enough,
-        [bin_col],
+        [*per, bin_col],
         features,
         label,
         id_col=id_col,

@@ -12,8 +12,9 @@ of its own, so events that share an id stay apart and repeated rows come back as
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attnstrata.functions import bins, ids, text
@@ -484,3 +485,17 @@ def ungraded(events: DataFrame) -> DataFrame:
     return events.agg(
         F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("is_fail").isNull()).alias("n_ungraded")
     )
+
+
+def running_words(sentences: DataFrame, keys: Sequence[str], order: str, words: str = "words") -> DataFrame:
+    """Words placed before each sentence of its text, as ``placed``; a window spans one text."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sentences.withColumn("placed", F.coalesce(F.sum(words).over(before), F.lit(0)).cast("bigint"))
+
+
+def shuffle_tail(sentences: DataFrame, keys: Sequence[str], key: Column, sentence: str = "sentence") -> DataFrame:
+    """Per text its sentences in the order of a seeded ``key``, joined by spaces, as ``shuffled``."""
+    ordered = F.array_sort(F.collect_list(F.struct(key.alias("h"), F.col(sentence).alias("s"))))
+    return sentences.groupBy(*keys).agg(ordered.alias("_s")).select(
+        *keys, F.array_join(F.transform("_s", lambda x: x["s"]), " ").alias("shuffled")
+    )

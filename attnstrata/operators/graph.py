@@ -210,3 +210,26 @@ def attention_graph_curvature(
     return forman_curvature(
         materialize(edges, "edges"), materialize(nodes, "nodes"), keys, method
     )
+
+
+def nested_graphs(attn: DataFrame, keys: Sequence[str], ks: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of the top-k graphs of every k in ``ks``, with a column ``k``.
+
+    Edges are ranked and joined with their reverses once, for the largest k: the graph of a smaller k is made of the first ranks.
+    """
+    heaviest = Window.partitionBy(*keys, "src").orderBy(F.desc("w"), F.asc("dst"))
+    ranked = (
+        attn.filter(F.col("src") != F.col("dst"))
+        .withColumn("_rank", F.row_number().over(heaviest))
+        .filter(F.col("_rank") <= max(ks))
+    )
+    all_ks = F.array(*[F.lit(int(k)) for k in sorted(set(ks))])
+    both = symmetric_weights(ranked, attn, keys).withColumn("k", F.explode(F.filter(all_ks, lambda k: k >= F.col("_rank"))))
+    nodes = attention_nodes(attn, keys).withColumn("k", F.explode(all_ks))
+    return collapse_edges(both, [*keys, "k"]), nodes
+
+
+def nested_curvature(attn: DataFrame, keys: Sequence[str], ks: Sequence[int], method: str = "augmented") -> DataFrame:
+    """One curvature value per key and k, all k in one job."""
+    edges, nodes = nested_graphs(attn, keys, ks)
+    return forman_curvature(materialize(edges, "edges"), materialize(nodes, "nodes"), [*keys, "k"], method)

@@ -255,18 +255,10 @@ def _sentences(spark, sf):
     f"""WITH {SQL_SENTENCES}, r AS (SELECT doc_id, pos, words,
       coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS placed FROM sents)
-    SELECT doc_id, pos, CAST(placed AS BIGINT) AS placed FROM r WHERE placed < 100""",
+    SELECT doc_id, pos, CAST(placed AS BIGINT) AS placed FROM r""",
 )
 def w06(spark, sf):
-    """Sentences placed before the evidence; a window spans one document."""
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = F.coalesce(F.sum("words").over(before), F.lit(0)).cast("bigint")
-    return (
-        _sentences(spark, sf)
-        .withColumn("placed", placed)
-        .filter(F.col("placed") < 100)
-        .select("doc_id", "pos", "placed")
-    )
+    return documents.running_words(_sentences(spark, sf), ["doc_id"], "pos").select("doc_id", "pos", "placed")
 
 
 @query(
@@ -277,10 +269,5 @@ def w06(spark, sf):
 def l04(spark, sf):
     """Sentences of each document in seeded order, joined again."""
     key = ids.order_key("tail", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")))
-    ordered = F.array_sort(F.collect_list(F.struct(key.alias("h"), "sentence")))
-    return (
-        _sentences(spark, sf)
-        .groupBy("doc_id")
-        .agg(F.transform(ordered, lambda s: s["sentence"]).alias("s"))
-        .select("doc_id", F.sha2(F.array_join("s", " "), 256).alias("shuffled_sha"))
-    )
+    out = documents.shuffle_tail(_sentences(spark, sf), ["doc_id"], key)
+    return out.select("doc_id", F.sha2("shuffled", 256).alias("shuffled_sha"))

@@ -292,9 +292,8 @@ def c17(spark, sf):
     f"WITH {SQL_REGENERATED} SELECT doc_id, event_id FROM regen WHERE event_id IN (SELECT event_id FROM doc_events)",
 )
 def j15(spark, sf):
-    return _regenerated(spark, sf).select("doc_id", "event_id").join(
-        v.doc_events(spark, sf).select("event_id"), "event_id", "left_semi"
-    )
+    found = compare.found_again(_regenerated(spark, sf), v.doc_events(spark, sf))
+    return found.select("doc_id", "event_id")
 
 
 @query(
@@ -324,7 +323,7 @@ def u01(spark, sf):
     count = F.count(F.lit(1)).alias("n")
     a = table(spark, sf, "documents").groupBy(F.col("lang").alias("bin_id")).agg(count)
     b = table(spark, sf, "conversations").groupBy(F.col("role").alias("bin_id")).agg(count)
-    return a.withColumn("part", F.lit("documents")).unionByName(b.withColumn("part", F.lit("conversations")))
+    return compare.pooled({"documents": a, "conversations": b})
 
 
 @query(
@@ -332,7 +331,7 @@ def u01(spark, sf):
     f"WITH {SQL_REGENERATED} SELECT event_id FROM doc_events INTERSECT SELECT event_id FROM regen",
 )
 def u02(spark, sf):
-    return v.doc_events(spark, sf).select("event_id").intersect(_regenerated(spark, sf).select("event_id"))
+    return compare.shared_ids(v.doc_events(spark, sf), _regenerated(spark, sf))
 
 
 @query("u03_distinct_partkeys", "SELECT DISTINCT l_partkey FROM lineitem")
@@ -345,4 +344,4 @@ def u03(spark, sf):
     f"WITH {SQL_REGENERATED} SELECT event_id FROM doc_events EXCEPT SELECT event_id FROM regen",
 )
 def u04(spark, sf):
-    return v.doc_events(spark, sf).select("event_id").subtract(_regenerated(spark, sf).select("event_id"))
+    return compare.missing_ids(v.doc_events(spark, sf), _regenerated(spark, sf))

@@ -55,19 +55,24 @@ def trace_edges(spark, sf):
     )
 
 
+#: All entries of both captured vectors.
+ENTRIES = [f"{vector}{i}" for vector in "qk" for i in range(v.D_HEAD)]
+
+
+def entries(spark, sf):
+    return v.captured(spark, sf).select(*HEAD, *[F.get(n[0], F.lit(int(n[1]))).alias(n) for n in ENTRIES])
+
+
 @query(
     "a05_atomic_summary",
-    f"""WITH f AS (SELECT event_id, layer, head, unnest(['q0', 'k0']) AS feature, unnest([q[1], k[1]]) AS x
+    f"""WITH f AS (SELECT event_id, layer, head, unnest({ENTRIES}) AS feature, unnest(list_concat(q, k)) AS x
       FROM ({'WITH ' + v.SQL_CAPTURED + ' SELECT * FROM captured'}))
     SELECT event_id, layer, head, feature, {sql_r6('avg(x)')} AS mean, {sql_r6('quantile_cont(x, 0.1)')} AS p10,
     {sql_r6('quantile_cont(x, 0.5)')} AS p50, {sql_r6('quantile_cont(x, 0.9)')} AS p90,
     {sql_r6('stddev_pop(x)')} AS std FROM f GROUP BY ALL""",
 )
 def a05(spark, sf):
-    c = v.captured(spark, sf).select(
-        *HEAD, F.get("q", F.lit(0)).alias("q0"), F.get("k", F.lit(0)).alias("k0")
-    )
-    out = statistics.summarize(c, HEAD, ["q0", "k0"])
+    out = statistics.summarize(entries(spark, sf), HEAD, ENTRIES)
     return out.select(*HEAD, "feature", *[r6(x).alias(x) for x in ("mean", "p10", "p50", "p90", "std")])
 
 
@@ -85,20 +90,17 @@ def a05_large(spark, sf):
 
 @query(
     "a04_event_features",
-    f"""WITH {v.SQL_CAPTURED}, m AS (SELECT event_id, layer, head, avg(q[1]) AS a, avg(k[1]) AS b
+    f"""WITH {v.SQL_CAPTURED}, m AS (SELECT event_id, layer, head, {', '.join(f'avg({n[0]}[{int(n[1]) + 1}]) AS {n}' for n in ENTRIES)}
       FROM captured GROUP BY ALL)
-    SELECT event_id, {sql_r6('avg(a)')} AS q0, CASE WHEN event_id = 0 THEN 'NaN'::DOUBLE ELSE {sql_r6('avg(b)')} END AS k0
-    FROM m GROUP BY event_id""",
+    SELECT event_id, {', '.join(f'{sql_r6(f"avg({n})")} AS {n}' for n in ENTRIES if n != 'k0')},
+    CASE WHEN event_id = 0 THEN 'NaN'::DOUBLE ELSE {sql_r6('avg(k0)')} END AS k0 FROM m GROUP BY event_id""",
 )
 def a04(spark, sf):
-    """The second feature has a NaN in the first event: it poisons that event only."""
-    k0 = F.when((F.col("event_id") == 0) & (F.col("head") == 0), F.lit(float("nan"))).otherwise(
-        F.get("k", F.lit(0))
-    )
-    c = v.captured(spark, sf).select(*HEAD, F.get("q", F.lit(0)).alias("q0"), k0.alias("k0"))
-    summary = statistics.summarize(c, HEAD, ["q0", "k0"])
-    out = statistics.event_features(summary, ["event_id"], ["q0", "k0"])
-    return out.select("event_id", r6("q0").alias("q0"), r6("k0").alias("k0"))
+    """One feature has a NaN in the first event: it poisons that feature of that event only."""
+    k0 = F.when((F.col("event_id") == 0) & (F.col("head") == 0), F.lit(float("nan"))).otherwise(F.col("k0"))
+    summary = statistics.summarize(entries(spark, sf).withColumn("k0", k0), HEAD, ENTRIES)
+    out = statistics.event_features(summary, ["event_id"], ENTRIES)
+    return out.select("event_id", *[r6(n).alias(n) for n in ENTRIES])
 
 
 @query(
@@ -132,12 +134,13 @@ def a08(spark, sf):
 
 @query(
     "a09_nan_mean",
-    f"""WITH {v.SQL_CAPTURED}, h AS (SELECT event_id, layer, head, avg(q[1]) AS x FROM captured GROUP BY ALL)
+    f"""WITH {v.SQL_CAPTURED}, h AS (SELECT event_id, layer, head, avg(list_sum(list_concat(q, k))) AS x FROM captured GROUP BY ALL)
     SELECT event_id, layer, CASE WHEN layer = 3 THEN 'NaN'::DOUBLE ELSE
       {sql_r6('avg(CASE WHEN head % 3 <> 0 THEN x END)')} END AS mean_forman_ricci FROM h GROUP BY event_id, layer""",
 )
 def a09(spark, sf):
-    h = v.captured(spark, sf).groupBy(*HEAD).agg(F.avg(F.get("q", F.lit(0))).alias("x"))
+    total = F.aggregate(F.concat("q", "k"), F.lit(0.0), lambda a, x: a + x)
+    h = v.captured(spark, sf).groupBy(*HEAD).agg(F.avg(total).alias("x"))
     hole = (F.col("head") % 3 == 0) | (F.col("layer") == 3)
     atomic = h.withColumn(fixed.RICCI_FEATURE, F.when(hole, F.lit(float("nan"))).otherwise(F.col("x")))
     out = spine.mean_curvature(atomic, ["event_id", "layer"])
@@ -183,7 +186,7 @@ shares AS (
   SELECT gid, src, dst, CAST(q AS DOUBLE) / CAST(sum(q) OVER (PARTITION BY gid, src) AS DOUBLE) AS w FROM weights),
 slots AS (
   SELECT label AS token, CAST(i - 1 AS INTEGER) AS i, avg(embedding[i]::DOUBLE) AS v
-  FROM embeddings, range(1, 9) r(i) GROUP BY ALL)"""
+  FROM embeddings, range(1, 65) r(i) GROUP BY ALL)"""
 
 
 def slot_attention(spark, sf):
@@ -196,7 +199,7 @@ def slot_attention(spark, sf):
     attn = q.join(total, ["gid", "src"]).select("gid", "src", "dst", (F.col("q") / F.col("total")).alias("w"))
     e = table(spark, sf, "embeddings")
     means = e.groupBy("label").agg(
-        F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(8)]).alias("v")
+        F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(64)]).alias("v")
     )
     gids = li.select(F.col("l_returnflag").alias("gid")).distinct()
     flags = gids.agg(F.collect_set("gid").alias("g")).scalar()

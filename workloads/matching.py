@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attnstrata.operators import documents, matching, statistics
+from attnstrata.operators import compare, documents, matching, statistics
 from attnstrata.sources.dataset import write_table
 from attnstrata.session import scratch_path
 from workloads import views as v
@@ -257,9 +257,7 @@ def l03(spark, sf):
     totals = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(
         F.sum(F.col("l_quantity").cast("bigint")).alias("total")
     )
-    return totals.groupBy("l_returnflag").agg(
-        F.max_by("l_linenumber", F.struct("total", -F.col("l_linenumber"))).alias("winner")
-    )
+    return compare.largest(totals, ["l_returnflag"], "total", "l_linenumber")
 
 
 @query(

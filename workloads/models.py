@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attnstrata.functions import fixed_values as fixed
-from attnstrata.operators import compare, composite, functional, pooled_control, series, spine, statistics
+from attnstrata.operators import compare, composite, functional, graph, pooled_control, series, spine, statistics
+from attnstrata.session import scratch_path
+from attnstrata.sources import tensors
 from workloads import linear
 from workloads.matching import sql_split
 from workloads import views as v
 from workloads.registry import query, r6, sql_r6, table
 
-REPLICATES = 100
+REPLICATES = 1000
+#: Replicates of the functional fit, each with components and a regression of its own.
+BANDS = 200
 
 
 def scored_documents(spark, sf):
@@ -139,15 +143,22 @@ def w07(spark, sf):
     return functional.cumulative_variance(shares, ["l_returnflag"], threshold=0.25)
 
 
+def _every_seventh(start: int):
+    entries = [F.get("embedding", F.lit(i)).cast("double") for i in range(start, 64, 7)]
+    return sum(entries[1:], entries[0]) / len(entries)
+
+
 def vector_events(spark, sf):
-    """Embeddings as events: neighbouring labels share a bin, the odd one fails."""
+    """Embeddings as events: four neighbouring labels share a bin, the odd ones fail. A curve is the whole vector, and each
+    feature the mean of every seventh entry.
+    """
     e = table(spark, sf, "embeddings")
     return e.select(
-        F.concat(F.lit("B"), (F.expr("label div 2") + 1).cast("string")).alias("bin_id"),
+        F.concat(F.lit("B"), (F.expr("label div 4") + 1).cast("string")).alias("bin_id"),
         F.col("vec_id").cast("string").alias("event_id"),
         (F.col("label") % 2 == 1).alias("is_fail"),
-        F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("curve"),
-        *[F.get("embedding", F.lit(32 + i)).cast("double").alias(f) for i, f in enumerate(fixed.FEATURES)],
+        F.transform("embedding", lambda x: x.cast("double")).alias("curve"),
+        *[_every_seventh(i).alias(f) for i, f in enumerate(fixed.FEATURES)],
     )
 
 
@@ -164,7 +175,7 @@ def _rounded(fits):
 
 @query("c06_fit_composite")
 def c06(spark, sf):
-    return _rounded(composite.fit_composite(vector_events(spark, sf), replicates=REPLICATES, min_rows=50))
+    return _rounded(composite.fit_composite(vector_events(spark, sf), replicates=REPLICATES))
 
 
 @query("c07_fit_pooled_control")
@@ -194,7 +205,7 @@ SINGLE = ("auroc", "n_events_train", "n_events_held_out", "status")
 @query("c06_c13_single_feature", sql_single_fit("scored", "composite", "bin_id", fixed.MIN_ROWS_PER_FIT))
 def c06_single(spark, sf):
     fits = composite.fit_composite(
-        scored_documents(spark, sf), features=["length"], bins=None, replicates=20
+        scored_documents(spark, sf), features=["length"], bins=None, replicates=REPLICATES
     )
     return fits.select("bin_id", *SINGLE).withColumn("auroc", r6("auroc"))
 
@@ -204,7 +215,7 @@ def c06_single(spark, sf):
     sql_single_fit("(SELECT *, 'pooled_negative_control' AS control FROM scored)", "pooled", "control", 1),
 )
 def c07_single(spark, sf):
-    fits = pooled_control.fit_pooled_control(scored_documents(spark, sf), features=["length"], replicates=20)
+    fits = pooled_control.fit_pooled_control(scored_documents(spark, sf), features=["length"], replicates=REPLICATES)
     return fits.select("control", *SINGLE).withColumn("auroc", r6("auroc"))
 
 
@@ -234,7 +245,7 @@ def c08_scores(spark, sf):
 @query("c09_fit_functional_logistic")
 def c09(spark, sf):
     e = vector_events(spark, sf).withColumn("edge_type", F.lit(fixed.EDGE_TYPES[0]))
-    _, beta = functional.fit_functional_logistic(e, replicates=REPLICATES, min_rows=50)
+    _, beta = functional.fit_functional_logistic(e, replicates=BANDS)
     return beta.select(
         "bin_id", "edge_type", "layer", *[r6(c).alias(c) for c in ("beta", "beta_ci_lower", "beta_ci_upper")]
     )
@@ -255,7 +266,7 @@ def c10(spark, sf):
 def _mean_summary(spark, sf):
     """A feature summary of the captured vectors: seven query entries per head."""
     c = v.captured(spark, sf).select(
-        *linear.HEAD, *[F.get("q", F.lit(i)).alias(f) for i, f in enumerate(fixed.FEATURES)]
+        *linear.HEAD, *[x.alias(f) for x, f in zip(v.seven(), fixed.FEATURES, strict=True)]
     )
     return statistics.summarize(c, linear.HEAD, fixed.FEATURES)
 
@@ -271,7 +282,7 @@ def captured_events(spark, sf):
 SQL_FEATURES = ", ".join(
     f"{sql_r6(f'avg(f{i})')} AS {f}" for i, f in enumerate(fixed.FEATURES)
 )
-SQL_HEAD_MEANS = ", ".join(f"avg(q[{i + 1}]) AS f{i}" for i in range(7))
+SQL_HEAD_MEANS = ", ".join(f"avg({x}) AS f{i}" for i, x in enumerate(v.SQL_SEVEN))
 
 
 @query(
@@ -287,13 +298,17 @@ def c11(spark, sf):
 
 @query(
     "j02_events_with_summary",
-    f"""WITH {v.SQL_CAPTURED} SELECT event_id, event_id % 2 = 0 AS is_fail, layer, head, count(*) * 0 + 7 AS n_features
-    FROM captured GROUP BY event_id, layer, head""",
+    f"""WITH {v.SQL_CAPTURED}, h AS (SELECT event_id, layer, head, {SQL_HEAD_MEANS} FROM captured GROUP BY ALL)
+    SELECT event_id, 'B' || (event_id % 6 + 1) AS bin_id, event_id % 2 = 0 AS is_fail, {SQL_FEATURES}
+    FROM h WHERE event_id % 3 <> 0 GROUP BY event_id""",
 )
 def j02(spark, sf):
-    summary = _mean_summary(spark, sf).groupBy(*linear.HEAD).agg(F.count(F.lit(1)).alias("n_features"))
-    events = captured_events(spark, sf)
-    return events.join(summary, "event_id").select("event_id", "is_fail", "layer", "head", "n_features")
+    """The summary table as it is stored, joined with a part of the events: each event has one row with all its features."""
+    path = scratch_path(spark, "summary")
+    tensors.write_atomic_summary(_mean_summary(spark, sf).withColumn("event_id", F.col("event_id").cast("string")), path)
+    events = captured_events(spark, sf).where("event_id % 3 <> 0").withColumn("event_id", F.col("event_id").cast("string"))
+    out = spine.event_feature_matrix(events, tensors.read_atomic_summary(spark, path))
+    return out.withColumn("event_id", F.col("event_id").cast("long")).withColumns({f: r6(F.col(f).cast("double")) for f in fixed.FEATURES})
 
 
 @query(
@@ -331,22 +346,63 @@ def c12(spark, sf):
     ).withColumn("mean_distance", r6("mean_distance"))
 
 
+SWEEP_BINS = ("B1", "B2", "B3")
+
+
+def vector_attention(spark, sf):
+    """Each vector as attention among eight tokens: entry 8 i + j is the weight from token i to j, shifted to be positive."""
+    at = table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("event_id"), F.posexplode("embedding").alias("at", "x")
+    )
+    return at.select(
+        "event_id", F.expr("at div 8").cast("int").alias("src"), (F.col("at") % 8).alias("dst"), F.exp(F.col("x").cast("double")).alias("w")
+    )
+
+
+KS = (2, 3, 5)
+
+SQL_NESTED = """
+attn AS (
+  SELECT vec_id::VARCHAR AS event_id, CAST((i - 1) // 8 AS INTEGER) AS src, CAST((i - 1) % 8 AS INTEGER) AS dst, exp(embedding[i]::DOUBLE) AS w
+  FROM embeddings, range(1, 65) r(i)),
+topk AS (
+  SELECT attn.*, k FROM attn, (SELECT unnest([2, 3, 5]) AS k) WHERE src <> dst
+  QUALIFY row_number() OVER (PARTITION BY event_id, k, src ORDER BY w DESC, dst) <= k),
+sym AS (
+  SELECT t.event_id, t.k, t.src, t.dst, (t.w + coalesce(b.w, 0)) * 0.5 AS w
+  FROM topk t LEFT JOIN attn b ON b.event_id = t.event_id AND b.src = t.dst AND b.dst = t.src),
+edges AS (SELECT event_id, k, least(src, dst) AS lo, greatest(src, dst) AS hi, max(w) AS w FROM sym GROUP BY ALL),
+adj AS (SELECT event_id, k, lo AS u, hi AS v, w FROM edges UNION ALL SELECT event_id, k, hi, lo, w FROM edges),
+common AS (
+  SELECT e.event_id, e.k, e.lo, e.hi, a.v AS node FROM edges e
+  JOIN adj a ON a.event_id = e.event_id AND a.k = e.k AND a.u = e.lo
+  JOIN adj b ON b.event_id = e.event_id AND b.k = e.k AND b.u = e.hi AND b.v = a.v),
+t AS (SELECT event_id, k, lo, hi, count(*) AS t FROM common GROUP BY ALL),
+incident AS (
+  SELECT e.event_id, e.k, e.lo, e.hi, sum(1 / sqrt(e.w * a.w)) AS s
+  FROM edges e JOIN adj a ON a.event_id = e.event_id AND a.k = e.k AND ((a.u = e.lo AND a.v <> e.hi) OR (a.u = e.hi AND a.v <> e.lo))
+  ANTI JOIN common c ON c.event_id = e.event_id AND c.k = e.k AND c.lo = e.lo AND c.hi = e.hi AND c.node = a.v
+  GROUP BY ALL)"""
+
+
+@query(
+    "c14_curvature_from_attention",
+    f"""WITH {SQL_NESTED} SELECT e.event_id, CAST(e.k AS INTEGER) AS k, {sql_r6('avg(e.w * (coalesce(t.t, 0) * e.w + 2 / e.w - coalesce(i.s, 0)))')} AS forman_ricci
+    FROM edges e LEFT JOIN t USING (event_id, k, lo, hi) LEFT JOIN incident i USING (event_id, k, lo, hi) GROUP BY e.event_id, e.k""",
+)
+def c14_curvature(spark, sf):
+    """The curvature that the sweep adds, for all k from one ranking of the edges; no node of eight is alone."""
+    out = graph.nested_curvature(vector_attention(spark, sf), ["event_id"], KS)
+    return out.select("event_id", "k", r6("forman_ricci").alias("forman_ricci"))
+
+
 @query("c14_k_sweep")
 def c14(spark, sf):
+    """From attention to the gain of each k, with the operator's own number of replicates."""
     e = vector_events(spark, sf)
     spectral = [f for f in fixed.FEATURES if f != fixed.RICCI_FEATURE]
-    curvature = table(spark, sf, "embeddings").select(
-        F.col("vec_id").cast("string").alias("event_id"),
-        F.posexplode(F.slice("embedding", 1, 3)).alias("at", "c"),
-    ).select(
-        "event_id",
-        F.element_at(F.array(*[F.lit(k) for k in fixed.SWEEP_K]), F.col("at") + 1).alias("k"),
-        F.col("c").cast("double").alias(fixed.RICCI_FEATURE),
-    )
     gains, _ = compare.k_sweep(
-        e.select("event_id", "bin_id", "is_fail"),
-        e.select("event_id", *spectral),
-        curvature,
-        replicates=20,
+        e.select("event_id", "bin_id", "is_fail"), e.select("event_id", *spectral), vector_attention(spark, sf),
+        bins=SWEEP_BINS, candidates=KS,
     )
     return gains.withColumn("gain", r6("gain"))

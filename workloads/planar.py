@@ -1,7 +1,7 @@
 """M01-M08 on 2 x 2 head operators, where SQL has closed forms for the spectrum.
 
-The whole embedding table is used: neighbouring entries of a vector are the layers and
-the label modulo three is the head, so every layer has three heads.
+The whole embedding table is used: two neighbouring entries of each half of a vector are the query and key of a layer, 16 in all,
+and the label modulo three is the head, so every layer has three heads.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ planar AS (
   SELECT vec_id // 250 AS event_id, CAST(layer AS INTEGER) AS layer, CAST(label % 3 AS INTEGER) AS head,
          [embedding[2 * layer + 1]::DOUBLE, embedding[2 * layer + 2]::DOUBLE] AS q,
          [embedding[2 * layer + 33]::DOUBLE, embedding[2 * layer + 34]::DOUBLE] AS k
-  FROM embeddings, range(4) r(layer)),
+  FROM embeddings, range(16) r(layer)),
 m2 AS (
   SELECT event_id, layer, head, 'qkt' AS kind, sum(q[1] * k[1]) AS a, sum(q[1] * k[2]) AS b,
          sum(q[2] * k[1]) AS c, sum(q[2] * k[2]) AS d FROM planar GROUP BY ALL
@@ -55,7 +55,7 @@ def planar(spark, sf):
         *[F.get("embedding", F.col("layer") * 2 + at + i).cast("double") for i in range(2)]
     )
     e = table(spark, sf, "embeddings")
-    return e.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(
+    return e.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(15)))).select(
         F.expr("vec_id div 250").alias("event_id"),
         "layer",
         (F.col("label") % 3).cast("int").alias("head"),
@@ -167,8 +167,8 @@ def m08(spark, sf):
 
 SQL_CURVES = """
 curves AS (
-  SELECT 'B' || (label // 2 + 1) AS bin_id, vec_id, CAST(i - 1 AS INTEGER) AS i, embedding[i]::DOUBLE AS x
-  FROM embeddings, range(1, 33) r(i)),
+  SELECT 'B' || (label // 4 + 1) AS bin_id, vec_id, CAST(i - 1 AS INTEGER) AS i, embedding[i]::DOUBLE AS x
+  FROM embeddings, range(1, 65) r(i)),
 centred AS (SELECT *, x - avg(x) OVER (PARTITION BY bin_id, i) AS z FROM curves)"""
 
 
@@ -183,7 +183,7 @@ centred AS (SELECT *, x - avg(x) OVER (PARTITION BY bin_id, i) AS z FROM curves)
 )
 def c08_concentration(spark, sf):
     """Sum of squared variance shares over all components, which SQL has as a norm."""
-    fit = functional.fit_fpca(models.vector_events(spark, sf), ["bin_id"], threshold=2.0)
+    fit = functional.fit_fpca(models.vector_events(spark, sf), ["bin_id"], threshold=2.0, max_fpcs=64)
     squares = F.aggregate("shares", F.lit(0.0), lambda a, s: a + s * s)
     return fit.select("bin_id", "n_curves", r6(squares).alias("concentration"))
 
@@ -196,7 +196,7 @@ def c08_concentration(spark, sf):
 def c08_full_scores(spark, sf):
     """With every component kept, a curve's scores carry all of its centred energy."""
     e = models.vector_events(spark, sf).select("bin_id", "event_id", "curve")
-    fit = functional.fit_fpca(e, ["bin_id"], threshold=2.0)
+    fit = functional.fit_fpca(e, ["bin_id"], threshold=2.0, max_fpcs=64)
     energy = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x)
     return functional.fpca_scores(e, fit, ["bin_id"]).select(
         "bin_id", "event_id", r6(energy).alias("score_energy")

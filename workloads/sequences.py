@@ -110,13 +110,14 @@ def w11(spark, sf):
 @query(
     "w12_long_line_series",
     f"""WITH {v.SQL_CAPTURED} SELECT event_id, layer, head, count(*) AS n_points,
-    {sql_r6('sum(q[1] * rn)')} AS weighted FROM (
+    {sql_r6('sum(list_sum(list_concat(q, k)) * rn)')} AS weighted FROM (
       SELECT *, row_number() OVER (PARTITION BY event_id, layer, head ORDER BY token) AS rn FROM captured)
     GROUP BY ALL""",
 )
 def w12(spark, sf):
+    total = F.aggregate(F.concat("q", "k"), F.lit(0.0), lambda a, x: a + x)
     atomic = v.captured(spark, sf).select(
-        "event_id", "layer", "head", F.col("token").alias("rel_pos"), F.get("q", F.lit(0)).alias("f")
+        "event_id", "layer", "head", F.col("token").alias("rel_pos"), total.alias("f")
     )
     lines = series.long_line_series(atomic, "f")
     weighted = F.aggregate(

@@ -144,11 +144,11 @@ def atomic_table(spark, sf):
         F.expr("cast(token % 250 - 249 as int)").alias("rel_pos"),
         F.col("layer").cast("int").alias("layer"),
         F.col("head").cast("int").alias("head"),
-        *[F.get("q", F.lit(i)).alias(f) for i, f in enumerate(fixed.FEATURES)],
+        *[x.alias(f) for x, f in zip(v.seven(), fixed.FEATURES, strict=True)],
     )
 
 
-ATOMIC_SQL = ", ".join(f"CAST(CAST(q[{i + 1}] AS FLOAT) AS DOUBLE) AS {f}" for i, f in enumerate(fixed.FEATURES))
+ATOMIC_SQL = ", ".join(f"CAST(CAST({x} AS FLOAT) AS DOUBLE) AS {f}" for x, f in zip(v.SQL_SEVEN, fixed.FEATURES, strict=True))
 
 
 @query(
@@ -198,15 +198,17 @@ STATS = ("mean", "p10", "p50", "p90", "std")
 
 @query(
     "s09_atomic_summary_round_trip",
-    f"""WITH {v.SQL_CAPTURED} SELECT sha256(event_id::VARCHAR) AS event_id, layer, head, '{fixed.FEATURES[0]}' AS feature,
-    {', '.join(f'round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 4) + 0.0 AS {n}' for n, e in zip(STATS, ('avg(q[1])', 'quantile_cont(q[1], 0.1)', 'quantile_cont(q[1], 0.5)', 'quantile_cont(q[1], 0.9)', 'stddev_pop(q[1])')))}
-    FROM captured GROUP BY event_id, layer, head""",
+    f"""WITH {v.SQL_CAPTURED}, f AS (SELECT event_id, layer, head, unnest({list(fixed.FEATURES)}) AS feature,
+      unnest([{', '.join(v.SQL_SEVEN)}]) AS x FROM captured)
+    SELECT sha256(event_id::VARCHAR) AS event_id, layer, head, feature,
+    {', '.join(f'round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 4) + 0.0 AS {n}' for n, e in zip(STATS, ('avg(x)', 'quantile_cont(x, 0.1)', 'quantile_cont(x, 0.5)', 'quantile_cont(x, 0.9)', 'stddev_pop(x)')))}
+    FROM f GROUP BY event_id, layer, head, feature""",
 )
 def s09(spark, sf):
     from attnstrata.operators.statistics import summarize
 
     path = scratch_path(spark, "summary")
-    summary = summarize(atomic_table(spark, sf), ["event_id", "layer", "head"], [fixed.FEATURES[0]])
+    summary = summarize(atomic_table(spark, sf), ["event_id", "layer", "head"], list(fixed.FEATURES))
     tensors.write_atomic_summary(summary, path)
     back = tensors.read_atomic_summary(spark, path)
     return back.select(

@@ -381,6 +381,16 @@ entries AS (
 """
 
 
+#: Seven numbers that take in all entries of both vectors: sums of entries of the same place, the last of two places.
+SQL_SEVEN = [f"(q[{i}] + k[{i}])" for i in range(1, 7)] + ["(q[7] + k[7] + q[8] + k[8])"]
+
+
+def seven():
+    """``SQL_SEVEN`` as columns."""
+    q, k = (lambda i: F.get("q", F.lit(i))), (lambda i: F.get("k", F.lit(i)))
+    return [q(i) + k(i) for i in range(6)] + [q(6) + k(6) + q(7) + k(7)]
+
+
 def user_series(spark: SparkSession, sf: str) -> DataFrame:
     """Event values of each user, less the user's mean, in time order."""
     e = table(spark, sf, "events")
