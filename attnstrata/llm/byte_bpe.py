@@ -407,11 +407,14 @@ def _digests(table):
     return finish
 
 
-def op3(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; the decoded bytes come from the ids alone."""
+def op3(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; the decoded bytes come from the ids alone.
+
+    Smaller blocks take less memory in a task and more disk: a word is sent once a block.
+    """
     ranks = read_ranks()
     table = docs.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
     return encode(
-        docs, ranks, finish=_digests(table),
+        docs, ranks, block_bytes=block_bytes, finish=_digests(table),
         schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +11,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from attnstrata.session import ship_package
 
 #: Texts are worked on in pieces of about so many bytes inside a task.
 PIECE_BYTES = 4 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +49,52 @@ def pieces(batch: pa.RecordBatch, name: str, limit: int = PIECE_BYTES) -> Iterat
         start, base = stop, int(ends[stop - 1])
 
 
+def give_back() -> None:
+    """Return this process's unused memory: a worker waits for its next task with all it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(function):
+    """A function on batches that gives memory back at their end."""
+
+    @functools.wraps(function)
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
+def freed(function):
+    """A function on groups that gives memory back after a large one."""
+
+    @functools.wraps(function)
+    def run(rows: pa.Table) -> pa.Table:
+        out = function(rows)
+        if rows.nbytes > PIECE_BYTES:
+            give_back()
+        return out
+
+    return run
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to workers ``BATCH_ROWS`` at a time, unless the session has its own number: a batch is held twice by the JVM, outside its
+    heap, and once by the worker.
+    """
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` after this package was sent to the workers."""
+    """``mapInArrow`` after this package was sent to the workers; memory goes back at the end of each task."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(released(function), schema)
 
 
 def with_fields(df: DataFrame, *fields: StructField) -> StructType:
@@ -72,9 +118,23 @@ def replaced(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*arrays, *columns.values()], names=[*names, *columns])
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint if the table, of narrow rows, has at most ``max_rows``; else none."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """A broadcast hint if the table has at most ``max_rows`` rows and its values at most ``max_bytes``; else none."""
+
+    def size(field: StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        kind = field.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            size = F.octet_length(column)
+        elif isinstance(kind, ArrayType):
+            size = 8 * F.size(column)
+        else:
+            return F.lit(8)
+        return F.coalesce(size, F.lit(0)) + 16
+
+    bytes_ = F.sum(functools.reduce(lambda a, b: a + b, map(size, df.schema.fields)))
+    rows, total = df.limit(max_rows + 1).agg(F.count("*"), bytes_).first()
+    return F.broadcast(df) if rows <= max_rows and (total or 0) <= max_bytes else df
 
 
 def smallest_hashes(rows: DataFrame, group: str, key: str, count: int) -> DataFrame:

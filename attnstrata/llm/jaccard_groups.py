@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attnstrata.llm.common import checked_broadcast, free_name, map_batches, pieces, string_column
+from attnstrata.llm.common import checked_broadcast, free_name, freed, map_batches, pieces, string_column
 from attnstrata.llm.components import components
 from attnstrata.llm.wordhash import distinct_sets, mix
 from attnstrata.session import materialize
@@ -35,6 +35,8 @@ from attnstrata.session import materialize
 MATCHES = 8
 #: Sets of a group's part on average, and queries opened against it in one task.
 GROUP_SETS, TASK_QUERIES = 512, 2048
+#: Tokens of these, where sets are large: 16 MB on either side. A set of more is alone.
+TASK_TOKENS = 2 << 20
 #: Tokens that are ordered by their count, last; others by hash. Any number gives the same result.
 COMMON_TOKENS = 1 << 17
 #: Times that a token must occur in one piece of texts to be counted for that order.
@@ -141,6 +143,11 @@ def _tokens(width: int):
     return run
 
 
+def _tasks(sets: int) -> Column:
+    """Tasks for the rows of a group, each of so many sets and ``TASK_TOKENS`` on average."""
+    return F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("n") / TASK_TOKENS))
+
+
 def _tree():
     parent: dict[int, int] = {}
 
@@ -242,7 +249,7 @@ def _compare(docs: DataFrame, targets: DataFrame, width: int, percent: int, repe
     """Links (a, b) found where ``targets`` (doc_id, s, asks, lot, part, chunk) send the documents' sets."""
     rows = _sent(docs, materialize(targets, "targets"), width, repeated)
     found = rows.select("lot", "part", "chunk", "asks", "s", "tokens").groupBy("lot", "part", "chunk").applyInArrow(
-        _open(percent), "a long, b long"
+        freed(_open(percent)), "a long, b long"
     )
     return materialize(found.distinct(), "edges")
 
@@ -250,13 +257,13 @@ def _compare(docs: DataFrame, targets: DataFrame, width: int, percent: int, repe
 def _lots(docs: DataFrame, leads: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
     """(s, lot) of the sets that a first comparison of those beginning with one token connects.
 
-    Up to ``TASK_QUERIES`` sets are compared with each other in one task; more are dealt over several, and the first
-    set of all, the pivot, goes to each of them.
+    Up to ``TASK_QUERIES`` sets of ``TASK_TOKENS`` tokens are compared with each other in one task; more are dealt over several, and
+    the first set of all, the pivot, goes to each of them.
     """
-    sets = leads.select("first", "doc_id", "s")
+    sets = leads.select("first", "doc_id", "s", "n")
     pivots = (
-        sets.groupBy("first").agg(F.min("s").alias("least"), F.count("*").alias("rows")).where("rows > 1")
-        .select("first", "least", F.ceil(F.col("rows") / TASK_QUERIES).alias("chunks"))
+        sets.groupBy("first").agg(F.min("s").alias("least"), F.count("*").alias("rows"), _tasks(TASK_QUERIES).alias("chunks"))
+        .where("rows > 1").select("first", "least", "chunks")
     )
     sets = sets.join(checked_broadcast(pivots, PICK_ROWS), "first")
     pivot = F.col("s") == F.col("least")
@@ -265,18 +272,17 @@ def _lots(docs: DataFrame, leads: DataFrame, width: int, percent: int, repeated:
     )
     targets = materialize(sets.select("doc_id", "s", "first", pivot.alias("pivot"), F.explode(chunk).alias("chunk")), "targets")
     rows = _sent(docs, targets, width, repeated).select("first", "chunk", "pivot", "s", "tokens")
-    found = rows.groupBy("first", "chunk").applyInArrow(_cluster(percent), "s long, lot long")
+    found = rows.groupBy("first", "chunk").applyInArrow(freed(_cluster(percent)), "s long, lot long")
     return materialize(found.distinct(), "lots")
 
 
 def _targets(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Where the sets of ``pairs`` (doc_id, s, lot) and those of the groups they ask meet."""
+    """Where the sets of ``pairs`` (doc_id, s, n, lot) and those of the groups they ask meet."""
     zero = F.lit(0).cast("long")
-    asked = pairs.groupBy("lot").agg(F.ceil(F.count("*") / TASK_QUERIES).alias("chunks"))
-    members = groups.select("doc_id", "s", "lot").join(asked, "lot")
-    parts = members.groupBy("lot").agg(
-        F.ceil(F.count("*") / GROUP_SETS).alias("parts"), F.first("chunks").alias("chunks")
-    )
+    asked = pairs.groupBy("lot").agg(_tasks(TASK_QUERIES).alias("chunks"))
+    members = groups.select("doc_id", "s", "n", "lot").join(asked, "lot")
+    parts = members.groupBy("lot").agg(_tasks(GROUP_SETS).alias("parts"), F.first("chunks").alias("chunks"))
+    members = members.drop("n")
     to_parts = pairs.join(parts, "lot").select(
         "doc_id", "s", F.lit(True).alias("asks"), "lot", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"),
         F.pmod(F.xxhash64("s"), "chunks").alias("chunk"),
@@ -326,11 +332,11 @@ def links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame
         leads = leads.dropDuplicates(["doc_id", "s"])
     leads = materialize(leads, "leads")
     lots = _lots(docs, leads, width, percent, repeated)
-    large = leads.groupBy("first").agg(F.count("*").alias("rows")).where(F.col("rows") > TASK_QUERIES)
-    part = F.coalesce(F.pmod(F.xxhash64("s"), F.ceil(F.col("rows") / GROUP_SETS)), F.lit(0))
+    large = leads.groupBy("first").agg(_tasks(TASK_QUERIES).alias("tasks"), _tasks(GROUP_SETS).alias("rows")).where("tasks > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("s"), F.col("rows")), F.lit(0))
     groups = (
         leads.join(checked_broadcast(lots.withColumnRenamed("lot", "linked"), PICK_ROWS), "s", "left")
-        .join(checked_broadcast(large, PICK_ROWS), "first", "left")
+        .join(checked_broadcast(large.drop("tasks"), PICK_ROWS), "first", "left")
         .withColumn("lot", F.coalesce("linked", F.xxhash64("first", part)))
         # sets of one task were all compared; of more, only those of one lot need not meet again
         .withColumn("done", F.when(F.col("rows").isNull(), F.col("first")).otherwise(F.col("lot")))
@@ -373,7 +379,7 @@ def _candidates(askers: DataFrame, groups: DataFrame, elsewhere, percent: int) -
         .agg(F.count("*").alias("hits"), F.max("n").alias("n"))
         .where(F.col("hits") >= F.least(F.lit(MATCHES), need))
     )
-    return materialize(pairs.select("s", "lot").join(askers.select("s", "doc_id"), "s"), "candidates")
+    return materialize(pairs.select("s", "lot").join(askers.select("s", "doc_id", "n"), "s"), "candidates")
 
 
 def _among_lots(edges: DataFrame, lots: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from attnstrata.session import materialize
 LEAST_LANGUAGE_SCORE = 0.3
 #: Near copies share this many percent of their shingles of so many words. The contract of op10 alone is 3 and 90.
 SHINGLE_WORDS, SHARED_PERCENT = 5, 80
+#: Text in a block of the last stage: half of op3's, as executors still hold what earlier stages have touched.
+BLOCK_BYTES = byte_bpe.BLOCK_BYTES // 2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of all documents."""
-    return byte_bpe.op3(docs)
+    return byte_bpe.op3(docs, BLOCK_BYTES)
 
 
 STAGES = [
@@ -61,6 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the documents that all stages keep.
+
+    Rows without a letter in a known language go, null and empty texts among them; of near copies the smallest id stays, of rows that
+    repeat one; rows with a null id stay unless their language is not found. An empty table gives no rows; extra columns pass through
+    all stages but the last.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
