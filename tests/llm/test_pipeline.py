@@ -35,7 +35,7 @@ def tables(spark, tmp_path_factory):
 
 def grams(text):
     found = [w.lower() for w in (text or "").split()]
-    return frozenset(zip(found, found[1:], found[2:], strict=False)) if len(found) > 2 else frozenset([tuple(found)])
+    return frozenset(zip(*(found[k:] for k in range(5)), strict=False)) if len(found) > 4 else frozenset([tuple(found)])
 
 
 def test_each_stage_against_brute_force(spark, tables):
@@ -52,7 +52,7 @@ def test_each_stage_against_brute_force(spark, tables):
             for _ in sets:
                 for i, a in sets:
                     for j, b in sets:
-                        if 100 * len(a & b) >= 90 * len(a | b):
+                        if 100 * len(a & b) >= 80 * len(a | b):
                             root[i] = root[j] = min(root[i], root[j])
             kept = [r for r in dict.fromkeys(kept) if r[0] is None or root[r[0]] == r[0]]
         elif k == 2:
