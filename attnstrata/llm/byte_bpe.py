@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField
 
-from attnstrata.llm.common import map_batches, pieces, replaced, string_column, with_fields
+from attnstrata.llm.common import give_back, map_batches, pieces, replaced, string_column, with_fields
 from attnstrata.session import scratch_path
 
 #: Bytes of text in a block; one text at least.
@@ -281,6 +281,11 @@ def _join_back(ids_type, finish):
     """Texts of a block from its words' ids; ``finish`` gets the ids of all texts in a row and where each begins."""
 
     def run(block: pa.Table, words: pa.Table) -> pa.Table:
+        out = texts_of(block, words)
+        give_back()
+        return out
+
+    def texts_of(block: pa.Table, words: pa.Table) -> pa.Table:
         row = {n: block[n][0] for n in ("doc_ids", "sizes", "codes", "words", "chunk_sizes")}
         empty = np.zeros(0, dtype=np.int64)
         code = np.concatenate([empty, *(np.cumsum(_unpack(x)) for x in words["word_codes"].to_pylist())])
@@ -296,10 +301,12 @@ def _join_back(ids_type, finish):
         cuts = ends[np.r_[0, np.cumsum(np.array(row["sizes"].as_py(), dtype=np.int64))]]
         ids = np.empty(int(ends[-1]), dtype=np.int32)
         for a in range(0, len(codes), _SLICE):
-            part = codes[a : a + _SLICE]
-            ids[ends[a] : ends[a + len(part)]] = _gather(chunk_ids, chunk_sizes, part)[0]
+            b = min(a + _SLICE, len(codes))
+            ids[ends[a] : ends[b]] = _gather(chunk_ids, chunk_sizes, codes[a:b])[0]
         del codes, ends
-        return finish(pa.array(row["doc_ids"].as_py(), pa.int64()), ids, cuts)
+        doc_ids = pa.array(row["doc_ids"].as_py(), pa.int64())
+        del row, flat, lengths, content, chunk_words, chunk_ids, word_sizes, chunk_sizes, code
+        return finish(doc_ids, ids, cuts)
 
     return run
 

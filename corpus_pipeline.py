@@ -18,8 +18,8 @@ from attnstrata.session import materialize
 LEAST_LANGUAGE_SCORE = 0.3
 #: Near copies share this many percent of their shingles of so many words. The contract of op10 alone is 3 and 90.
 SHINGLE_WORDS, SHARED_PERCENT = 5, 80
-#: Text in a block of the last stage: half of op3's, as executors still hold what earlier stages have touched.
-BLOCK_BYTES = byte_bpe.BLOCK_BYTES // 2
+#: Text in a block of the last stage: a quarter of op3's, as executors still hold what earlier stages have touched.
+BLOCK_BYTES = byte_bpe.BLOCK_BYTES // 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
