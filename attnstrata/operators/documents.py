@@ -26,6 +26,10 @@ BLOCK_FACTS = 10_000
 BROADCAST_BLOCKS = 32
 #: Bytes of finished documents that one partition is meant to hold.
 PARTITION_BYTES = 64 << 20
+#: Rows and bytes of token lists that are broadcast.
+LIST_ROWS, LIST_BYTES = 2_000_000, 64 << 20
+#: A token with one such part of all rows is frequent; so many tokens can be, at most.
+TOKEN_SHARE = 1_000
 
 
 def _known(form: Column, template: Column) -> Column:
@@ -188,24 +192,117 @@ def lexical_pairs(
     text_col: str = "text",
     at_least: int = fixed.MIN_SHARED_TOKENS,
 ) -> DataFrame:
-    """Question-candidate pairs sharing enough distinct content tokens.
+    """(question, candidate, n_shared): pairs sharing enough distinct content tokens. An id names one row.
 
-    Meets on tokens, never on all pairs. Shared tokens are counted before the
-    shuffle: a question's tokens lie in one input partition, so with a candidate
-    side of checked size each pair leaves its task as a single row.
+    Meets on tokens, never on all pairs. Candidates are listed under their rarer tokens only: of
+    ``at_least`` shared tokens one is always outside a candidate's ``at_least - 1`` most common ones,
+    so a token that every text has lists nobody. Those common ones are looked up for pairs that met.
+
+    Lists of checked rows and bytes are broadcast, and each pair leaves its task as a single row. Longer
+    lists are joined by a shuffle, where lists and questions of common tokens are spread over parts.
     """
-    def tokens(df, key):
-        return df.select(
-            F.col(key), F.explode(text.content_tokens(F.col(text_col))).alias("token")
+    asked = questions.select(
+        F.col(question_id).alias("_q"), text.content_tokens(F.col(text_col)).alias("_tokens")
+    )
+    lists = materialize(_token_lists(candidates, candidate_id, text_col, at_least), "token-lists")
+    size = lists.agg(F.count(F.lit(1)), F.sum(F.octet_length("token") + F.length(F.to_json("_common")))).first()
+    if size[0] <= LIST_ROWS and (size[1] or 0) <= LIST_BYTES:
+        common = F.size(F.filter("_common", lambda t: F.array_contains("_tokens", t)))
+        counted = (
+            asked.select("_q", "_tokens", F.explode("_tokens").alias("token"))
+            .join(F.broadcast(lists), "token")
+            .select("_q", "_c", common.alias("n_common"))
+            .groupBy("_q", "_c")
+            .agg((F.count(F.lit(1)) + F.max("n_common")).alias("n_shared"))
         )
+    else:
+        counted = _shared_by_shuffle(asked.select("_q", F.explode("_tokens").alias("token")), lists)
+    return counted.filter(F.col("n_shared") >= at_least).select(
+        F.col("_q").alias(question_id), F.col("_c").alias(candidate_id), "n_shared"
+    )
 
-    return (
-        tokens(questions, question_id)
-        .join(broadcast_if_small(tokens(candidates, candidate_id), 2_000_000), "token")
-        .groupBy(question_id, candidate_id)
-        .agg(F.count(F.lit(1)).alias("n_shared"))
-        .filter(F.col("n_shared") >= at_least)
+
+def _frequent(rows: DataFrame, name: str) -> DataFrame:
+    """(token_hash, ``name``) of tokens with at least one ``TOKEN_SHARE``th of all rows, so at most that
+    many: how many times that share they hold.
+    """
+    uses = rows.groupBy(F.xxhash64("token").alias("token_hash")).agg(F.count(F.lit(1)).alias("uses"))
+    least = max(1, math.ceil(rows.count() / TOKEN_SHARE))
+    return uses.where(F.col("uses") >= least).select(
+        "token_hash", F.ceil(F.col("uses") / F.lit(least)).cast("int").alias(name)
+    )
+
+
+def _token_lists(candidates: DataFrame, candidate_id: str, text_col: str, at_least: int) -> DataFrame:
+    """(token, _c, _common): each candidate under all its tokens but the ``at_least - 1`` most frequent, which
+    are ``_common``. Frequencies below a share that few tokens reach count alike; any order that all candidates
+    share is right.
+    """
+    tokens = candidates.select(F.col(candidate_id).alias("_c"), text.content_tokens(F.col(text_col)).alias("tokens"))
+    rows = tokens.where(F.size("tokens") >= at_least).select("_c", F.explode("tokens").alias("token"))
+    ranked = (
+        rows.withColumn("token_hash", F.xxhash64("token"))
+        .join(F.broadcast(_frequent(rows, "uses")), "token_hash", "left")
+        .groupBy("_c")
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "token"))).alias("ranked"))
+        .select("_c", F.transform("ranked", lambda x: x["token"]).alias("ranked"), (F.size("ranked") - at_least + 1).alias("n"))
+    )
+    rare = F.slice("ranked", F.lit(1), F.col("n"))
+    common = F.slice("ranked", F.col("n") + 1, F.lit(at_least - 1))
+    return ranked.select(F.explode(rare).alias("token"), "_c", common.alias("_common"))
+
+
+def _shared_by_shuffle(asked: DataFrame, lists: DataFrame) -> DataFrame:
+    """(_q, _c, n_shared) with both sides shuffled by token; a frequent token's rows are spread over as many parts
+    as it holds shares, and meet the other side's parts in a grid.
+    """
+    asked = materialize(asked, "question-tokens")
+    grid = _frequent(asked, "q_parts").join(_frequent(lists, "c_parts"), "token_hash", "full").select(
+        "token_hash", F.coalesce("q_parts", F.lit(1)).alias("q_parts"), F.coalesce("c_parts", F.lit(1)).alias("c_parts")
+    )
+
+    def spread(rows, key, own, other):
+        parts = {c: F.coalesce(f"{c}_parts", F.lit(1)) for c in (own, other)}
+        return (
+            rows.withColumn("token_hash", F.xxhash64("token"))
+            .join(F.broadcast(grid), "token_hash", "left")
+            .withColumn(f"{own}_part", F.pmod(F.xxhash64(key), parts[own]).cast("int"))
+            .withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), parts[other] - 1)))
+            .drop("token_hash", "q_parts", "c_parts")
+        )
+
+    met = (
+        spread(asked, "_q", "q", "c")
+        .join(spread(lists, "_c", "c", "q"), ["token", "q_part", "c_part"])
+        .groupBy("_q", "_c")
+        .agg(F.count(F.lit(1)).alias("n"), F.any_value("_common").alias("_common"))
+    )
+    met = materialize(met, "met-pairs")
+    common = (
+        met.select("_q", "_c", F.explode("_common").alias("token")).join(asked, ["_q", "token"])
+        .groupBy("_q", "_c").agg(F.count(F.lit(1)).alias("n_common"))
+    )
+    return met.join(common, ["_q", "_c"], "left").select(
+        "_q", "_c", (F.col("n") + F.coalesce("n_common", F.lit(0))).alias("n_shared")
+    )
+
+
+def lexical_distractors(
+    questions: DataFrame,
+    candidates: DataFrame,
+    *,
+    question_id: str,
+    candidate_id: str,
+    text_col: str = "text",
+    at_least: int = fixed.MIN_SHARED_TOKENS,
+    n: int = fixed.N_ADVERSARIAL,
+    seed: str = "adversarial",
+) -> DataFrame:
+    """The first ``n`` candidates of each question, in seeded order, among those that ``lexical_pairs`` finds."""
+    pairs = lexical_pairs(
+        questions, candidates, question_id=question_id, candidate_id=candidate_id, text_col=text_col, at_least=at_least
     )
+    return take_distractors(pairs, keys=[question_id], candidate=candidate_id, n=n, seed=seed)
 
 
 def take_distractors(

@@ -1,5 +1,7 @@
 """Assembly and injection: placement, policies, catalogue blocks, grading."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,12 +178,42 @@ def test_grading(spark):
     assert got == {"a": ("  The Paris.", False), "b": ("Rome Rome", True)}
 
 
-def test_lexical_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("rows", [2_000_000, 0])
+@pytest.mark.parametrize("at_least", [1, 2, 3])
+def test_lexical_pairs_equal_brute_force(spark, monkeypatch, rows, at_least):
+    """By broadcast lists and by shuffle, with a word that every text has."""
+    monkeypatch.setattr(documents, "LIST_ROWS", rows)
+    monkeypatch.setattr(documents, "TOKEN_SHARE", 40)
     words = "alpha beta gamma delta omega tiny a of".split()
-    docs = [(i, " ".join(words[j] for j in range(8) if (i * 37 >> j) & 1)) for i in range(30)]
-    q = spark.createDataFrame(docs, "q int, text string").repartition(3)
-    c = spark.createDataFrame(docs, "c int, text string")
+    docs = [(i, " ".join(["common", *(words[j] for j in range(8) if (i * 37 >> j) & 1)])) for i in range(30)]
+    q = spark.createDataFrame([*docs, (98, None), (99, "")], "q int, text string").repartition(3)
+    c = spark.createDataFrame([*docs, (98, None), (99, "")], "c int, text string")
     sets = {i: {w for w in t.split() if len(w) > 3} for i, t in docs}
-    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if len(sets[a] & sets[b]) >= 2}
-    got = {tuple(r) for r in documents.lexical_pairs(q, c, question_id="q", candidate_id="c").collect()}
-    assert got == want
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if len(sets[a] & sets[b]) >= at_least}
+    got = documents.lexical_pairs(q, c, question_id="q", candidate_id="c", at_least=at_least).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_lexical_pairs_of_empty_tables(spark):
+    q = spark.createDataFrame([(1, "alpha beta")], "q int, text string")
+    c = q.withColumnRenamed("q", "c")
+    for a, b in ((q.limit(0), c), (q, c.limit(0))):
+        assert documents.lexical_pairs(a, b, question_id="q", candidate_id="c").count() == 0
+
+
+def test_a_word_of_all_candidates_lists_nobody(spark):
+    """The rarer tokens are listed, and a frequent token of the shuffled join lies in several parts."""
+    c = spark.createDataFrame([(i, f"common word{i % 7} name{i}") for i in range(200)], "c int, text string")
+    lists = documents._token_lists(c, "c", "text", 2)
+    assert lists.where("token = 'common'").count() == 0 and lists.count() == 400
+    asked = c.selectExpr("c as _q", "explode(split(text, ' ')) as token")
+    parts = documents._frequent(asked, "parts").collect()
+    assert max(r["parts"] for r in parts) > 100 and len(parts) <= documents.TOKEN_SHARE
+
+
+def test_lexical_distractors_are_the_first_in_order(spark):
+    c = spark.createDataFrame([(i, f"common shared name{i}") for i in range(20)], "c int, text string")
+    q = spark.createDataFrame([(7, "common shared other")], "q int, text string")
+    got = documents.lexical_distractors(q, c, question_id="q", candidate_id="c", n=3).collect()
+    order = sorted(range(20), key=lambda i: hashlib.sha256(f"adversarial:7|{i}".encode()).hexdigest())
+    assert {r["c"] for r in got} == set(order[:3]) and {r["n_shared"] for r in got} == {2}

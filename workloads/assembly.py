@@ -223,6 +223,32 @@ def j06(spark, sf):
     )
 
 
+SQL_PAIRS = f"""d AS (SELECT doc_id, unnest({v.sql_content_tokens("text || ' everywhere'")}) AS token FROM documents),
+    b AS (SELECT item_id, unnest({v.sql_content_tokens("text || ' everywhere'")}) AS token FROM benchmark),
+    pairs AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (token) GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+def _with_common_word(spark, sf):
+    """Documents and benchmark items with one word that all of them have."""
+    everywhere = F.concat("text", F.lit(" everywhere"))
+    return table(spark, sf, "documents").withColumn("text", everywhere), table(spark, sf, "benchmark").withColumn("text", everywhere)
+
+
+@query("j06_common_word", f"WITH {SQL_PAIRS} SELECT doc_id, item_id, n_shared FROM pairs")
+def j06_common_word(spark, sf):
+    return documents.lexical_pairs(*_with_common_word(spark, sf), question_id="doc_id", candidate_id="item_id")
+
+
+@query(
+    "j06_lexical_distractors",
+    f"""WITH {SQL_PAIRS} SELECT doc_id, item_id, n_shared FROM pairs
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sha256('adversarial:' || doc_id || '|' || item_id), item_id) <= 3""",
+)
+def j06_lexical_distractors(spark, sf):
+    found = documents.lexical_distractors(*_with_common_word(spark, sf), question_id="doc_id", candidate_id="item_id")
+    return found.drop("position")
+
+
 @query(
     "j07_first_fact",
     f"""WITH {v.SQL_FACTS}, {v.SQL_PLAN} SELECT plan_id, coalesce((SELECT arg_min(f.subject, f.fact_id)
