@@ -207,9 +207,11 @@ def lexical_pairs(
     lists = materialize(_token_lists(candidates, candidate_id, text_col, at_least), "token-lists")
     size = lists.agg(F.count(F.lit(1)), F.sum(F.octet_length("token") + F.length(F.to_json("_common")))).first()
     if size[0] <= LIST_ROWS and (size[1] or 0) <= LIST_BYTES:
-        common = F.size(F.filter("_common", lambda t: F.array_contains("_tokens", t)))
+        # a question carries those of its tokens that are common ones of some candidate: few, as frequent tokens repeat
+        names = lists.select(F.explode("_common").alias("t")).agg(F.collect_set("t")).scalar()
+        common = F.size(F.array_intersect("_common", "_held"))
         counted = (
-            asked.select("_q", "_tokens", F.explode("_tokens").alias("token"))
+            asked.select("_q", F.array_intersect("_tokens", names).alias("_held"), F.explode("_tokens").alias("token"))
             .join(F.broadcast(lists), "token")
             .select("_q", "_c", common.alias("n_common"))
             .groupBy("_q", "_c")
