@@ -91,6 +91,31 @@ def test_bootstrap_matches_one_replicate_at_a_time(spark, segments):
     assert got["one"]["n_replicates"] == 0 and np.isnan(got["one"]["auroc_ci_lower"])
 
 
+def test_bootstrap_spreads_draws_over_tasks(spark, monkeypatch):
+    """Tasks are dealt by draws, not by the bytes of the rows that make them; many blocks and ranges give what one gives."""
+    rng = random.Random(6)
+    rows = [(f"{k}", "ab"[k % 3 == 0], rng.random() < 0.4, float(rng.randrange(9))) for k in range(240)]
+    df = spark.createDataFrame(rows, "event_id string, bin_id string, is_fail boolean, s double")
+
+    def run(name):
+        spark.sparkContext.setJobGroup(name, name)
+        found = statistics.bootstrap_auroc_ci(df, ["bin_id"], "is_fail", "s", id_col="event_id", replicates=30).orderBy("bin_id").collect()
+        spark.sparkContext.setJobGroup("rest", "rest")
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds]
+        return found, max(s.numTasks for s in stages if s)
+
+    whole, _ = run("whole")
+    monkeypatch.setattr(statistics, "TASK_DRAWS", 120, raising=False)
+    monkeypatch.setattr(statistics, "HELD_DRAWS", 60, raising=False)
+    monkeypatch.setattr(statistics, "INDEX_BLOCK", 16, raising=False)
+    monkeypatch.setattr(statistics, "RANGE_ROWS", 20, raising=False)
+    monkeypatch.setattr(statistics, "REPLICATE_BLOCK", 7)
+    parts, tasks = run("parts")
+    assert parts == whole
+    assert tasks == 60  # 240 rows x 30 replicates / 120
+
+
 def test_small_comparisons(spark):
     a = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "event_id int, x int")
     b = spark.createDataFrame([(1, 5), (3, 6)], "event_id int, x int")
