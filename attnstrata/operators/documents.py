@@ -310,9 +310,9 @@ def lexical_distractors(
 def take_distractors(
     pairs: DataFrame, *, keys: list[str], candidate: str, n: int, seed: str = "distractor"
 ) -> DataFrame:
-    """The first ``n`` candidates of each group in seeded order."""
+    """The first ``n`` candidates of each group in seeded order; the pairs are found once and stored, as they are read twice."""
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, candidate]])
-    ordered = pairs.withColumn("_order", ids.order_key(seed, key))
+    ordered = materialize(pairs, "pairs").withColumn("_order", ids.order_key(seed, key))
     return with_position(
         ordered, keys, ["_order", candidate], segment=hash_segment("_order"), limit=n
     ).drop("_order")

@@ -116,6 +116,33 @@ def test_bootstrap_spreads_draws_over_tasks(spark, monkeypatch):
     assert tasks == 60  # 240 rows x 30 replicates / 120
 
 
+def test_distractors_read_their_pairs_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(x):
+        calls.add(1)
+        return x
+
+    pairs = spark.createDataFrame([(q, c) for q in range(5) for c in range(8)], "q int, c int")
+    found = documents.take_distractors(pairs.withColumn("c", seen.asNondeterministic()("c")), keys=["q"], candidate="c", n=3)
+    assert found.groupBy("q").count().where("count = 3").count() == 5
+    assert calls.value == 40
+
+
+def test_lexical_pairs_with_several_common_tokens(spark):
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(12)]
+    text = lambda: " ".join(["everywhere", "always", *rng.choices(words, k=rng.randrange(6))])
+    q = spark.createDataFrame([(i, text()) for i in range(30)] + [(30, None), (31, "")], "q int, text string")
+    c = spark.createDataFrame([(i, text()) for i in range(20)] + [(20, None), (21, "always")], "c int, text string")
+    sets = lambda df: {r[0]: set((r[1] or "").split()) for r in df.collect()}
+    for least in (1, 2, 3, 4):
+        wanted = sorted((i, j, len(a & b)) for i, a in sets(q).items() for j, b in sets(c).items() if len(a & b) >= least)
+        got = documents.lexical_pairs(q, c, question_id="q", candidate_id="c", at_least=least)
+        assert sorted(map(tuple, got.collect())) == wanted
+
+
 def test_small_comparisons(spark):
     a = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "event_id int, x int")
     b = spark.createDataFrame([(1, 5), (3, 6)], "event_id int, x int")
