@@ -1,11 +1,14 @@
 """Nested attention graphs, the sweep over k, and the bootstrap in one pass, against plain computations."""
 
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from attnstrata.functions import digests
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.operators import compare, documents, graph, statistics
 
@@ -156,3 +159,22 @@ def test_small_comparisons(spark):
     assert rows(documents.running_words(s, ["doc_id"], "pos").select("doc_id", "pos", "placed")) == [(1, 0, 0), (1, 1, 2), (1, 2, 3), (2, 5, 0)]
     assert rows(documents.shuffle_tail(s, ["doc_id"], -F.col("pos"))) == [(1, " c a b"), (2, "d")]
     assert fixed.SWEEP_K
+
+
+def test_draws_are_hashed_in_whole_arrays_as_one_by_one(monkeypatch):
+    first, second = np.arange(0, 1100, 9), np.array([0, 9, 10, 123456, 99, 100000, 7])
+    # heads of one block of the hash, at its border, and beyond it
+    for head in (b"bootstrap:en|", b"", "straße|".encode(), b"x" * 44, b"x" * 45, b"x" * 60):
+        wanted = [[int(hashlib.sha1(head + f"{r}|{i}".encode()).hexdigest()[:16], 16) for r in first] for i in second]
+        for held in (1, 200, 1 << 15):
+            assert digests.pair_numbers(head, first, second, held).tolist() == wanted
+    # texts of one block make no object for each
+    monkeypatch.setattr(digests.hashlib, "sha1", None)
+    assert digests.pair_numbers(b"bootstrap:en|", first, second).shape == (len(second), len(first))
+
+
+def test_bootstrap_hashes_no_draw_by_itself(spark, monkeypatch):
+    rows = pa.table({"g": ["a"] * 50, "_i": pa.array(range(50), pa.int64()), "_n": pa.array([50] * 50, pa.int64()), "_text": ["a|"] * 50})
+    monkeypatch.setattr(hashlib, "sha1", None)
+    packed = pa.Table.from_batches(statistics._packed_draws(["g"], 20, "bootstrap")(iter(rows.to_batches())))
+    assert sum(len(x) for x in packed["_offsets"].to_pylist()) == 50 * 20 * 2
