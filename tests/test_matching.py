@@ -1,5 +1,6 @@
 """Balance, allocation and tier rules."""
 
+import collections
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from attnstrata.operators import matching
 from attnstrata.operators.positions import hash_segment, with_position
 from attnstrata.functions import ids
+from workloads import matching as match_queries
 
 SCHEMA = "event_id string, bin_id string, cem_stratum_id string, is_fail boolean"
 
@@ -125,3 +127,19 @@ def test_handcheck_takes_all_of_a_small_set(spark):
     e = pool(spark, {"a": (3, 3)})
     assert matching.handcheck_sample(e, 50).count() == 6
     assert matching.handcheck_sample(e, 4).count() == 4
+
+
+def test_sampled_lines_are_joined_once(spark, tmp_path):
+    rng = random.Random(3)
+    orders = [(k, rng.choice(["1-URGENT", "5-LOW"])) for k in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(rng.randrange(60), i, i % 7, 1, 5.0, 0.02, 10.0 * i, "O", rng.choice("RA")) for i in range(400)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double"
+    spark.createDataFrame(lines, f"{names}, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = match_queries.w03(spark, str(tmp_path))
+    # what is counted and sampled is stored: neither table is read again
+    assert not [f for f in out.inputFiles() if "lineitem" in f or "orders" in f]
+    found = collections.Counter((r["bin_id"], r["is_fail"]) for r in out.collect())
+    pools = collections.Counter((dict(orders)[x[0]], x[-1] == "R") for x in lines)
+    for b in ("1-URGENT", "5-LOW"):
+        assert found[b, True] == found[b, False] == min(pools[b, True], pools[b, False]) // 2

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attnstrata.operators import compare, documents, matching, statistics
 from attnstrata.sources.dataset import write_table
-from attnstrata.session import scratch_path
+from attnstrata.session import materialize, scratch_path
 from workloads import views as v
 from workloads.registry import query, r6, sql_r6, table
 
@@ -105,7 +105,8 @@ def w02(spark, sf):
       ORDER BY sha256('cell:' || event_id), event_id) <= n_matched_pairs // 2""",
 )
 def w03(spark, sf):
-    e = v.line_events(spark, sf)
+    # counted twice and sampled: the join is shuffled once
+    e = materialize(v.line_events(spark, sf), "line-events")
     half = matching.cell_counts(e).select(
         "bin_id", "cem_stratum_id", F.expr("n_matched_pairs div 2").alias("n_take")
     )
