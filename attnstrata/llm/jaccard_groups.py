@@ -15,7 +15,8 @@ group of its partner. The order may be any; tokens found repeatedly in many plac
 lines and passages out of the matrix.
 
 Why large groups of near copies do not square: what the first comparison connects never asks its own group. The first set of each
-group, and unlinked sets, ask first; then the others ask only groups that are not yet in their component. Components
+group, and unlinked sets, ask first; then the others ask only groups that are not yet in their component, and only where their whole group shares enough
+tokens with another. Components
 are sought among groups, not among their sets.
 """
 
@@ -41,6 +42,8 @@ TASK_TOKENS = 2 << 20
 COMMON_TOKENS = 1 << 17
 #: Times that a token must occur in one piece of texts to be counted for that order.
 PIECE_COUNT = 4
+#: Tokens that two lots share, of which each asker is held against all.
+LOT_TOKENS = 1 << 12
 #: Ids (16 bytes a row) that may be broadcast to pick the documents of candidates.
 PICK_ROWS = 1_000_000
 
@@ -358,7 +361,7 @@ def links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame
         .withColumn("lot", F.coalesce("root", "linked", "lot"))
         .withColumn("own", F.col("lot")).withColumn("done", F.col("lot"))
     )
-    pairs = _candidates(merged.where("not speaks"), merged, F.col("own") != F.col("done"), percent)
+    pairs = _candidates_of_lots(merged.where("not speaks"), merged, percent)
     second = _compare(docs, _targets(pairs, merged), width, percent, repeated)
     return sets.select("doc_id", "n", "s"), lots, first.unionByName(second)
 
@@ -382,6 +385,43 @@ def _candidates(askers: DataFrame, groups: DataFrame, elsewhere, percent: int) -
     return materialize(pairs.select("s", "lot").join(askers.select("s", "doc_id", "n"), "s"), "candidates")
 
 
+def _candidates_of_lots(askers: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(s, doc_id, n, lot): other lots than an asking set's ``own`` whose columns share enough leading tokens with it.
+
+    Sets of one lot share most of their tokens, so lots meet first: a token counts once for all askers of a lot. Two lots that share
+    fewer tokens than their smallest asker needs hold no link; an asker is held against what the others share, in one row a lot.
+    """
+    matrix = (
+        groups.select("lot", "n", F.explode(F.slice("probe", F.lit(1), F.col("entry"))).alias("token"))
+        .groupBy("token", "lot").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    )
+    asked = (
+        askers.select("own", "n", F.explode("probe").alias("token"))
+        .groupBy("token", "own").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    )
+    need = F.expr(f"({percent} * n + 99) div 100")
+    least_need = F.expr(f"({percent} * least + 99) div 100")
+    shared = (
+        asked.join(matrix, "token")
+        .where((F.col("own") != F.col("lot")) & (F.col("low") <= F.col("most")) & (F.col("high") >= least_need))
+        .groupBy("own", "lot")
+        .agg(
+            F.count("*").alias("hits"), F.min("least").alias("least"), F.min("low").alias("low"), F.max("high").alias("high"),
+            F.collect_list("token").alias("tokens"),
+        )
+        .where(F.col("hits") >= F.least(F.lit(MATCHES), least_need))
+        # of more, every asker of a fitting size is a candidate
+        .withColumn("tokens", F.when(F.col("hits") <= LOT_TOKENS, F.col("tokens")))
+    )
+    enough = F.size(F.array_intersect("probe", "tokens")) >= F.least(F.lit(MATCHES), need)
+    pairs = (
+        askers.select("s", "doc_id", "n", "own", "probe")
+        .join(checked_broadcast(materialize(shared, "shared").drop("hits", "least"), PICK_ROWS), "own")
+        .where((F.col("low") <= F.col("n")) & (F.col("high") >= need) & (F.col("tokens").isNull() | enough))
+    ).select("s", "doc_id", "n", "lot")
+    return materialize(pairs, "candidates")
+
+
 def _among_lots(edges: DataFrame, lots: DataFrame) -> DataFrame:
     """Edges (a, b) between sets as edges between their lots; an unlinked set is a lot of its own."""
     for end in ("a", "b"):

@@ -10,6 +10,7 @@ import zlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from attnstrata.llm import byte_bpe, byte_cnn, jaccard_groups, language_crf, license_scan, pii_spans, quality_rules, template_leaks
 
@@ -112,6 +113,21 @@ def test_pairs_of_one_least_token_that_no_task_compares_at_first(spark, monkeypa
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_components(list(enumerate(texts)))
 
 
+def test_sets_of_a_lot_meet_other_lots_in_one_row(spark, monkeypatch):
+    """Fifty sets of one lot share five tokens with a lot and nine with another: only the second is a candidate, of those that have them."""
+    rows = [(s, 0, 100, [1, 2, 3, 4, 5, *range(20, 29 - s % 2 * 2)], 8, 1, 1) for s in range(50)]
+    rows += [(60, 0, 100, [1, 2, 3, 4, 5, 70], 6, 2, 2), (61, 0, 100, list(range(20, 29)), 9, 3, 3), (62, 0, 10, list(range(20, 29)), 9, 4, 4)]
+    groups = spark.createDataFrame(rows, "s long, doc_id long, n long, probe array<long>, entry int, own long, lot long").withColumn("done", F.col("lot"))
+    askers = groups.where("s < 50")
+    before = jaccard_groups._candidates(askers, groups, F.col("own") != F.col("done"), 80)
+    wanted = sorted((r["s"], r["lot"]) for r in before.collect())
+    assert wanted == [(s, 3) for s in range(0, 50, 2)]
+    for limit in (1 << 12, 2):  # with a longer list of shared tokens than the limit, all of a fitting size are candidates
+        monkeypatch.setattr(jaccard_groups, "LOT_TOKENS", limit)
+        got = sorted((r["s"], r["lot"]) for r in jaccard_groups._candidates_of_lots(askers, groups, 80).collect())
+        assert got == (wanted if limit > 2 else [(s, 3) for s in range(50)])
+
+
 def test_keep_one_keeps_whole_rows(spark):
     docs = documents(spark, ["a b c d", "A b c d", None, "", "a b c d", "z"], [5, 2, 9, 10, 2, None])
     kept = jaccard_groups.keep_one(docs)
