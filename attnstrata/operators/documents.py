@@ -117,7 +117,7 @@ def _merge_picks(df: DataFrame, n_blocks: int, picks: str, size: Column) -> Data
         df.groupBy("_row")
         .agg(
             *[F.any_value(c).alias(c) for c in others],
-            F.array_sort(F.flatten(F.collect_list(picks))).alias(picks),
+            F.sort_array(F.flatten(F.collect_list(picks))).alias(picks),
         )
         .withColumn(picks, F.slice(F.col(picks), F.lit(1), size))
     )
@@ -339,12 +339,12 @@ def assemble_documents(
     pools, n_blocks, pool_bytes = _blocks(sentences, block_facts)
     per_template = sentences.groupBy("template_id").agg(F.count(F.lit(1)).alias("_own"))
     n_all = sentences.agg(F.count(F.lit(1)).alias("n")).scalar()
-    seed = F.concat(F.lit("distractor:"), F.col("plan_id").cast("string"), F.lit(":"))
-    tail_seed = F.concat(F.lit("tail:"), F.col("plan_id").cast("string"), F.lit(":"))
+    # made once a row, before rows are spread, and not for every fact
+    seeds = {f"_{s}": F.concat(F.lit(f"{s}:"), F.col("plan_id").cast("string"), F.lit(":")) for s in ("distractor", "tail")}
 
     def pick(x):
         return F.struct(
-            F.sha2(F.concat(seed, x["fact_id"].cast("string")), 256).alias("h"),
+            F.sha2(F.concat("_distractor", x["fact_id"].cast("string")), 256).alias("h"),
             x["fact_id"].alias("fact_id"),
             x["statement"].alias("statement"),
             x["n_words"].alias("n_words"),
@@ -363,11 +363,12 @@ def assemble_documents(
                 ).cast("int"),
             ),
         )
+        .withColumns(seeds)
     )
     picked = _with_pool(_spread(base, "plan_id", pool_bytes), pools, n_blocks).withColumn(
         "_picks",
         F.slice(
-            F.array_sort(
+            F.sort_array(
                 F.transform(
                     F.filter("pool", lambda x: x["template_id"] != F.col("template_id")), pick
                 )
@@ -388,12 +389,14 @@ def assemble_documents(
             ),
         ).otherwise(acc),
     )
+    # sentences are joined by a space, so the words of the document are theirs and the evidence's
+    words = F.aggregate("_picks", F.lit(0), lambda n, x: n + F.coalesce(x["n_words"], F.lit(0)))
     tail = F.transform(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.slice(F.col("_picks"), F.col("_placed.n") + 1, F.size("_picks")),
                 lambda x: F.struct(
-                    F.sha2(F.concat(tail_seed, x["fact_id"].cast("string")), 256).alias("h"),
+                    F.sha2(F.concat("_tail", x["fact_id"].cast("string")), 256).alias("h"),
                     x["statement"].alias("statement"),
                 ),
             )
@@ -409,6 +412,7 @@ def assemble_documents(
 
     built = (
         picked.withColumn("_placed", placed)
+        .withColumn("_words", F.coalesce(words, F.lit(0)))
         .withColumn("_evidence", evidence)
         .withColumn("question", question)
         .withColumn(
@@ -420,7 +424,8 @@ def assemble_documents(
         )
         .withColumn(
             "evidence_distance_tokens",
-            text.count_word_tokens(F.col("document"))
+            F.col("_words")
+            + text.count_word_tokens(F.col("_evidence"))
             + text.count_word_tokens(F.col("question"))
             + prompt_tail_words
             - F.col("evidence_position_token_idx"),

@@ -217,3 +217,22 @@ def test_lexical_distractors_are_the_first_in_order(spark):
     got = documents.lexical_distractors(q, c, question_id="q", candidate_id="c", n=3).collect()
     order = sorted(range(20), key=lambda i: hashlib.sha256(f"adversarial:7|{i}".encode()).hexdigest())
     assert {r["c"] for r in got} == set(order[:3]) and {r["n_shared"] for r in got} == {2}
+
+
+def test_words_of_the_document_are_those_of_its_sentences(spark, catalogue, plan, monkeypatch):
+    """Words are counted per fact, not again in each long document; odd spaces and letters included."""
+    counted = []
+    count = documents.text.count_word_tokens
+    monkeypatch.setattr(documents.text, "count_word_tokens", lambda c: counted.append(str(c)) or count(c))
+    odd = ["a b", " ", "", "ß\x1fü", "x\u0085y", "  two  words ", "日本　語", "plain"]
+    facts = spark.createDataFrame(
+        [(200 + i, "job", s, odd[-i - 1]) for i, s in enumerate(odd)] + [(300, "job", None, "clerk")], catalogue[1].schema
+    )
+    plain = plan.where("plan_id % 3 = 0").withColumn("subject", F.concat(F.lit("a b\u0085 "), "subject"))
+    out = documents.assemble_documents(plain, catalogue[0], catalogue[1].where("template_id = 'home'").unionByName(facts)).collect()
+    assert len(out) == 11 and not [c for c in counted if "document" in c]
+    for r in out:
+        words = len(r["document"].split()) + len(r["question"].split()) + 3
+        if r["evidence_distance_tokens"] is not None:
+            assert r["evidence_distance_tokens"] == words - r["evidence_position_token_idx"]
+    assert sum(r["evidence_distance_tokens"] is not None for r in out) >= 5
