@@ -15,9 +15,8 @@ group of its partner. The order may be any; tokens found repeatedly in many plac
 lines and passages out of the matrix.
 
 Why large groups of near copies do not square: what the first comparison connects never asks its own group. The first set of each
-group, and unlinked sets, ask first; then the others ask only groups that are not yet in their component, and only where their whole group shares enough
-tokens with another. Components
-are sought among groups, not among their sets.
+group, and unlinked sets, ask first; then the others ask only groups that are not yet in their component. In both passes groups meet on tokens before
+their sets do, and sets ask only where their whole group shares enough tokens with another. Components are sought among groups, not among their sets.
 """
 
 from __future__ import annotations
@@ -40,8 +39,9 @@ GROUP_SETS, TASK_QUERIES = 512, 2048
 TASK_TOKENS = 2 << 20
 #: Tokens that are ordered by their count, last; others by hash. Any number gives the same result.
 COMMON_TOKENS = 1 << 17
-#: Times that a token must occur in one piece of texts to be counted for that order.
-PIECE_COUNT = 4
+#: Times that a token must occur in one piece of texts to be counted there for that order. Tokens of one set in so many are counted wherever
+#: they occur, as so many each: a token that is frequent only over all pieces is found too, however small the pieces are.
+PIECE_COUNT, COUNTED_SETS = 4, 32
 #: Tokens that two lots share, of which each asker is held against all.
 LOT_TOKENS = 1 << 12
 #: Ids (16 bytes a row) that may be broadcast to pick the documents of candidates.
@@ -72,7 +72,12 @@ def _describe(width: int):
                 sets = distinct_sets(string_column(piece, "text"), width)
                 marks = [_signature(x) if len(x) else (0, 0) for x in sets]
                 found, times = np.unique(np.concatenate(sets), return_counts=True)
-                often = times >= PIECE_COUNT
+                drawn = [x for x, m in zip(sets, marks, strict=True) if m[0] % COUNTED_SETS == 0]
+                drawn, drawn_times = np.unique(np.concatenate([*drawn, found[:0]]), return_counts=True)
+                estimate = np.zeros_like(times)
+                estimate[np.searchsorted(found, drawn)] = COUNTED_SETS * drawn_times
+                times = np.where(times >= PIECE_COUNT, times, estimate)
+                often = times > 0
                 ids = piece.column(piece.schema.get_field_index("doc_id"))
                 k = int(often.sum())
                 yield pa.RecordBatch.from_arrays(
@@ -347,10 +352,7 @@ def links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame
         .withColumn("speaks", F.col("linked").isNull() | (F.col("linked") == F.col("s")))
     )
     # the first set of each lot, and unlinked sets, ask for all
-    # a token that the asker has entered and that has one owner is its own; one it only asks with is another set's
-    itself = (F.col("own") == F.bitwise_not("done")) & (F.col("owners") == 1) & (F.col("at") < F.col("entry"))
-    askers = groups.where("speaks")
-    pairs = _candidates(askers, groups, (F.col("own") != F.col("done")) & ~itself, percent)
+    pairs = _candidates_of_lots(groups.where("speaks"), groups, percent)
     first = _compare(docs, _targets(pairs, groups), width, percent, repeated)
     if lots.isEmpty():
         return sets.select("doc_id", "n", "s"), lots, first
@@ -367,7 +369,11 @@ def links(docs: DataFrame, width: int = 3, percent: int = 90) -> tuple[DataFrame
 
 
 def _candidates(askers: DataFrame, groups: DataFrame, elsewhere, percent: int) -> DataFrame:
-    """(s, doc_id, lot): groups whose matrix columns share enough leading tokens with an asking set."""
+    """(s, doc_id, lot): groups whose matrix columns share enough leading tokens with an asking set.
+
+    The plain form, a row for a token, asking set and group: where many sets share a token it grows with the square of their number.
+    Tests hold ``_candidates_of_lots`` against it.
+    """
     matrix = (
         groups.select("lot", "done", "n", F.explode(F.slice("probe", F.lit(1), F.col("entry"))).alias("token"))
         .groupBy("token", "lot", "done")
@@ -386,24 +392,27 @@ def _candidates(askers: DataFrame, groups: DataFrame, elsewhere, percent: int) -
 
 
 def _candidates_of_lots(askers: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(s, doc_id, n, lot): other lots than an asking set's ``own`` whose columns share enough leading tokens with it.
+    """(s, doc_id, n, lot): lots that are not ``done`` with an asking set's ``own`` and whose columns share enough leading tokens with it.
 
-    Sets of one lot share most of their tokens, so lots meet first: a token counts once for all askers of a lot. Two lots that share
-    fewer tokens than their smallest asker needs hold no link; an asker is held against what the others share, in one row a lot.
+    Sets of one group share most of their tokens, so groups meet first: a token counts once for all askers of one ``own``. Two groups that
+    share fewer tokens than their smallest asker needs hold no link; an asker is held against what the others share, in one row a lot.
+    A lot whose ``done`` is the complement of ``own`` is asked by its own sets, which all ask: a token with one owner and one asker
+    there is the asker's own.
     """
     matrix = (
-        groups.select("lot", "n", F.explode(F.slice("probe", F.lit(1), F.col("entry"))).alias("token"))
-        .groupBy("token", "lot").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        groups.select("lot", "done", "n", F.explode(F.slice("probe", F.lit(1), F.col("entry"))).alias("token"))
+        .groupBy("token", "lot", "done").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("owners"))
     )
     asked = (
         askers.select("own", "n", F.explode("probe").alias("token"))
-        .groupBy("token", "own").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        .groupBy("token", "own").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("askers"))
     )
     need = F.expr(f"({percent} * n + 99) div 100")
     least_need = F.expr(f"({percent} * least + 99) div 100")
+    itself = (F.col("own") == F.bitwise_not("done")) & (F.col("owners") == 1) & (F.col("askers") == 1)
     shared = (
         asked.join(matrix, "token")
-        .where((F.col("own") != F.col("lot")) & (F.col("low") <= F.col("most")) & (F.col("high") >= least_need))
+        .where((F.col("own") != F.col("done")) & (F.col("low") <= F.col("most")) & (F.col("high") >= least_need) & ~itself)
         .groupBy("own", "lot")
         .agg(
             F.count("*").alias("hits"), F.min("least").alias("least"), F.min("low").alias("low"), F.max("high").alias("high"),

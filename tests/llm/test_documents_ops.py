@@ -128,6 +128,43 @@ def test_sets_of_a_lot_meet_other_lots_in_one_row(spark, monkeypatch):
         assert got == (wanted if limit > 2 else [(s, 3) for s in range(50)])
 
 
+def test_a_token_of_many_small_pieces_is_counted():
+    """Texts that come one by one give no piece with a token four times; a passage that all have is found common nevertheless."""
+    rng = random.Random(4)
+    texts = [" ".join([*(f"w{rng.randrange(10**9)}" for _ in range(6)), "the", "very", "same", "passage"]) for _ in range(1000)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "text": pa.array([t])}) for i, t in enumerate(texts)]
+    found = pa.Table.from_batches(jaccard_groups._describe(3)(iter(batches))).to_pydict()
+    assert [d for d in found["doc_id"] if d is not None] == list(range(1000))
+    times = {}
+    for token, n in zip(found["token"], found["times"], strict=True):
+        if token is not None:
+            times[token] = times.get(token, 0) + n
+    passage = {int(t) for t in jaccard_groups.distinct_sets(pa.array(["the very same passage"]), 3)[0].astype("int64")}
+    assert set(sorted(times, key=times.get)[-2:]) == passage and 300 < min(times[t] for t in passage) < 3000
+
+
+def test_unlinked_sets_of_a_group_ask_their_own_group_together(spark):
+    """Sets of a group that was dealt over several tasks meet it by tokens that others of them have, not by what only they have."""
+    ends = [range(10, 18), range(10, 18), range(30, 38), range(40, 48)]
+    rows = [(s, s, 100, [1, 2, *end], 10, ~7, 7) for s, end in enumerate(ends)]
+    rows += [(9, 9, 100, [*range(40, 48), 90], 9, 8, 8)]
+    groups = spark.createDataFrame(rows, "s long, doc_id long, n long, probe array<long>, entry int, own long, lot long").withColumn("done", F.col("lot"))
+    got = sorted((r["s"], r["lot"]) for r in jaccard_groups._candidates_of_lots(groups, groups, 80).collect())
+    assert got == [(0, 7), (1, 7), (3, 8), (9, 7)]
+
+
+def test_both_passes_meet_by_groups(spark, monkeypatch):
+    def plain(*_):
+        raise AssertionError("a row for each token, set and group")
+
+    monkeypatch.setattr(jaccard_groups, "_candidates", plain)
+    monkeypatch.setattr(jaccard_groups, "TASK_QUERIES", 2)
+    monkeypatch.setattr(jaccard_groups, "GROUP_SETS", 2)
+    rows = list(enumerate([t for size in (20, 60) for t in family(random.Random(size), size, 5)]))
+    got = jaccard_groups.jaccard_components(documents(spark, [t for _, t in rows]))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_components(rows)
+
+
 def test_keep_one_keeps_whole_rows(spark):
     docs = documents(spark, ["a b c d", "A b c d", None, "", "a b c d", "z"], [5, 2, 9, 10, 2, None])
     kept = jaccard_groups.keep_one(docs)
