@@ -14,13 +14,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from attnstrata.functions import bins, ids, text
 from attnstrata.functions import fixed_values as fixed
 from attnstrata.operators.positions import hash_segment, with_position
-from attnstrata.session import broadcast_if_small, materialize
+from attnstrata.session import broadcast_if_small, materialize, ship_package
 
 BLOCK_FACTS = 10_000
 BROADCAST_BLOCKS = 32
@@ -30,6 +34,8 @@ PARTITION_BYTES = 64 << 20
 LIST_ROWS, LIST_BYTES = 2_000_000, 64 << 20
 #: A token with one such part of all rows is frequent; so many tokens can be, at most.
 TOKEN_SHARE = 1_000
+#: Listed candidates, and counters of pairs, that a worker holds at once; a question may need more by itself.
+MEETINGS = 1 << 20
 
 
 def _known(form: Column, template: Column) -> Column:
@@ -198,7 +204,7 @@ def lexical_pairs(
     ``at_least`` shared tokens one is always outside a candidate's ``at_least - 1`` most common ones,
     so a token that every text has lists nobody. Those common ones are looked up for pairs that met.
 
-    Lists of checked rows and bytes are broadcast, and each pair leaves its task as a single row. Longer
+    Lists of checked rows and bytes are broadcast, and each question meets them in the task that reads it. Longer
     lists are joined by a shuffle, where lists and questions of common tokens are spread over parts.
     """
     asked = questions.select(
@@ -207,16 +213,7 @@ def lexical_pairs(
     lists = materialize(_token_lists(candidates, candidate_id, text_col, at_least), "token-lists")
     size = lists.agg(F.count(F.lit(1)), F.sum(F.octet_length("token") + F.length(F.to_json("_common")))).first()
     if size[0] <= LIST_ROWS and (size[1] or 0) <= LIST_BYTES:
-        # a question carries those of its tokens that are common ones of some candidate: few, as frequent tokens repeat
-        names = lists.select(F.explode("_common").alias("t")).agg(F.collect_set("t")).scalar()
-        common = F.size(F.array_intersect("_common", "_held"))
-        counted = (
-            asked.select("_q", F.array_intersect("_tokens", names).alias("_held"), F.explode("_tokens").alias("token"))
-            .join(F.broadcast(lists), "token")
-            .select("_q", "_c", common.alias("n_common"))
-            .groupBy("_q", "_c")
-            .agg((F.count(F.lit(1)) + F.max("n_common")).alias("n_shared"))
-        )
+        counted = _shared_by_lists(asked, lists, at_least)
     else:
         counted = _shared_by_shuffle(asked.select("_q", F.explode("_tokens").alias("token")), lists)
     return counted.filter(F.col("n_shared") >= at_least).select(
@@ -254,6 +251,108 @@ def _token_lists(candidates: DataFrame, candidate_id: str, text_col: str, at_lea
     return ranked.select(F.explode(rare).alias("token"), "_c", common.alias("_common"))
 
 
+def _packed_lists(lists: DataFrame) -> dict:
+    """The lists as arrays: ``candidates`` by number; ``vocabulary``, the numbers of tokens; candidates of token t at
+    ``starts[t]:starts[t + 1]`` of ``listed``; ``commons``, the numbers that ``common_of`` gives to each candidate's common
+    tokens, filled up with -1.
+    """
+    rows = lists.groupBy("_c").agg(F.collect_list("token").alias("rare"), F.any_value("_common").alias("common")).toArrow()
+    (rare, listed), (common, holder) = (
+        (x.flatten(), pc.list_parent_indices(x).to_numpy()) for x in (rows[c].combine_chunks() for c in ("rare", "common"))
+    )
+    vocabulary = pa.concat_arrays([rare, common]).unique()
+    token = pc.index_in(rare, value_set=vocabulary).to_numpy()
+    names, name = np.unique(pc.index_in(common, value_set=vocabulary).to_numpy(), return_inverse=True)
+    common_of = np.full(len(vocabulary), -1, np.int32)
+    common_of[names] = np.arange(len(names))
+    holder, name = np.unique(np.stack([holder, name]), axis=1)
+    slot = np.arange(len(holder)) - np.searchsorted(holder, holder)
+    commons = np.full((len(rows), slot.max(initial=-1) + 1), -1, np.int32)
+    commons[holder, slot] = name
+    return {
+        "candidates": rows["_c"].combine_chunks(), "vocabulary": vocabulary, "listed": listed[np.argsort(token, kind="stable")],
+        "starts": np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(vocabulary)))]),
+        "common_of": common_of, "names": len(names), "commons": commons,
+    }
+
+
+def _meetings(shared, at_least: int):
+    """Arrow function of (_q, _tokens): (_q, _c, n, n_common) for each row and each candidate listed under ``n`` of its tokens, which
+    also has ``n_common`` of the candidate's common ones; pairs of fewer than ``at_least`` in all are left out.
+    """
+    most = MEETINGS
+
+    def met(lo, hi, row, token, lists):
+        n_candidates = len(lists["candidates"])
+        size = lists["starts"][token + 1] - lists["starts"][token]
+        at = np.arange(size.sum()) + np.repeat(lists["starts"][token] - np.cumsum(size) + size, size)
+        pair = np.repeat((row - lo) * n_candidates, size) + lists["listed"][at]
+        if 8 * len(pair) < (hi - lo) * n_candidates:
+            pair, n = np.unique(pair, return_counts=True)
+        else:
+            counters = np.bincount(pair)
+            pair = np.flatnonzero(counters)
+            n = counters[pair]
+        question, candidate = np.divmod(pair, n_candidates)
+        held = np.zeros((hi - lo, lists["names"] + 1), bool)
+        held[row - lo, lists["common_of"][token]] = True
+        held[:, -1] = False
+        n_common = held[question[:, None], lists["commons"][candidate]].sum(axis=1)
+        kept = n + n_common >= at_least
+        return question[kept] + lo, candidate[kept], n[kept], n_common[kept]
+
+    def run(batches):
+        lists = shared.value
+        rows_at_once = max(1, most // max(1, len(lists["candidates"]), lists["names"]))
+        for batch in batches:
+            tokens = batch.column(1)
+            token = pc.fill_null(pc.index_in(tokens.flatten(), value_set=lists["vocabulary"]), -1).to_numpy()
+            row = pc.list_parent_indices(tokens).to_numpy()
+            row, token = row[token >= 0], token[token >= 0]
+            listed = np.bincount(row, lists["starts"][token + 1] - lists["starts"][token], batch.num_rows)
+            before = np.concatenate([[0], np.cumsum(listed)])
+            lo = 0
+            while lo < batch.num_rows:
+                hi = min(np.searchsorted(before, before[lo] + most, "right") - 1, lo + rows_at_once, batch.num_rows)
+                hi = max(hi, lo + 1)
+                first, last = np.searchsorted(row, [lo, hi])
+                question, candidate, n, n_common = met(lo, hi, row[first:last], token[first:last], lists)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(question)), lists["candidates"].take(pa.array(candidate)),
+                     pa.array(n, pa.int64()), pa.array(n_common, pa.int64())],
+                    names=["_q", "_c", "n", "n_common"],
+                )
+                lo = hi
+
+    return run
+
+
+def _shared_by_lists(asked: DataFrame, lists: DataFrame, at_least: int) -> DataFrame:
+    """(_q, _c, n_shared) with the lists broadcast: all of a question's pairs are counted where it is read, and nothing is shuffled.
+
+    Only rows that share a question's id are counted apart and then summed; their common tokens count once.
+    """
+    spark = asked.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(_packed_lists(lists))
+    schema = StructType([
+        StructField("_q", asked.schema["_q"].dataType), StructField("_c", lists.schema["_c"].dataType),
+        StructField("n", LongType()), StructField("n_common", LongType()),
+    ])
+    again = asked.groupBy("_q").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("_q").alias("_again"))
+    again = materialize(again, "repeated-questions")
+    shared_by = F.col("n") + F.col("n_common")
+    if again.isEmpty():
+        return asked.mapInArrow(_meetings(shared, at_least), schema).select("_q", "_c", shared_by.alias("n_shared"))
+    again, same = broadcast_if_small(again), F.col("_q").eqNullSafe(F.col("_again"))
+    once = asked.join(again, same, "left_anti").mapInArrow(_meetings(shared, at_least), schema)
+    summed = (
+        asked.join(again, same, "left_semi").mapInArrow(_meetings(shared, 0), schema)
+        .groupBy("_q", "_c").agg(F.sum("n").alias("n"), F.max("n_common").alias("n_common"))
+    )
+    return once.unionByName(summed).select("_q", "_c", shared_by.alias("n_shared"))
+
+
 def _shared_by_shuffle(asked: DataFrame, lists: DataFrame) -> DataFrame:
     """(_q, _c, n_shared) with both sides shuffled by token; a frequent token's rows are spread over as many parts
     as it holds shares, and meet the other side's parts in a grid.

@@ -1,8 +1,10 @@
 """Assembly and injection: placement, policies, catalogue blocks, grading."""
 
+import collections
 import hashlib
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from attnstrata.functions import fixed_values as fixed
@@ -219,6 +221,45 @@ def test_lexical_distractors_are_the_first_in_order(spark):
     assert {r["c"] for r in got} == set(order[:3]) and {r["n_shared"] for r in got} == {2}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_listed_pairs_are_counted_where_a_question_is_read(spark, monkeypatch, most):
+    """No pair is shuffled, whatever number of listed candidates is held at once."""
+    monkeypatch.setattr(documents, "MEETINGS", most, raising=False)
+    words = "alpha beta gamma delta omega tiny".split()
+    docs = [(i, " ".join(["common", *(words[j] for j in range(6) if (i * 37 >> j) & 1)])) for i in range(30)]
+    q = spark.createDataFrame([*docs, (98, None), (99, "")], "q int, text string").repartition(3)
+    c = spark.createDataFrame([(f"name{i}", t) for i, t in docs] + [("none", None)], "c string, text string")
+    found = documents.lexical_pairs(q, c, question_id="q", candidate_id="c")
+    assert "Exchange" not in plan_of(found).split("MapInArrow")[0]
+    sets = {i: {w for w in t.split() if len(w) > 3} for i, t in docs}
+    want = {(a, f"name{b}", len(sets[a] & sets[b])) for a in sets for b in sets if len(sets[a] & sets[b]) >= 2}
+    got = found.collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_rows_of_one_question_id_are_summed(spark, monkeypatch, few):
+    """Ids that come once, several times or are null; the common tokens of a pair count once."""
+    monkeypatch.setattr(documents.broadcast_if_small, "__defaults__", (few,))
+    texts = [(1, "alpha beta"), (2, "alpha gamma"), (2, "gamma delta"), (None, "alpha"), (None, "alpha beta"), (3, "omega"), (4, None), (4, "beta")]
+    q = spark.createDataFrame(texts, "q int, text string")
+    c = spark.createDataFrame([(7, "alpha beta gamma"), (8, "delta gamma"), (None, "beta")], "c int, text string")
+    want = collections.Counter()
+    for a, t in texts:
+        for b, u in c.collect():
+            want[a, b] += len({*(t or "").split()} & {*u.split()})
+    got = documents.lexical_pairs(q, c, question_id="q", candidate_id="c", at_least=1).collect()
+    assert sorted(map(str, got)) == sorted(str(Row(q=a, c=b, n_shared=n)) for (a, b), n in want.items() if n)
+    q = spark.createDataFrame([(1, "alpha beta everywhere")] * 2 + [(2, "alpha everywhere")], "q int, text string")
+    c = spark.createDataFrame([(5, "alpha beta everywhere"), (6, "gamma everywhere")], "c int, text string")
+    got = documents.lexical_pairs(q, c, question_id="q", candidate_id="c").collect()
+    assert {tuple(r) for r in got} == {(1, 5, 5), (2, 5, 2)}
+
+
 def test_words_of_the_document_are_those_of_its_sentences(spark, catalogue, plan, monkeypatch):
     """Words are counted per fact, not again in each long document; odd spaces and letters included."""
     counted = []
