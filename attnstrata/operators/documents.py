@@ -409,12 +409,25 @@ def lexical_distractors(
 def take_distractors(
     pairs: DataFrame, *, keys: list[str], candidate: str, n: int, seed: str = "distractor"
 ) -> DataFrame:
-    """The first ``n`` candidates of each group in seeded order; the pairs are found once and stored, as they are read twice."""
+    """The first ``n`` candidates of each group in seeded order, and their ``position``; pairs are read once. A null key is no group.
+
+    Each task drops all but its own first ``n`` rows of a group before rows are shuffled. Where Spark does not do so for so
+    large an ``n``, groups are cut into segments, for which the pairs are stored.
+    """
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, candidate]])
-    ordered = materialize(pairs, "pairs").withColumn("_order", ids.order_key(seed, key))
-    return with_position(
-        ordered, keys, ["_order", candidate], segment=hash_segment("_order"), limit=n
-    ).drop("_order")
+    order, by = ["_order", candidate], ids.order_key(seed, key)
+    if n > int(pairs.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        ordered = materialize(pairs, "pairs").withColumn("_order", by)
+        return with_position(ordered, keys, order, segment=hash_segment("_order"), limit=n).drop("_order")
+    for k in keys:
+        pairs = pairs.where(F.col(k).isNotNull())
+    first = (
+        pairs.withColumn("_order", by)
+        .withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        .where(F.col("_rank") <= n)
+    )
+    others = [c for c in pairs.columns if c not in keys]
+    return first.select(*keys, *others, "_rank").withColumn("position", F.col("_rank").cast("bigint") - 1).drop("_rank")
 
 
 def assemble_documents(

@@ -260,6 +260,22 @@ def test_rows_of_one_question_id_are_summed(spark, monkeypatch, few):
     assert {tuple(r) for r in got} == {(1, 5, 5), (2, 5, 2)}
 
 
+@pytest.mark.parametrize("n", [3, 1001])
+def test_tasks_keep_the_first_of_each_group_before_a_shuffle(spark, n):
+    """Few rows of a large group leave a task; null keys are no group, and positions count from 0."""
+    rows = [(q, c, f"{q}:{c}") for q in (1, 2, None) for c in range(40)]
+    pairs = spark.createDataFrame(rows, "note_q int, c int, note string").repartition(4).select("note", F.col("note_q").alias("q"), "c")
+    found = documents.take_distractors(pairs, keys=["q"], candidate="c", n=n)
+    assert found.columns == ["q", "note", "c", "position"] and found.schema["position"].dataType.typeName() == "long"
+    assert (n > 1000) or "WindowGroupLimit" in plan_of(found)
+    want = set()
+    for q in (1, 2):
+        order = sorted(range(40), key=lambda c: hashlib.sha256(f"distractor:{q}|{c}".encode()).hexdigest())
+        want |= {(q, f"{q}:{c}", c, i) for i, c in enumerate(order[:n])}
+    got = found.collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_words_of_the_document_are_those_of_its_sentences(spark, catalogue, plan, monkeypatch):
     """Words are counted per fact, not again in each long document; odd spaces and letters included."""
     counted = []
