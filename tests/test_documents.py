@@ -276,6 +276,18 @@ def test_tasks_keep_the_first_of_each_group_before_a_shuffle(spark, n):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_a_word_of_all_texts_is_looked_up_for_pairs_that_met(spark):
+    """Packed lists hold the common word once, not for each candidate; rows of counters are those that met by a rarer word."""
+    c = spark.createDataFrame([(i, f"name{i} side{i % 5} everywhere") for i in range(50)], "c int, text string")
+    packed = documents._packed_lists(documents._token_lists(c, "c", "text", 2))
+    at = packed["vocabulary"].to_pylist().index("everywhere")
+    assert packed["starts"][at] == packed["starts"][at + 1] and len(packed["listed"]) == 100
+    assert packed["names"] == 1 and (packed["commons"] == packed["common_of"][at]).all()
+    q = spark.createDataFrame([(i, f"name{i} everywhere other{i}") for i in range(60)] + [(99, "everywhere")], "q int, text string")
+    got = documents.lexical_pairs(q, c, question_id="q", candidate_id="c").collect()
+    assert {tuple(r) for r in got} == {(i, i, 2) for i in range(50)}
+
+
 def test_words_of_the_document_are_those_of_its_sentences(spark, catalogue, plan, monkeypatch):
     """Words are counted per fact, not again in each long document; odd spaces and letters included."""
     counted = []
