@@ -36,6 +36,8 @@ LIST_ROWS, LIST_BYTES = 2_000_000, 64 << 20
 TOKEN_SHARE = 1_000
 #: Listed candidates, and counters of pairs, that a worker holds at once; a question may need more by itself.
 MEETINGS = 1 << 20
+#: Questions of a table that may be spread anew, and of a task then.
+SPREAD_ROWS, TASK_ROWS = 50_000, 20_000
 
 
 def _known(form: Column, template: Column) -> Column:
@@ -207,9 +209,8 @@ def lexical_pairs(
     Lists of checked rows and bytes are broadcast, and each question meets them in the task that reads it. Longer
     lists are joined by a shuffle, where lists and questions of common tokens are spread over parts.
     """
-    asked = questions.select(
-        F.col(question_id).alias("_q"), text.content_tokens(F.col(text_col)).alias("_tokens")
-    )
+    asked = _evened(questions.select(F.col(question_id).alias("_q"), F.col(text_col).alias("_text")), "_q", "_text")
+    asked = asked.select("_q", text.content_tokens(F.col("_text")).alias("_tokens"))
     lists = materialize(_token_lists(candidates, candidate_id, text_col, at_least), "token-lists")
     size = lists.agg(F.count(F.lit(1)), F.sum(F.octet_length("token") + F.length(F.to_json("_common")))).first()
     if size[0] <= LIST_ROWS and (size[1] or 0) <= LIST_BYTES:
@@ -221,6 +222,15 @@ def lexical_pairs(
     )
 
 
+def _evened(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows, spread anew if one task has more than twice its share of them: Spark does not split a file of one row group."""
+    held = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if sum(held) < SPREAD_ROWS or max(held) * cores <= 2 * sum(held):
+        return rows
+    return rows.repartition(max(cores, math.ceil(sum(held) / TASK_ROWS)), *keys)
+
+
 def _frequent(rows: DataFrame, name: str) -> DataFrame:
     """(token_hash, ``name``) of tokens with at least one ``TOKEN_SHARE``th of all rows, so at most that
     many: how many times that share they hold.

@@ -241,6 +241,19 @@ def test_listed_pairs_are_counted_where_a_question_is_read(spark, monkeypatch, m
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_questions_of_one_task_are_spread(spark, monkeypatch):
+    """A table that one task reads is spread, one that all tasks read is not; rows stay."""
+    monkeypatch.setattr(documents, "SPREAD_ROWS", 50, raising=False)
+    rows = spark.range(60).selectExpr("cast(id as int) as q", "concat('alpha beta name', id) as text")
+    c = spark.createDataFrame([(1, "alpha beta")], "c int, text string")
+    for parts, shuffles in ((1, 1), (2 * spark.sparkContext.defaultParallelism, 0)):
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/one-task-{parts}"
+        rows.repartition(parts).write.parquet(path)
+        found = documents.lexical_pairs(spark.read.parquet(path), c, question_id="q", candidate_id="c")
+        assert plan_of(found).count("Exchange") == shuffles
+        assert sorted(r["q"] for r in found.collect()) == list(range(60))
+
+
 @pytest.mark.parametrize("few", [100_000, 0])
 def test_rows_of_one_question_id_are_summed(spark, monkeypatch, few):
     """Ids that come once, several times or are null; the common tokens of a pair count once."""
