@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import AtomicType, LongType, StringType, StructField, StructType
 
 from attnstrata.functions import bins, ids, text
 from attnstrata.functions import fixed_values as fixed
@@ -416,13 +416,37 @@ def lexical_distractors(
     return take_distractors(pairs, keys=[question_id], candidate=candidate_id, n=n, seed=seed)
 
 
+def _first_of_batches(keys: list[str], n: int):
+    """Arrow function: of each batch, the rows that may be among the first ``n`` of their group, which are those up to the ``n``-th
+    value of ``_first``, eight digits of the ordering hash. Pairs of a large group never meet in a sort of all.
+    """
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.zeros(batch.num_rows, np.int64)
+            for k in keys:
+                values = batch.column(k).dictionary_encode()
+                group = np.unique(group * len(values.dictionary) + values.indices.to_numpy(), return_inverse=True)[1]
+            digits = batch.column("_first")
+            order = np.frombuffer(digits.buffers()[2], ">u8", batch.num_rows, 8 * digits.offset).astype(np.uint64)
+            by = np.lexsort((order, group))
+            start = np.searchsorted(group[by], group[by])
+            nth = order[by][np.minimum(start + n - 1, len(by) - 1)]
+            kept = (np.arange(len(by)) < start + n) | (order[by] == nth)
+            yield batch.take(pa.array(np.sort(by[kept])))
+
+    return run
+
+
 def take_distractors(
     pairs: DataFrame, *, keys: list[str], candidate: str, n: int, seed: str = "distractor"
 ) -> DataFrame:
     """The first ``n`` candidates of each group in seeded order, and their ``position``; pairs are read once. A null key is no group.
 
-    Each task drops all but its own first ``n`` rows of a group before rows are shuffled. Where Spark does not do so for so
-    large an ``n``, groups are cut into segments, for which the pairs are stored.
+    Each batch of rows, and then each task, drops all but its own first ``n`` rows of a group before rows are sorted and shuffled.
+    Where Spark does not do so for so large an ``n``, groups are cut into segments, for which the pairs are stored.
     """
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, candidate]])
     order, by = ["_order", candidate], ids.order_key(seed, key)
@@ -431,8 +455,12 @@ def take_distractors(
         return with_position(ordered, keys, order, segment=hash_segment("_order"), limit=n).drop("_order")
     for k in keys:
         pairs = pairs.where(F.col(k).isNotNull())
+    cut = pairs
+    if all(isinstance(f.dataType, AtomicType) for f in pairs.schema):
+        schema = StructType([*pairs.schema, StructField("_first", StringType())])
+        cut = pairs.withColumn("_first", F.substring(by, 1, 8)).mapInArrow(_first_of_batches(list(keys), n), schema).drop("_first")
     first = (
-        pairs.withColumn("_order", by)
+        cut.withColumn("_order", by)
         .withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
         .where(F.col("_rank") <= n)
     )

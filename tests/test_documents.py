@@ -3,6 +3,7 @@
 import collections
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -289,6 +290,15 @@ def test_tasks_keep_the_first_of_each_group_before_a_shuffle(spark, n):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_a_batch_keeps_what_may_be_first():
+    """By all keys, with rows of equal digits kept, as many as there are."""
+    digits = ["00000003", "0000000a", "00000001", "0000000a", "0000000a", "00000002", "ffffffff", "00000000"]
+    batch = pa.record_batch({"k": [1, 1, 1, 1, 1, 2, 1, 1], "u": [*"aaaaaaab"], "c": list(range(8)), "_first": digits})
+    run = documents._first_of_batches(["k", "u"], 3)
+    got = [r for b in run([batch, batch.slice(0, 0), batch.slice(2)]) for r in b.column("c").to_pylist()]
+    assert got == [0, 1, 2, 3, 4, 5, 7] + [2, 3, 4, 5, 7]
+
+
 def test_a_word_of_all_texts_is_looked_up_for_pairs_that_met(spark):
     """Packed lists hold the common word once, not for each candidate; rows of counters are those that met by a rarer word."""
     c = spark.createDataFrame([(i, f"name{i} side{i % 5} everywhere") for i in range(50)], "c int, text string")
